@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,9 +45,14 @@ def group_of(text: Column, pattern: str, group: int = 1, flags: str = "i") -> Co
     return F.nullif(F.regexp_extract(text, prefix + pattern, group), F.lit(""))
 
 
-def first_of(text: Column, patterns: list[str], convert, flags: str = "i") -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
+
+
+def first_of(text: Column, patterns: list[str], convert: Callable[[Column], Column], flags: str = "i") -> Column:
     """Try the patterns in order; a pattern whose match does not convert gives way to the next one."""
-    return F.coalesce(*[convert(group_of(text, p, 1, flags)) for p in patterns])
+    return F.coalesce(*[let(group_of(text, p, 1, flags), convert) for p in patterns])
 
 
 def folded(text: Column) -> Column:
@@ -115,8 +120,8 @@ def estimated_tokens(text: Column) -> Column:
 
 
 def url_plus(text: Column) -> Column:
-    """Form encoding (blank as ``+``)."""
-    return F.url_encode(text)
+    """Form encoding: blank as ``+``, ``~`` left alone, ``*`` encoded."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
 
 def url_component(text: Column) -> Column:

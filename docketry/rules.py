@@ -286,6 +286,11 @@ EVENT_BID = [
     r"[Uu]pset\s+[Bb]id\s+[Aa]m(?:oun)?t[:\s]*\$?\s*([\d,]+\.?\d*)",
     r"^\$\s*([\d,]+\.\d{2})\s+[A-Z]",
 ]
+REPORT_NEXT_MINIMUM = [
+    r"Minimum Amount of Next Upset Bid[\s\S]{0,200}?\$\s*([\d,]+\.?\d*)",
+    r"Minimum\s+Amount\s+of\s+Next\s+Upset\s+Bid[\s\S]{0,200}?\$\s*([\d,]+\.?\d*)",
+    r"Minimum\s+Amount[\s\S]{0,100}?Next[\s\S]{0,100}?Upset[\s\S]{0,100}?Bid[\s\S]{0,100}?\$\s*([\d,]+\.?\d*)",
+]
 PAGE_BID = [
     r"(?:bid|sale|price|amount)[^\$]*\$\s*([\d,]+(?:\.\d{2})?)",
     r"\$\s*([\d,]+(?:\.\d{2})?)",

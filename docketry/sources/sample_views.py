@@ -212,6 +212,15 @@ def view_sql(dialect: str) -> dict[str, str]:
         CASE WHEN document_id%40=0 THEN NULL ELSE cast(6000+document_id%90000 AS DECIMAL(12,2)) END AS minimum_next_bid,
         'Lot 7 of Section Two' AS legal_description, document_date AS sale_date
       FROM docket_documents WHERE document_id%60=0 OR document_id%140=0""",
+        "replies": """
+      SELECT document_id AS reply_id, document_id%6 AS shape,
+        CASE document_id%6 WHEN 0 THEN concat('```json',chr(10),body,chr(10),'```') WHEN 2 THEN body
+          ELSE concat('Here it is: ',body,' as asked.') END AS reply,
+        CASE document_id%4 WHEN 0 THEN concat('{"comprehensive_analysis":{"executive_summary":"a","parties_analysis":"b"},"financials":',body,'}')
+          ELSE concat('{"comprehensive_analysis":{"executive_summary":"a","chronological_timeline":[],"parties_analysis":{},"legal_procedural_analysis":"c","conclusion_and_takeaways":"d"},"financials":{},"confirmations":',body,'}') END AS analysis
+      FROM (SELECT document_id, concat('{"property_address":',CASE WHEN property_address IS NULL THEN 'null' ELSE concat('"',property_address,'"') END,
+          ',"bid_amount":',CASE WHEN bid_amount IS NULL THEN 'null' WHEN document_id%80=0 THEN concat('"$',cast(bid_amount AS STRING),'"') ELSE cast(bid_amount AS STRING) END,
+          ',"confidence":"high"}') AS body FROM second_source) t""",
         "run_log": """
       SELECT cast(cast(ts AS DATE) AS STRING) AS run_id, cast(ts AS DATE) AS run_day, count(*) AS found,
         sum(CASE WHEN event_type='error' THEN 1 ELSE 0 END) AS errors FROM events GROUP BY cast(ts AS DATE)""",
