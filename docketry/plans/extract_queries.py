@@ -114,10 +114,11 @@ def _placed(label: str) -> str:
             f"lambda v: {strict_sql('v')}), lambda v: v IS NOT NULL) END")
 
 
-_NOTICE = f"""n1 AS (SELECT text_id, body, contains(body,'AmountofNew') OR contains(replace(body,'  ',' '),'Amount Of New') OR contains(upper(body),'NOTICE OF UPSET BID') AS form,
+def notice_steps(source: str) -> str:
+    return f"""n1 AS (SELECT text_id, body, contains(body,'AmountofNew') OR contains(replace(body,'  ',' '),'Amount Of New') OR contains(upper(body),'NOTICE OF UPSET BID') AS form,
       {strict_sql(rx(f"substring({_after(R.FORM_MINIMUM_LABEL)},1,50)", _NUM, 1, ''))} AS stated,
       {strict_sql(f"regexp_extract_all(substring({_after(R.FORM_DEPOSIT_LABEL)},1,100), {_lit(_NUM)}, 1)[-1]")} AS stated_deposit,
-      {strict_sql(rx('body', R.FORM_PREVIOUS))} AS former, {_placed(R.FORM_PREVIOUS_POSITION)} AS above, {_placed(R.FORM_MINIMUM_POSITION)} AS below FROM filing_texts),
+      {strict_sql(rx('body', R.FORM_PREVIOUS))} AS former, {_placed(R.FORM_PREVIOUS_POSITION)} AS above, {_placed(R.FORM_MINIMUM_POSITION)} AS below FROM {source}),
     n2 AS (SELECT *, {back_sql('stated')} AS stated_bid FROM n1),
     n3 AS (SELECT *, CASE WHEN form THEN coalesce(stated, CASE WHEN stated_bid IS NULL THEN below[1] END) ELSE {first_sql('body', R.NOTICE_MINIMUM, strict_sql, 'is')} END AS minimum_next_bid,
       CASE WHEN form THEN coalesce(stated_bid, above[2]) ELSE {first_sql('body', R.NOTICE_NEW_BID, strict_sql, 'is')} END AS direct,
@@ -129,7 +130,7 @@ _NOTICE = f"""n1 AS (SELECT text_id, body, contains(body,'AmountofNew') OR conta
     notices AS (SELECT *, coalesce(direct, {back_sql('minimum_next_bid')}) AS current_bid FROM n3)"""
 
 
-@query("bid_notice", f"WITH {_NOTICE} SELECT text_id, current_bid, previous_bid, minimum_next_bid, deposit_required, next_deadline FROM notices",
+@query("bid_notice", f"WITH {notice_steps('filing_texts')} SELECT text_id, current_bid, previous_bid, minimum_next_bid, deposit_required, next_deadline FROM notices",
        money="current_bid previous_bid minimum_next_bid deposit_required", days="next_deadline")
 def bid_notice(t):
     notice = t.filing_texts.withColumn("n", X.bid_notice(F.col("body")))
@@ -183,17 +184,19 @@ def contact_extract(t):
     return t.filing_texts.select("text_id", X.attorney_name(b).alias("name"), X.phone(b).alias("phone"), X.email(b).alias("email"))
 
 
-_DOC_SQL = f"""WITH {_NOTICE}, src AS (SELECT text_id, case_id, body, body AS txt FROM filing_texts), {_address_steps('src')}
-    SELECT a.text_id AS document_id, a.address AS property_address, a.quality AS address_quality,
-      coalesce(CASE WHEN {NOTICE_SQL.replace('body', 'a.body')} THEN n.current_bid END, CASE WHEN {REPORT_SQL.replace('body', 'a.body')} THEN {REPORT_BID_SQL.replace('body', 'a.body')} END,
+def read_steps(source: str) -> str:
+    """CTEs ending in ``docs_read``: all fields per text of ``source(text_id, body)``."""
+    own = lambda sql: sql.replace("body", "a.body")
+    return f"""{notice_steps(source)}, src AS (SELECT text_id, body, body AS txt FROM {source}), {_address_steps('src')},
+    docs_read AS (SELECT a.text_id AS document_id, a.address AS property_address, a.quality AS address_quality,
+      coalesce(CASE WHEN {own(NOTICE_SQL)} THEN n.current_bid END, CASE WHEN {own(REPORT_SQL)} THEN {own(REPORT_BID_SQL)} END,
         {first_sql('a.body', R.GENERIC_BID, plain_sql)}) AS current_bid_amount,
-      {DEADLINE_SQL.replace('body', 'a.body')} AS next_bid_deadline, {SALE_DATE_SQL.replace('body', 'a.body')} AS sale_date, {LEGAL_SQL.replace('body', 'a.body')} AS legal_description,
-      {TRUSTEE_SQL.replace('body', 'a.body')} AS trustee_name, {ATTORNEY_SQL.replace('body', 'a.body')} AS attorney_name, {PHONE_SQL.replace('body', 'a.body')} AS attorney_phone,
-      {EMAIL_SQL.replace('body', 'a.body')} AS attorney_email
-    FROM addressed a JOIN notices n ON n.text_id=a.text_id"""
+      {own(DEADLINE_SQL)} AS next_bid_deadline, {own(SALE_DATE_SQL)} AS sale_date, {own(LEGAL_SQL)} AS legal_description,
+      {own(TRUSTEE_SQL)} AS trustee_name, {own(ATTORNEY_SQL)} AS attorney_name, {own(PHONE_SQL)} AS attorney_phone, {own(EMAIL_SQL)} AS attorney_email
+    FROM addressed a JOIN notices n ON n.text_id=a.text_id)"""
 
 
-@query("doc_extract", _DOC_SQL, money="current_bid_amount", days="next_bid_deadline sale_date")
+@query("doc_extract", f"WITH {read_steps('filing_texts')} SELECT * FROM docs_read", money="current_bid_amount", days="next_bid_deadline sale_date")
 def doc_extract(t):
     return X.extract_documents(t.filing_texts.select(F.col("text_id").alias("document_id"), F.col("body").alias("ocr_text")))
 

@@ -261,8 +261,9 @@ def check_sql(body: str) -> str:
     if not heads:
         return body
     text = body.lstrip()
-    if text[:5].upper() == "WITH ":
-        return "WITH " + ", ".join(heads) + ", " + text[5:]
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if text.startswith(start):
+            return start + ", ".join(heads) + ", " + text[len(start):]
     return "WITH " + ", ".join(heads) + " " + text
 
 
