@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from docketry.plans import case_queries, extract_queries, state_queries, value_queries  # noqa: F401
+from docketry.plans import case_queries, extract_queries, serve_queries, state_queries, value_queries  # noqa: F401
 from docketry.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
