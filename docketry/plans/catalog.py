@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from docketry.plans import case_queries, extract_queries, serve_queries, state_queries, value_queries  # noqa: F401
+from docketry.plans import (  # noqa: F401
+    case_queries,
+    extract_queries,
+    serve_queries,
+    state_queries,
+    upkeep_queries,
+    value_queries,
+)
 from docketry.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -210,13 +210,10 @@ def topk_queue(t):
     return pending.unionByName(bare).unionByName(soon)
 
 
-@query("deadline_sort", """SELECT case_id, next_bid_deadline, row_number() OVER (ORDER BY next_bid_deadline ASC NULLS LAST, case_id) AS place FROM
-    (SELECT * FROM docket_cases WHERE classification='upset_bid' ORDER BY next_bid_deadline ASC NULLS LAST, case_id LIMIT 200) x""", moments="next_bid_deadline")
+@query("deadline_sort", "SELECT case_id, case_number, next_bid_deadline FROM docket_cases WHERE classification='upset_bid' ORDER BY next_bid_deadline ASC NULLS LAST, case_id", moments="next_bid_deadline")
 def deadline_sort(t):
-    top = t.docket_cases.where("classification = 'upset_bid'").orderBy(F.asc_nulls_last("next_bid_deadline"), "case_id").limit(200)
-    rows = F.array_sort(F.collect_list(F.struct(F.col("next_bid_deadline").isNull().alias("last"), "next_bid_deadline", "case_id")))
-    return top.agg(rows.alias("r")).select(F.posexplode("r")).select(
-        "col.case_id", "col.next_bid_deadline", (F.col("pos") + 1).alias("place"))
+    return t.docket_cases.where("classification = 'upset_bid'").orderBy(F.asc_nulls_last("next_bid_deadline"), "case_id").select(
+        "case_id", "case_number", "next_bid_deadline")
 
 
 @query("recent_events", "SELECT case_id, event_id FROM case_events QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY event_id DESC) <= 3")
