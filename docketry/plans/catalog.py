@@ -3,6 +3,7 @@
 from docketry.plans import (  # noqa: F401
     case_queries,
     extract_queries,
+    intake_queries,
     serve_queries,
     state_queries,
     upkeep_queries,
