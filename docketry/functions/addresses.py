@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry import rules as R
-from docketry.functions.text import any_of, quoted
+from docketry.functions.text import any_of, let, quoted
 
 
 def _trailing_types() -> str:
@@ -49,31 +49,45 @@ def street_clean(name: Column) -> Column:
     return F.initcap(F.array_join(kept, " "))
 
 
-def with_address_parts(df: DataFrame, address: str = "property_address") -> DataFrame:
-    """Add stnum, prefix, name, city, state and zipcode.
+def address_parts(address: Column) -> Column:
+    """``struct<stnum, prefix, name, city, state, zipcode>`` of an address.
 
     A city that ran into the street (``4317 Scaup Court Raleigh, NC, 27616``) is found again among the known ones.
     """
     two_letters = r"^[A-Za-z]{2}$"
     state_zip = r"^([A-Z]{2})\s+(\d{5}(?:-\d{4})?)$"
-    df = df.withColumn("__p", F.transform(F.split(F.nullif(F.col(address), F.lit("")), ","), lambda x: F.trim(x)))
-    part = lambda i: F.get(F.col("__p"), F.lit(i))
-    df = df.withColumn("stnum", F.nullif(F.regexp_extract(part(0), r"^(\d+)\s+.+$", 1), F.lit("")))
-    df = df.withColumn("__s", F.when(F.col("stnum").isNotNull(), F.regexp_extract(part(0), r"^\d+\s+(.+)$", 1))
-                       .otherwise(part(0)))
-    df = df.withColumn("prefix", street_prefix(F.col("__s")))
-    bare = F.when(F.col("prefix").isNotNull(),
-                  F.trim(F.regexp_replace(F.regexp_replace(F.trim("__s"), r"^\S+\s*", ""), r"\s+", " ")))
-    df = df.withColumn("__n", street_norm(F.coalesce(bare, F.col("__s"))))
-    merged = F.coalesce(*[F.when(F.endswith(F.col("__n"), F.lit(c.upper())), F.lit(c)) for c in R.KNOWN_CITIES])
-    df = df.withColumn("__m", F.when(part(1).rlike(two_letters), merged))
-    unmerged = F.expr("substring(__n, 1, length(__n) - length(__m))")
-    df = df.withColumn("name", F.when(F.col("__m").isNotNull(), street_norm(unmerged)).otherwise(F.col("__n")))
-    df = df.withColumn("city", F.coalesce(F.col("__m"), part(1)))
-    third = (
-        F.when(part(2).rlike(state_zip), F.regexp_extract(part(2), state_zip, 1))
-        .when(part(2).rlike(two_letters), F.upper(part(2)))
-    )
-    df = df.withColumn("state", F.coalesce(third, F.when(F.col("__m").isNotNull(), F.upper(part(1)))))
-    df = df.withColumn("zipcode", F.nullif(F.regexp_extract(part(2), state_zip, 2), F.lit("")))
-    return df.drop("__p", "__s", "__n", "__m")
+
+    def whole(parts: Column) -> Column:
+        part = lambda i: F.get(parts, F.lit(i))
+        stnum = F.nullif(F.regexp_extract(part(0), r"^(\d+)\s+.+$", 1), F.lit(""))
+        street = F.coalesce(F.nullif(F.regexp_extract(part(0), r"^\d+\s+(.+)$", 1), F.lit("")), part(0))
+
+        def named(s: Column) -> Column:
+            bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(s["street"]), r"^\S+\s*", ""), r"\s+", " "))
+            name = street_norm(F.when(s["prefix"].isNotNull(), bare).otherwise(s["street"]))
+            return let(name, lambda n: finished(s, n))
+
+        def finished(s: Column, name: Column) -> Column:
+            known = F.coalesce(*[F.when(F.endswith(name, F.lit(c.upper())), F.lit(c)) for c in R.KNOWN_CITIES])
+            return let(F.struct(F.when(part(1).rlike(two_letters), known).alias("city")), lambda m: result(s, name, m["city"]))
+
+        def result(s: Column, name: Column, merged: Column) -> Column:
+            cut = street_norm(F.substring(name, F.lit(1), F.length(name) - F.length(merged)))
+            third = F.when(part(2).rlike(state_zip), F.regexp_extract(part(2), state_zip, 1)).when(
+                part(2).rlike(two_letters), F.upper(part(2)))
+            return F.struct(
+                stnum.alias("stnum"), s["prefix"].alias("prefix"),
+                F.when(merged.isNotNull(), cut).otherwise(name).alias("name"), F.coalesce(merged, part(1)).alias("city"),
+                F.coalesce(third, F.when(merged.isNotNull(), F.upper(part(1)))).alias("state"),
+                F.nullif(F.regexp_extract(part(2), state_zip, 2), F.lit("")).alias("zipcode"))
+
+        return let(street, lambda x: let(F.struct(x.alias("street"), street_prefix(x).alias("prefix")), named))
+
+    trimmed = F.transform(F.split(F.nullif(address, F.lit("")), ","), lambda x: F.trim(x))
+    return let(trimmed, lambda parts: F.when(parts.isNotNull(), whole(parts)))
+
+
+def with_address_parts(df: DataFrame, address: str = "property_address") -> DataFrame:
+    """Add stnum, prefix, name, city, state and zipcode."""
+    names = ("stnum", "prefix", "name", "city", "state", "zipcode")
+    return df.withColumn("__a", address_parts(F.col(address))).select(*df.columns, *[F.col(f"__a.{n}").alias(n) for n in names])

@@ -10,29 +10,30 @@ from docketry.functions.text import contains_any, first_index, starts_as_any
 
 
 def event_matches(event_type: Column, kinds: list[str], exclusions: list[str] | None = None,
-                  strict: bool = False) -> Column:
+                  strict: bool = False, lowered: bool = False) -> Column:
     """The type names one of ``kinds`` and none of ``exclusions``; strict wants it at the start of the type."""
-    hit = starts_as_any(event_type, kinds) if strict else contains_any(event_type, kinds)
-    return hit & ~contains_any(event_type, exclusions) if exclusions else hit
+    hit = starts_as_any(event_type, kinds) if strict else contains_any(event_type, kinds, lowered)
+    return hit & ~contains_any(event_type, exclusions, lowered) if exclusions else hit
 
 
-def event_flags(event_type: Column) -> dict[str, Column]:
+def event_flags(event_type: Column, lowered: bool = False) -> dict[str, Column]:
     """All timeline rules, one boolean each."""
+    rule = lambda kinds, *more, **how: event_matches(event_type, kinds, *more, lowered=lowered, **how)
     return {
-        "is_sale": event_matches(event_type, R.SALE_REPORT),
-        "is_sale_baseline": event_matches(event_type, R.SALE_BASELINE),
-        "is_confirmed": event_matches(event_type, R.SALE_CONFIRMED, R.SALE_CONFIRMED_NOT),
-        "is_set_aside": event_matches(event_type, R.SET_ASIDE),
-        "is_bankruptcy": event_matches(event_type, R.BANKRUPTCY, R.BANKRUPTCY_NOT),
-        "is_lifted": event_matches(event_type, R.LIFTED),
-        "is_dismissal": event_matches(event_type, R.DISMISSAL, R.DISMISSAL_NOT),
-        "is_reversed": event_matches(event_type, R.REVERSED),
-        "is_upset": event_matches(event_type, R.UPSET_FILED),
-        "is_upset_filed": event_matches(event_type, ["upset bid filed"]),
-        "is_initiated": event_matches(event_type, R.INITIATED, R.INITIATED_NOT),
-        "is_legacy": event_matches(event_type, R.LEGACY, R.LEGACY_NOT, strict=True),
-        "is_withdrawn": event_matches(event_type, ["withdrawn"], ["upset bid"]),
-        "is_final": event_matches(event_type, R.FINALIZATION),
+        "is_sale": rule(R.SALE_REPORT),
+        "is_sale_baseline": rule(R.SALE_BASELINE),
+        "is_confirmed": rule(R.SALE_CONFIRMED, R.SALE_CONFIRMED_NOT),
+        "is_set_aside": rule(R.SET_ASIDE),
+        "is_bankruptcy": rule(R.BANKRUPTCY, R.BANKRUPTCY_NOT),
+        "is_lifted": rule(R.LIFTED),
+        "is_dismissal": rule(R.DISMISSAL, R.DISMISSAL_NOT),
+        "is_reversed": rule(R.REVERSED),
+        "is_upset": rule(R.UPSET_FILED),
+        "is_upset_filed": rule(["upset bid filed"]),
+        "is_initiated": rule(R.INITIATED, R.INITIATED_NOT),
+        "is_legacy": rule(R.LEGACY, R.LEGACY_NOT, strict=True),
+        "is_withdrawn": rule(["withdrawn"], ["upset bid"]),
+        "is_final": rule(R.FINALIZATION),
     }
 
 
@@ -61,8 +62,10 @@ def case_kind(case_type: Column, style: Column) -> Column:
 
 
 def is_bid_notice(text: Column) -> Column:
-    pattern = "(?i)" + "|".join(R.NOTICE_MARKERS)
-    return F.coalesce(text.rlike(pattern), F.lit(False))
+    """One of the notice's phrases, or its minimum label with anything between the two halves on one line."""
+    plain = [m for m in R.NOTICE_MARKERS if "*" not in m]
+    label = contains_any(text, ["minimum am"]) & text.rlike("(?i)" + [m for m in R.NOTICE_MARKERS if "*" in m][0])
+    return contains_any(text, plain) | F.coalesce(label, F.lit(False))
 
 
 def is_sale_report(text: Column) -> Column:

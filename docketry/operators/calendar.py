@@ -5,6 +5,8 @@ The calendar is a rule-made table of fixed size (about 48,000 days), so broadcas
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,11 +71,8 @@ def court_calendar(spark: SparkSession, first_year: int = FIRST_YEAR, last_year:
         .select(F.col("observed").alias("day"), F.lit(True).alias("closed"))
         .distinct()
     )
-    days = (
-        spark.range(1)
-        .select(F.explode(F.sequence(F.make_date(F.lit(first_year), F.lit(1), F.lit(1)),
-                                     F.make_date(F.lit(last_year), F.lit(12), F.lit(31)))).alias("day"))
-    )
+    count = (date(last_year, 12, 31) - date(first_year, 1, 1)).days + 1
+    days = spark.range(0, count, 1, 1).select(F.date_add(F.lit(date(first_year, 1, 1)), F.col("id").cast("int")).alias("day"))
     business = (F.weekday("day") < 5) & F.col("closed").isNull()
     ahead = Window.orderBy("day").rowsBetween(0, 7)  # one window over the fixed-size calendar
     return (
@@ -84,9 +83,12 @@ def court_calendar(spark: SparkSession, first_year: int = FIRST_YEAR, last_year:
 
 
 def deadline_table(spark: SparkSession) -> DataFrame:
-    """(day, deadline): first business day on or after day + 10."""
+    """(day, deadline): first business day on or after day + 10.
+
+    Kept in memory: it is small, the same for every query, and rebuilt from its rules if an executor goes.
+    """
     return court_calendar(spark).select(
-        F.date_sub("day", 10).alias("day"), F.col("next_business_day").alias("deadline"))
+        F.date_sub("day", 10).alias("day"), F.col("next_business_day").alias("deadline")).cache()
 
 
 def with_deadline(df: DataFrame, day: Column, out: str) -> DataFrame:

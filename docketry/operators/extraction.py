@@ -22,7 +22,7 @@ from docketry.functions.money import (
     strict_amount,
 )
 from docketry.functions.predicates import is_bid_notice, is_sale_report
-from docketry.functions.text import any_of, contains_any, first_of, folded, group_of, let, plain_blanks
+from docketry.functions.text import any_of, contains_any, first_of, folded, group_of, let, plain_blanks, when_possible
 from docketry.operators.calendar import with_deadline
 from docketry.operators.ranking import group_rank
 
@@ -46,7 +46,7 @@ def _tidy(raw: Column) -> Column:
     return folded(out)
 
 
-def _match(text: Column, before: Column | None, groups: int, pattern: str,
+def _match(text: Column, low: Column, before: Column | None, groups: int, pattern: str,
            found: Callable[[Column], Column]) -> Column:
     """``found(address)`` for the first match of one pattern, NULL without a match.
 
@@ -63,21 +63,23 @@ def _match(text: Column, before: Column | None, groups: int, pattern: str,
         fits = lambda a: F.when((F.length(a) >= MIN_ADDRESS_CHARS) & ~a.rlike(_LEGAL), a)
         return F.when(start > 0, found(F.when(~context.rlike(_REJECT), let(_tidy(raw), fits))))
 
-    return let(F.regexp_instr(text, F.lit(rx)), accepted)
+    return when_possible(low, pattern, let(F.regexp_instr(text, F.lit(rx)), accepted))
 
 
 def address_of(text: Column) -> Column:
     """``struct<address, quality>``; quality is the position of the pattern, lower is better. NULL if none holds."""
 
-    def search(plain: Column) -> Column:
+    def search(plain: Column, low: Column) -> Column:
         tries = [
-            let(_match(plain, None, groups, pattern, lambda a: a),
+            let(_match(plain, low, None, groups, pattern, lambda a: a),
                 lambda a, q=quality: F.when(a.isNotNull(), F.struct(a.alias("address"), F.lit(q).alias("quality"))))
             for quality, (_, groups, pattern) in enumerate(R.ADDRESS_PATTERNS)
         ]
-        return F.when(plain.rlike("(?i)" + R.ADDRESS_NEEDS), F.coalesce(*tries))
+        return F.coalesce(*tries)
 
-    return let(plain_blanks(text), search)
+    possible = lambda plain: F.when(
+        plain.rlike("(?i)" + R.ADDRESS_NEEDS), let(F.lower(plain), lambda low: search(plain, low)))
+    return let(plain_blanks(text), possible)
 
 
 def joined_address(documents: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
@@ -106,7 +108,7 @@ def joined_address(documents: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
     outcomes = []
     for quality, (_, groups, pattern) in enumerate(R.ADDRESS_PATTERNS):
         outcomes.append(_match(
-            F.col("text"), F.coalesce("before", F.lit("")), groups, pattern,
+            F.col("text"), F.lower("text"), F.coalesce("before", F.lit("")), groups, pattern,
             lambda a, q=quality: F.struct(F.lit(q).alias("quality"), a.alias("address"))))
     first = (
         placed.select("case_id", "document_id", F.inline(F.array_compact(F.array(*outcomes))))

@@ -29,9 +29,10 @@ def _newest(flag: Column) -> Column:
 
 def case_timeline(events: DataFrame) -> DataFrame:
     """One row per case with the newest date per rule; NULL means no such event, the marker means undated."""
-    flag = event_flags(F.col("event_type"))
+    flag = event_flags(F.col("event_type"), lowered=True)
     dated = F.col("event_date")
-    return events.groupBy("case_id").agg(
+    narrow = events.select("case_id", "event_date", F.lower("event_type").alias("event_type"))
+    return narrow.groupBy("case_id").agg(
         _newest(flag["is_withdrawn"]).alias("withdrawn"),
         _newest(flag["is_dismissal"]).alias("dismissed"),
         _newest(flag["is_reversed"]).alias("reversed"),

@@ -94,18 +94,21 @@ class _Tree(HTMLParser):
         self.here.items.append(data)
 
 
-def _row(node: _Node, tables: dict[int, tuple[int, _Node]]) -> dict:
+def _table(number: int, node: _Node) -> tuple[int, str, dict[int, int], str]:
+    """(position on the page, class, row numbers by node, text of the first row) of one table."""
+    rows = [n for n in node.walk() if n.tag == "tr"]
+    heads = " ".join(n.squeezed() for n in rows[0].walk() if n.tag in ("th", "td")).lower() if rows else ""
+    return number, node.attrs.get("class", ""), {id(n): i for i, n in enumerate(rows)}, heads
+
+
+def _row(node: _Node, tables: dict[int, tuple]) -> dict:
     above = list(node.above())
     table = next((a for a in above if a.tag == "table"), None)
     grid = "k-master-row" in node.attrs.get("class", "").split() and any(a.attrs.get("id") == "CasesGrid" for a in above)
-    number, _ = tables.get(id(table), (-1, None))
+    number, css, places, heads = tables.get(id(table), (-1, "", {}, ""))
     inner = list(node.walk())
-    siblings = [n for n in table.walk() if n.tag == "tr"] if table is not None else [node]
-    heads = siblings[0]
     return {
-        "grid": grid, "table_no": number, "table_class": table.attrs.get("class", "") if table is not None else "",
-        "row_no": next(i for i, n in enumerate(siblings) if n is node),
-        "heads": " ".join(n.squeezed() for n in heads.walk() if n.tag in ("th", "td")).lower(),
+        "grid": grid, "table_no": number, "table_class": css, "row_no": places.get(id(node), 0), "heads": heads,
         "cells": [n.squeezed() for n in inner if n.tag in ("td", "gridcell")],
         "links": [{"text": n.text().strip(), "href": n.attrs.get("href"), "data_url": n.attrs.get("data-url"),
                    "css": n.attrs.get("class", "")} for n in inner if n.tag == "a"],
@@ -134,7 +137,7 @@ def read_markup(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             tree.feed(html or "")
             tree.close()
             nodes = list(tree.root.walk())
-            tables = {id(n): (i, n) for i, n in enumerate(n for n in nodes if n.tag == "table")}
+            tables = {id(n): _table(i, n) for i, n in enumerate(n for n in nodes if n.tag == "table")}
             pager = next((n for n in nodes if "k-pager-info" in n.attrs.get("class", "").split()), None)
             out.append((page_id, tree.root.text().replace("\xa0", " "), pager.text().strip() if pager is not None else None,
                         [_row(n, tables) for n in nodes if n.tag == "tr"], [_block(n) for n in nodes if n.attrs.get("ng-repeat")]))

@@ -81,7 +81,7 @@ class DailyRun:
         return self.save(enqueue(self.tables["analyses"], upset, self.as_of), "analyses_queued", "analyses")
 
     def run(self) -> DataFrame:
-        tasks: list[Callable[[], int]] = [self.ingest, self.monitor, self.extract, self.validate, self.stale, self.heal, self.queue]
+        tasks: list[Callable[[], int]] = [self.ingest, self.extract, self.monitor, self.validate, self.stale, self.heal, self.queue]
         for order, task in enumerate(tasks):
             try:
                 self.audit.append((task.__name__, order, task(), "success", None))
