@@ -27,7 +27,7 @@ Created: 02/02/2024 3:15
 02/03/2024
 Order
 for Sale of Ward's
-Property
+property
 Index # 6</div>
 <div ng-repeat="hearing in hearings">
 03/01/2024 Created
@@ -49,7 +49,7 @@ def test_case_page(spark):
         "Petition to Sell/Lease Ward's Estate", 4, "Clerk", "Ann Example", "PETITION FOR SALE")
     assert (b["event_type"], b["event_description"], b["hearing_date"], b["has_document"]) == (
         "Upset Bid Filed", "Bid Amount $9,830.00 Deposit Amount $750.00", "02/02/2024 3:15", True)
-    assert (c["event_type"], c["event_date"], c["event_index"]) == ("Order for Sale of Ward's Property", dt.date(2024, 2, 3), 6)
+    assert (c["event_type"], c["event_date"], c["event_index"]) == ("Order for Sale of Ward's property", dt.date(2024, 2, 3), 6)
     h = t["hearings"].first()
     assert (h["hearing_date"], h["hearing_time"], h["hearing_type"]) == (dt.date(2024, 3, 1), "2:30 PM", "Sale Hearing")
 

@@ -121,7 +121,7 @@ def test_needles_are_necessary():
     for pattern in R.REPORT_BID + R.DEADLINE_TEXT + R.NOTICE_MINIMUM + R.EVENT_BID + [p for _, _, p in R.ADDRESS_PATTERNS]:
         found = T.needle(pattern)
         assert found is None or found == found.lower()
-    assert T.needle(r"[Hh]ighest\s*[Bb]id") == "highest" and T.needle(r"(?:sold|bought)\s+for") is None
+    assert T.needle(r"[Hh]ighest\s*[Bb]id") == "highest" and T.needle(r"(?:sold|bought)\s+for") == "for" and T.needle(r"(?:abc)?\d+") is None
     assert T.needle(r"assessments?\s+upon") == "assessment" and re.search("assessments?", "assessment")
 
 
