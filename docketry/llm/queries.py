@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import decontamination, exact_dedup, packing
+from docketry.llm import decontamination, exact_dedup, licences, near_dedup, packing, surrogates
 from docketry.llm.tokens import tokenizer_path
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@register()
+def op1_vantage_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, folder, "documents"))
+
+
 @register("""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -37,6 +42,13 @@ def op2_chunk_recipes(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+@register()
+def op3_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    made = surrogates.pseudonymised(table(spark, folder, "documents"), key="public sample key")
+    return made.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"),
+                       F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",").alias("kinds"))
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     pieces = packing.packed_with(docs, tokenizer_path("word_bpe_49k.json"), end_id=1)
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
@@ -70,3 +82,10 @@ def op8_aho_corasick(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         decontamination.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+@register()
+def op10_licence_templates(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.licence_scan(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+                        F.array_join("labels", ",").alias("labels"), "score")
