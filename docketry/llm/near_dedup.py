@@ -157,7 +157,7 @@ def near_links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints (``bits``) that connect what pairs within the radius connect."""
     number = nodes.count()
     depth = min(DEEPEST, max(0, int(np.ceil(np.log2(max(1, number) / SHARD)))))
-    sample = sample_by_hash(nodes, F.col("bits"), SAMPLE).toPandas()["bits"].to_numpy(np.int64).view(np.uint64)
+    sample = sample_by_hash(nodes, F.col("bits"), SAMPLE).select("bits").limit(SAMPLE).toPandas()["bits"].to_numpy(np.int64).view(np.uint64)
     tree = nodes.sparkSession.sparkContext.broadcast(Tree(sample, depth))
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import decontamination, exact_dedup, licences, near_dedup, packing, surrogates
+from docketry.llm import (
+    decontamination,
+    exact_dedup,
+    language_id,
+    licences,
+    near_dedup,
+    packing,
+    quality,
+    surrogates,
+    toxicity,
+)
+from docketry.llm.common import fold
 from docketry.llm.tokens import tokenizer_path
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +60,23 @@ def op3_surrogates(spark: SparkSession, folder: str) -> DataFrame:
                        F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",").alias("kinds"))
 
 
+def language_identifier(docs: DataFrame) -> language_id.Identifier:
+    """Learned from the documents whose fold is not 0."""
+    return language_id.learn(docs.where(fold(F.col("doc_id"), 5) != 0).select("doc_id", "text", "lang"))
+
+
+def held_out(folds: int, of: int):
+    """Whether a row was kept from learning; a NULL id always is."""
+    return F.coalesce(fold(F.col("doc_id"), folds) == of, F.lit(True)).alias("held_out")
+
+
+@register()
+def op4_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language_id.identified(docs, language_identifier(docs))
+    return found.select("doc_id", held_out(5, 0), "lang_pred", "score", "accepted")
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     pieces = packing.packed_with(docs, tokenizer_path("word_bpe_49k.json"), end_id=1)
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
@@ -59,6 +87,13 @@ def op6_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"))
 
 
+@register()
+def op7_latent_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality.learn(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
+    return quality.quality_scores(docs, model).select("doc_id", held_out(3, 1), "score", "predicted")
+
+
 @register("""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
         'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
@@ -84,6 +119,13 @@ def op8_aho_corasick(spark: SparkSession, folder: str) -> DataFrame:
         decontamination.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+@register()
+def op9_block_max(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.learn(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    return toxicity.toxicity_scores(docs, model).select("doc_id", held_out(5, 0), "score", "predicted", "evidence")
+
+
 @register()
 def op10_licence_templates(spark: SparkSession, folder: str) -> DataFrame:
     found = licences.licence_scan(table(spark, folder, "documents"))
