@@ -3,21 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in ``spark.checkpoint.dir``; without that setting only a single-machine session gets its own."""
-    context = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; without that setting only a single-machine session gets a folder of its own."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="docketry-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if context.master != "local" and not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="docketry-checkpoint-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared one."""
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: lost executors cost no more than what came after it."""
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docketry.llm import (
     decontamination,
     exact_dedup,
+    id_files,
     language_id,
     licences,
     near_dedup,
@@ -18,7 +19,7 @@ from docketry.llm import (
     surrogates,
     toxicity,
 )
-from docketry.llm.common import fold
+from docketry.llm.common import fold, shared_folder
 from docketry.llm.tokens import tokenizer_path
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +78,13 @@ def op4_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out(5, 0), "lang_pred", "score", "accepted")
 
 
+@register()
+def op5_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_folder(spark, "id-files")
+    id_files.write_ids(table(spark, folder, "documents"), path, tokenizer_path("byte_bpe_50k.json"), vocabulary=50_257, end_id=0)
+    return id_files.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     pieces = packing.packed_with(docs, tokenizer_path("word_bpe_49k.json"), end_id=1)
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
