@@ -11,9 +11,7 @@ from docketry.functions.text import any_of, let, quoted
 
 def _trailing_types() -> str:
     """Street types at the end of a name. Longer types go first, and each may be taken off once."""
-    spelled = R.STREET_TYPES + [t + "." for t in R.STREET_TYPES if len(t) <= 4 and t not in ("Road", "Lane")]
-    spelled = [t for t in spelled if t != "Way."]
-    ordered = sorted(spelled, key=len, reverse=True)
+    ordered = sorted(R.STREET_TYPES, key=len, reverse=True)
     return "(?i)" + "".join(rf"(?:\s+{quoted(t)})?" for t in reversed(ordered)) + "$"
 
 

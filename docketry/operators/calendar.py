@@ -1,18 +1,13 @@
 """Court holidays, business days and bid deadlines.
 
-The calendar is a rule-made table of fixed size (about 48,000 days), so broadcasting it never depends on the data.
+Business days are tested by rules on the date itself, so any year works and nothing is joined.
 """
 
 from __future__ import annotations
 
-from datetime import date
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIRST_YEAR = 1970
-LAST_YEAR = 2100
-
 # Anonymous Gregorian computus, one step per column.
 _EASTER_STEPS = [
     ("a", "y % 19"),
@@ -34,9 +29,9 @@ def _nth_weekday(month: int, weekday: int, nth: int) -> str:
     return f"date_sub({last}, pmod(weekday({last}) - {weekday}, 7))"
 
 
-def court_holidays(spark: SparkSession, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
-    """(year, name, holiday, observed): twelve rules a year; Saturday is kept on Friday, Sunday on Monday."""
-    years = spark.range(first_year, last_year + 1).select(F.col("id").alias("y"))
+def court_holidays(years: DataFrame) -> DataFrame:
+    """(year, name, holiday, observed) of each year: twelve rules; Saturday is kept on Friday, Sunday on Monday."""
+    years = years.select(F.col("year").cast("long").alias("y"))
     for name, step in _EASTER_STEPS:
         years = years.withColumn(name, F.expr(step))
     fixed = lambda m, d: f"make_date(cast(y as int), {m}, {d})"
@@ -63,41 +58,46 @@ def court_holidays(spark: SparkSession, first_year: int = FIRST_YEAR, last_year:
     )
 
 
-def court_calendar(spark: SparkSession, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
-    """(day, is_business, next_business_day). A day is tested against the holidays of its own year only."""
-    closed = (
-        court_holidays(spark, first_year, last_year)
-        .where(F.year("observed") == F.col("year"))
-        .select(F.col("observed").alias("day"), F.lit(True).alias("closed"))
-        .distinct()
-    )
-    count = (date(last_year, 12, 31) - date(first_year, 1, 1)).days + 1
-    days = spark.range(0, count, 1, 1).select(F.date_add(F.lit(date(first_year, 1, 1)), F.col("id").cast("int")).alias("day"))
-    business = (F.weekday("day") < 5) & F.col("closed").isNull()
-    ahead = Window.orderBy("day").rowsBetween(0, 7)  # one window over the fixed-size calendar
-    return (
-        days.join(F.broadcast(closed), "day", "left")
-        .select("day", business.alias("is_business"))
-        .withColumn("next_business_day", F.min(F.when(F.col("is_business"), F.col("day"))).over(ahead))
-    )
+#: Month and day of the holidays that have a date.
+_DATED = [101, 704, 1111, 1224, 1225, 1226]
 
 
-def deadline_table(spark: SparkSession) -> DataFrame:
-    """(day, deadline): first business day on or after day + 10.
+def _easter(year: Column) -> Column:
+    """Easter Sunday by the same steps as above, in one expression."""
+    div = lambda x, n: F.floor(x / n)
+    a, b, c = year % 19, div(year, 100), year % 100
+    h = (19 * a + b - div(b, 4) - div(b - div(b + 8, 25) + 1, 3) + 15) % 30
+    w = (32 + 2 * (b % 4) + 2 * div(c, 4) - h - c % 4) % 7
+    k = h + w - 7 * div(a + 11 * h + 22 * w, 451) + 114
+    return F.make_date(year, div(k, 31).cast("int"), (k % 31 + 1).cast("int"))
+
+
+def is_business_day(day: Column) -> Column:
+    """Monday to Friday and no court holiday kept that day; holidays of the day's own year only."""
+    week, month, number = F.weekday(day), F.month(day), F.dayofmonth(day)
+    dated = lambda d: F.month(d) * 100 + F.dayofmonth(d)
+    nth = lambda m, w, first, last: (month == m) & (week == w) & number.between(first, last)
+    holiday = (
+        dated(day).isin(_DATED)
+        | ((week == 4) & dated(F.date_add(day, 1)).isin(_DATED[1:]))
+        | ((week == 0) & dated(F.date_sub(day, 1)).isin(_DATED))
+        | nth(1, 0, 15, 21) | nth(5, 0, 25, 31) | nth(9, 0, 1, 7) | nth(11, 3, 22, 28) | nth(11, 4, 23, 29)
+        | ((week == 4) & month.isin(3, 4) & (F.date_add(day, 2) == _easter(F.year(day))))
+    )
+    return (week < 5) & ~holiday
+
 
-    Kept in memory: it is small, the same for every query, and rebuilt from its rules if an executor goes.
-    """
-    return court_calendar(spark).select(
-        F.date_sub("day", 10).alias("day"), F.col("next_business_day").alias("deadline")).cache()
+def next_business_day(day: Column) -> Column:
+    """First business day at or after a date; no court closes for eight days on end."""
+    later = F.filter(F.sequence(F.date_add(day, 1), F.date_add(day, 7)), is_business_day)
+    return F.when(is_business_day(day), day).when(day.isNotNull(), F.element_at(later, 1))
 
 
 def with_deadline(df: DataFrame, day: Column, out: str) -> DataFrame:
-    """Add the bid deadline that follows from ``day``; NULL stays NULL."""
-    table = deadline_table(df.sparkSession).select(F.col("day").alias("__day"), F.col("deadline").alias(out))
-    return df.join(F.broadcast(table), F.col("__day") == day, "left").drop("__day")
+    """Add the bid deadline that follows from ``day``: the first business day ten days on or later; NULL stays NULL."""
+    return df.withColumn("__from", F.date_add(day, 10)).withColumn(out, next_business_day(F.col("__from"))).drop("__from")
 
 
 def with_business_day(df: DataFrame, day: Column) -> DataFrame:
     """Add ``is_business`` and ``next_business_day`` of a date column."""
-    table = court_calendar(df.sparkSession).withColumnRenamed("day", "__day")
-    return df.join(F.broadcast(table), F.col("__day") == day, "left").drop("__day")
+    return df.withColumn("is_business", is_business_day(day)).withColumn("next_business_day", next_business_day(day))

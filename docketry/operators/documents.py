@@ -119,13 +119,9 @@ def select_corpus(documents: DataFrame, cases: DataFrame, budget: int = R.CORPUS
                 F.least(F.length("ocr_text"), F.lit(per_document)).alias("size"))
     )
     order = [F.col("tier"), F.col("day"), F.col("document_id")]
-    numbered = lambda df: df.withColumn(
-        "__n", F.row_number().over(Window.partitionBy("case_id", "size").orderBy(*order)))
-    step = 1024
-    # Large sizes share a constant limit, which Spark applies before the shuffle.
-    large = numbered(tiered.where(F.col("size") >= step)).where(F.col("__n") <= max(1, budget // step))
-    small = numbered(tiered.where(F.col("size") < step))
-    able = large.unionByName(small).where(F.col("__n") <= F.floor(F.lit(budget) / F.col("size")))
+    number = F.row_number().over(Window.partitionBy("case_id", "size").orderBy(*order))
+    # A size is one character at least, so a constant limit holds for all sizes; Spark applies it before the shuffle.
+    able = tiered.withColumn("__n", number).where(F.col("__n") <= budget).where(F.col("__n") <= F.floor(F.lit(budget) / F.col("size")))
     queue = F.array_sort(F.collect_list(F.struct(*order, F.col("size"))))
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<bigint>").alias("chosen"))
 

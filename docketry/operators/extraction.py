@@ -45,6 +45,8 @@ def _tidy(raw: Column) -> Column:
         out = F.regexp_replace(out, "(?i)" + residue, "")
     return folded(out)
 
+_CITY_WORDS = r"(?:\s+[A-Z][a-z]+)*"
+
 
 def _match(text: Column, low: Column, before: Column | None, groups: int, pattern: str,
            found: Callable[[Column], Column]) -> Column:
@@ -52,7 +54,9 @@ def _match(text: Column, low: Column, before: Column | None, groups: int, patter
 
     The address is NULL when the match is rejected by what precedes it or by its own content.
     """
-    rx = "(?i)" + pattern
+    # Greedy words of a city, kept once taken: they stop before the state, so giving some back could never help, and a
+    # run of many words needs no stack.
+    rx = "(?i)" + pattern.replace(_CITY_WORDS, rf"(?:\s+(?!{R.STATE}\s+\d{{5}})[A-Z][a-z]+)*+")
     raw = folded(F.regexp_extract(text, rx, 1))
     if groups == 2:
         raw = F.concat(raw, F.lit(", "), folded(F.regexp_extract(text, rx, 2)))
@@ -73,7 +77,7 @@ def address_of(text: Column) -> Column:
         tries = [
             let(_match(plain, low, None, groups, pattern, lambda a: a),
                 lambda a, q=quality: F.when(a.isNotNull(), F.struct(a.alias("address"), F.lit(q).alias("quality"))))
-            for quality, (_, groups, pattern) in enumerate(R.ADDRESS_PATTERNS)
+            for quality, (groups, pattern) in enumerate(R.ADDRESS_PATTERNS)
         ]
         return F.coalesce(*tries)
 
@@ -106,7 +110,7 @@ def joined_address(documents: DataFrame, chunk_rows: int = 10_000) -> DataFrame:
         .where(F.col("text").rlike("(?i)" + R.ADDRESS_NEEDS))
     )
     outcomes = []
-    for quality, (_, groups, pattern) in enumerate(R.ADDRESS_PATTERNS):
+    for quality, (groups, pattern) in enumerate(R.ADDRESS_PATTERNS):
         outcomes.append(_match(
             F.col("text"), F.lower("text"), F.coalesce("before", F.lit("")), groups, pattern,
             lambda a, q=quality: F.struct(F.lit(q).alias("quality"), a.alias("address"))))

@@ -11,6 +11,7 @@ from docketry import rules as R
 from docketry.functions.dates import as_day, as_moment
 from docketry.functions.text import contains_any
 from docketry.operators.calendar import with_deadline
+from docketry.operators.ranking import keep_first
 
 QUARANTINE_EVENTS = "array<struct<event_date:string,event_type:string,document_title:string,has_document:boolean>>"
 
@@ -44,10 +45,14 @@ def delete_cases(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, Data
 
 
 def quarantine(candidates: DataFrame, kept: DataFrame, scrape_date: date | str) -> DataFrame:
-    """Rejected candidates not yet on record for the day, their events packed as JSON."""
+    """Rejected candidates not yet on record for the day, their events packed as JSON; one row per case number.
+
+    Of candidates that repeat a case number the one with the first JSON text stays.
+    """
     rows = candidates.withColumn("scrape_date", as_day(scrape_date)).join(
         kept.select("case_number", "scrape_date"), ["case_number", "scrape_date"], "left_anti")
-    return rows.withColumn("events_json", F.to_json("events", {"ignoreNullFields": "false"})).drop("events")
+    packed = rows.withColumn("events_json", F.to_json("events", {"ignoreNullFields": "false"})).drop("events")
+    return keep_first(packed, ["case_number"], [F.col("events_json").asc_nulls_last(), *sorted(c for c in packed.columns if c != "events_json")])
 
 
 def explode_quarantine(rows: DataFrame) -> DataFrame:
@@ -114,9 +119,9 @@ def promote(rows: DataFrame, cases: DataFrame, as_of: datetime) -> DataFrame:
     """Quarantine rows as new cases, those already known left out.
 
     A report of sale among the events gives sale date, deadline and state (upset_bid while the deadline runs, else
-    closed_sold); without one the case is upcoming.
+    closed_sold); without one the case is upcoming. Of rows that repeat a case number the earliest becomes the case.
     """
-    fresh = rows.join(cases.select("case_number"), "case_number", "left_anti")
+    fresh = keep_first(rows.join(cases.select("case_number"), "case_number", "left_anti"), ["case_number"], [F.col("id")])
     sold = explode_quarantine(fresh.select("id", "events_json")).where(contains_any(F.col("event_type"), ["report of sale"]))
     sold = sold.groupBy("id").agg(F.max(F.try_to_date("event_date", "MM/dd/yyyy")).alias("sale_date"))
     t = with_deadline(fresh.join(sold, "id", "left"), F.col("sale_date"), "next_bid_deadline")

@@ -1,8 +1,7 @@
-"""Ranks and running sums inside a group that may be very large.
+"""Ranks and running sums inside a group of any size.
 
-A plain window puts a whole group into one task, which is right for ordinary groups and wrong for a huge one. So huge
-groups are told apart by a count, and only those are cut into buckets by the leading sort columns: the bucket totals
-are small and get the running sum, the rows are ranked inside their bucket.
+A plain window puts a whole group into one task. Here the rows of a group are ranked inside buckets of the leading sort
+columns, and the bucket totals, which are few, get the running sum.
 """
 
 from __future__ import annotations
@@ -10,11 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HUGE_GROUP = 1_000_000
 
-
-def _bucketed_total(df: DataFrame, group: list[str], bucket: list[str], order: list[Column], amount: Column,
-                    out: str) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], bucket: list[str], order: list[Column], amount: Column, out: str) -> DataFrame:
+    """Add the running sum of ``amount`` over ``group``; ``bucket`` columns lead the order, ``order`` ends it."""
     totals = df.groupBy(*group, *bucket).agg(F.sum(amount).alias("__total"))
     before = Window.partitionBy(*group).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -25,21 +22,11 @@ def _bucketed_total(df: DataFrame, group: list[str], bucket: list[str], order: l
     inside = Window.partitionBy(*group, *bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         df.join(offsets, match, "inner")
-        .withColumn(out, (F.col("__offset") + F.sum(amount).over(inside)).cast("long"))
+        .withColumn(out, F.col("__offset") + F.sum(amount).over(inside))
         .drop("__offset", *[f"__{c}" for c in group + bucket])
     )
 
 
-def running_total(df: DataFrame, group: list[str], bucket: list[str], order: list[Column], amount: Column,
-                  out: str, huge: int = HUGE_GROUP) -> DataFrame:
-    """Add the running sum of ``amount`` over ``group``; ``bucket`` columns lead the order, ``order`` ends it."""
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > huge)
-    large = sizes.drop("__rows")
-    whole = Window.partitionBy(*group).orderBy(*bucket, *order).rowsBetween(Window.unboundedPreceding, 0)
-    ordinary = df.join(large, group, "left_anti").withColumn(out, F.sum(amount).over(whole).cast("long"))
-    return ordinary.unionByName(_bucketed_total(df.join(large, group, "left_semi"), group, bucket, order, amount, out))
-
-
 def group_rank(df: DataFrame, group: list[str], bucket: list[str], order: list[Column], out: str) -> DataFrame:
     """Add the row number inside ``group``."""
     return running_total(df, group, bucket, order, F.lit(1), out)

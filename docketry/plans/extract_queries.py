@@ -64,7 +64,7 @@ def _fold(expr: str) -> str:
 # Address: prefix before the first match, groups, clean-up, checks, per pattern.
 def _address_steps(source: str) -> str:
     hit, clean = [], []
-    for i, (_, groups, p) in enumerate(R.ADDRESS_PATTERNS):
+    for i, (groups, p) in enumerate(R.ADDRESS_PATTERNS):
         whole = _lit("(?i)^(?s:(.*?))(?:" + p + ")")
         raw = _fold(f"regexp_extract(txt, {whole}, 2)")
         if groups == 2:

@@ -73,7 +73,8 @@ def class_averages(cases: DataFrame, documents: DataFrame) -> DataFrame:
     """Each case's document count beside the average of its state, joined back from the grouped average."""
     per_case = documents_per_case(cases, documents)
     averages = per_case.groupBy("classification").agg(F.round(F.avg("documents"), 4).alias("class_average"))
-    return per_case.join(averages, per_case.classification.eqNullSafe(averages.classification)).select(
+    # one row a state: the domain is fixed
+    return per_case.join(F.broadcast(averages), per_case.classification.eqNullSafe(averages.classification)).select(
         "case_id", "documents", "class_average")
 
 
@@ -257,22 +258,28 @@ def upset_board(cases: DataFrame, enrichments: DataFrame, watchlist: DataFrame,
 # --- nested detail -------------------------------------------------------------------------------------------------
 
 
+def _chunk(number: str, rows: int) -> Column:
+    """Chunk of a row number that is never NULL."""
+    return F.floor((F.col(number) - 1) / rows).cast("int")
+
+
 def nested_events(events: DataFrame, rows: int = NEST_ROWS) -> DataFrame:
-    """Events of a case as arrays, newest first, in chunks of at most ``rows`` portal entries: (case_id, chunk, ...)."""
+    """Events of a case as arrays, newest first, in chunks of ``rows`` by date and id: (case_id, chunk, ...)."""
     day = F.coalesce(F.unix_date("event_date"), F.lit(-10**8))
     item = F.struct((-day).alias("__o"), F.col("event_id"), F.col("event_date"), F.col("event_type"), F.col("event_description"))
     filed_by = F.col("filed_by") if "filed_by" in events.columns else F.lit(None).cast("string")
     bidder = F.struct((-day).alias("__o"), F.col("event_id"), F.col("event_date"), F.coalesce(filed_by, F.lit("Unknown")).alias("bidder"))
     is_bid = F.lower("event_type").contains("upset")
-    chunk = F.floor((F.col("event_index") - 1) / rows).cast("int")
-    return events.groupBy("case_id", chunk.alias("chunk")).agg(
+    numbered = group_rank(events, ["case_id"], ["event_date"], [F.col("event_id")], "__n")
+    return numbered.groupBy("case_id", _chunk("__n", rows).alias("chunk")).agg(
         F.array_sort(F.collect_list(item)).alias("events"),
         F.array_sort(F.collect_list(F.when(is_bid, bidder))).alias("bidders"))
 
 
 def nested_parties(parties: DataFrame, rows: int = NEST_ROWS) -> DataFrame:
     """Party names by type as a map, in chunks of at most ``rows`` parties per case."""
-    lead = parties.withColumn("__lead", F.substring("party_name", 1, 2))
+    # Names with a common start are told apart by a hash, so a bucket stays a small part of a case.
+    lead = parties.withColumn("__lead", F.pmod(F.xxhash64("party_name"), F.lit(1024)))
     numbered = group_rank(lead, ["case_id"], ["party_type", "__lead"], [F.col("party_name")], "__n")
     chunk = F.floor((F.col("__n") - 1) / rows).cast("int")
     per_type = numbered.groupBy("case_id", chunk.alias("chunk"), "party_type").agg(F.array_sort(F.collect_list("party_name")).alias("names"))
@@ -331,7 +338,7 @@ def analysis_corpus(documents: DataFrame, cases: DataFrame, events: DataFrame, b
                     per_document: int = R.DOCUMENT_CHARS, rows: int = NEST_ROWS) -> DataFrame:
     """Text handed to an analysis: (case_id, part, chunk, body).
 
-    The document part is bounded by the budget; event lines come in chunks of at most ``rows`` portal entries.
+    The document part is bounded by the budget; event lines come in chunks of ``rows`` by date and id.
     """
     chosen = select_corpus(documents, cases, budget, per_document).join(
         documents.select("document_id", "document_name", F.substring("ocr_text", 1, per_document).alias("__t")), "document_id")
@@ -339,10 +346,11 @@ def analysis_corpus(documents: DataFrame, cases: DataFrame, events: DataFrame, b
     section = F.concat(F.lit("--- DOCUMENT "), number, F.lit(": "), "document_name", F.lit(" ---\n"), "__t", F.lit("\n--- END DOCUMENT "), number, F.lit(" ---"))
     texts = chosen.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("position", section.alias("s")))).alias("a")).select(
         "case_id", F.lit("documents").alias("part"), F.lit(0).alias("chunk"), F.array_join(F.col("a.s"), "\n\n").alias("body"))
-    told = events.where(F.col("event_type").isNotNull() & (F.length("event_description") > 0))
+    told = group_rank(events.where(F.col("event_type").isNotNull() & (F.length("event_description") > 0)),
+                      ["case_id"], ["event_date"], [F.col("event_id")], "__n")
     line = F.concat(F.lit("- ["), F.coalesce(F.col("event_date").cast("string"), F.lit("Unknown date")), F.lit("] "), "event_type", F.lit(": "), "event_description")
     day = F.coalesce(F.unix_date("event_date"), F.lit(-10**8))
-    lines = told.groupBy("case_id", F.floor((F.col("event_index") - 1) / rows).cast("int").alias("chunk")).agg(
+    lines = told.groupBy("case_id", _chunk("__n", rows).alias("chunk")).agg(
         F.array_sort(F.collect_list(F.struct((-day).alias("o"), "event_id", line.alias("s")))).alias("a")).select(
         "case_id", F.lit("events").alias("part"), "chunk", F.array_join(F.col("a.s"), "\n").alias("body"))
     return texts.unionByName(lines)

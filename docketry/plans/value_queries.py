@@ -86,7 +86,7 @@ def parse_dates(t):
 def court_holidays(t):
     filed = t.cases.groupBy("file_date").agg(F.count(F.lit(1)).alias("n"))
     years = t.cases.select(F.year("file_date").alias("year")).distinct()
-    days = CAL.court_holidays(t.spark).join(years, "year", "left_semi")
+    days = CAL.court_holidays(years)
     return days.join(filed, days.observed == filed.file_date, "left").select(
         "year", "holiday", "observed", F.coalesce("n", F.lit(0)).alias("filings"))
 
@@ -310,9 +310,9 @@ def ids_from_url(t):
 # --- text --------------------------------------------------------------------------------------------------------
 
 
-@query("norm_text", """SELECT doc_id, md5(trim(regexp_replace(lower(text),'\\s+',' ','g'))) AS normal_md5 FROM documents WHERE lang='en'""")
+@query("norm_text", """SELECT doc_id, md5(trim(regexp_replace(lower(text),'\\s+',' ','g'))) AS normal_md5 FROM documents""")
 def norm_text(t):
-    return t.documents.where("lang = 'en'").select("doc_id", F.md5(T.norm_text(F.col("text"))).alias("normal_md5"))
+    return t.documents.select("doc_id", F.md5(T.norm_text(F.col("text"))).alias("normal_md5"))
 
 
 @query("norm_event_type", """WITH k AS (SELECT event_id, concat(coalesce(event_type,''), CASE event_id%3 WHEN 0 THEN '_2' WHEN 1 THEN '  -  x' ELSE '' END) AS raw FROM case_events)

@@ -96,7 +96,8 @@ PARTY_TYPES = ["Respondent", "Petitioner", "Trustee", "Plaintiff", "Defendant",
 # --------------------------------------------------------------------------------------------------------------
 STREET_TYPES = ["Street", "Road", "Drive", "Lane", "Avenue", "Boulevard", "Court", "Circle", "Way", "Place",
                 "Terrace", "Trail", "Parkway", "Highway", "St", "Rd", "Dr", "Ln", "Ave", "Blvd", "Ct", "Cir", "Wy",
-                "Pl", "Ter", "Trl", "Pkwy", "Hwy"]
+                "Pl", "Ter", "Trl", "Pkwy", "Hwy", "St.", "Rd.", "Dr.", "Ln.", "Ave.", "Blvd.", "Ct.", "Cir.", "Wy.",
+                "Pl.", "Ter.", "Trl.", "Pkwy.", "Hwy."]
 DIRECTION_PREFIXES = {
     "N": "N", "N.": "N", "S": "S", "S.": "S", "E": "E", "E.": "E", "W": "W", "W.": "W",
     "NE": "NE", "N.E.": "NE", "NE.": "NE", "NW": "NW", "N.W.": "NW", "NW.": "NW",
@@ -121,27 +122,30 @@ _STREETS = ("(?:Street|St|Road|Rd|Drive|Dr|Lane|Ln|Court|Ct|Circle|Cir|Way|Avenu
             "|Terrace|Ter)")
 _STREETS_TRAIL = ("(?:Street|St|Road|Rd|Drive|Dr|Lane|Ln|Court|Ct|Circle|Cir|Way|Avenue|Ave|Boulevard|Blvd|Place"
                   "|Pl|Terrace|Ter|Trail|Trl)")
-_STATE = r"(?:NC|North\s+Carolina)"
-_NUMBERED = r"\d+\s+[A-Za-z]+(?:\s+[A-Za-z]+){0,8}\s+" + _STREETS
+STATE = r"(?:NC|North\s+Carolina)"
+# A street name of any number of words: one run of letters and blanks, so long texts need no regex stack.
+_NUMBERED = r"\d+\s+[A-Za-z][A-Za-z\s]*\s+" + _STREETS
+# Words of a city up to its state and ZIP.
+_CITY = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
 ADDRESS_PATTERNS = [
-    ("real_property", 2, r"The\s+address\s+for\s+the\s+real\s+property\s+is[:\s]*\n?\s*([0-9]+[^,\n]+),?\s*\n?\s*([A-Za-z\s]+,\s*" + _STATE + r"\s*\d{5})"),
-    ("property_to_post", 2, r"Property\s+Address\s*\(to\s+post\)[:\s]*\n?\s*([0-9]+[^,\n]+),?\s*\n?\s*([A-Za-z\s]+,\s*" + _STATE + r"\s*\d{5})"),
-    ("located_at", 1, r"real\s+property\s+located\s+at[:\s]+([0-9]+[^,]+,\s*[A-Za-z\s]+,\s*" + _STATE + r"\s*\d{5})"),
-    ("secured_by", 1, r"property\s+secured\s+by[:\s]+([0-9]+[^,]+,\s*[A-Za-z\s]+,\s*" + _STATE + r"\s*\d{5})"),
-    ("real_property_described", 1, r"for\s+real\s+property\s+described\s+as\s+([0-9]+[^,\n]+,\s*[A-Za-z\s]+,?\s*" + _STATE + r"\s*\d{5})"),
-    ("address_location_header", 1, r"ADDRESS/LOCATION\s+OF\s+PROPERTY\s*(?:BEING\s+FORECLOSED)?[:\s]*\n+\s*([^\n]+" + _STATE + r"\s*\d{5}(?:-\d{4})?)"),
-    ("address_location_multiline", 2, r"ADDRESS/LOCATION\s+OF\s+PROPERTY\s*(?:BEING\s+FORECLOSED)?[:\s]*\n+\s*(\d+[^\n]+)\n+\s*([A-Z][A-Za-z\s]+,\s*NC\s*\d{5})"),
-    ("address_of_property", 1, r"Address\s+of\s+Property[:\s]+(\d+[^,\n]{1,60},\s*[A-Za-z\s]+,\s*" + _STATE + r"\s*\d{5}(?:-\d{4})?)"),
-    ("address_of_property_multiline", 2, r"Address\s+of\s+Property[:\s]+\n*\s*(\d+[^\n]{1,50}?" + _STREETS_TRAIL + r")\s*\n+\s*([A-Z][A-Za-z\s]+,\s*NC\s*\d{5})"),
-    ("commonly_known", 1, r"(?:commonly\s+known\s+as|known\s+as)[:\s]+([^.]+" + _STATE + r"\s*\d{5}(?:-\d{4})?)"),
-    ("property_address", 1, r"Property\s+Address[:\s]+([^\n]+" + _STATE + r"\s*\d{5}(?:-\d{4})?)"),
-    ("known_as_specific", 1, r"known\s+as\s+(\d+[^,\n]+,\s*[A-Z][A-Za-z\s]+,\s*NC\s*\d{5}(?:-\d{4})?)"),
-    ("assessments_upon", 1, r"assessments?\s+upon\s+(" + _NUMBERED + r"[,\s]+[A-Z][A-Za-z\s]+,?\s*NC,?\s*\d{5})"),
-    ("lien_upon", 1, r"lien\s+upon\s+(" + _NUMBERED + r"[,\s]+[A-Z][A-Za-z\s]+,?\s*NC,?\s*\d{5})"),
-    ("affidavit_at", 2, r"(?:account\s+for\s+[^.]+\s+at|familiar\s+with[^.]+\s+at)\s+(" + _NUMBERED + r")\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,4}\s+" + _STATE + r"\s+\d{5}(?:-\d{4})?)"),
-    ("north_carolina_spelled", 2, r"(" + _NUMBERED + r")[,.\s]+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,4}\s+North\s+Carolina\s+\d{5}(?:-\d{4})?)"),
-    ("flexible_nc", 2, r"(" + _NUMBERED + r")\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,4}\s+NC\s+\d{5}(?:-\d{4})?)"),
-    ("generic_street", 2, r"(" + _NUMBERED + r"[,.]?)\s*[,\n]\s*([A-Z][A-Za-z\s]+,\s*NC\s*\d{5})"),
+    (2, r"The\s+address\s+for\s+the\s+real\s+property\s+is[:\s]*\n?\s*([0-9]+[^,\n]+),?\s*\n?\s*([A-Za-z\s]+,\s*" + STATE + r"\s*\d{5})"),
+    (2, r"Property\s+Address\s*\(to\s+post\)[:\s]*\n?\s*([0-9]+[^,\n]+),?\s*\n?\s*([A-Za-z\s]+,\s*" + STATE + r"\s*\d{5})"),
+    (1, r"real\s+property\s+located\s+at[:\s]+([0-9]+[^,]+,\s*[A-Za-z\s]+,\s*" + STATE + r"\s*\d{5})"),
+    (1, r"property\s+secured\s+by[:\s]+([0-9]+[^,]+,\s*[A-Za-z\s]+,\s*" + STATE + r"\s*\d{5})"),
+    (1, r"for\s+real\s+property\s+described\s+as\s+([0-9]+[^,\n]+,\s*[A-Za-z\s]+,?\s*" + STATE + r"\s*\d{5})"),
+    (1, r"ADDRESS/LOCATION\s+OF\s+PROPERTY\s*(?:BEING\s+FORECLOSED)?[:\s]*\n+\s*([^\n]+" + STATE + r"\s*\d{5}(?:-\d{4})?)"),
+    (2, r"ADDRESS/LOCATION\s+OF\s+PROPERTY\s*(?:BEING\s+FORECLOSED)?[:\s]*\n+\s*(\d+[^\n]+)\n+\s*([A-Z][A-Za-z\s]+,\s*NC\s*\d{5})"),
+    (1, r"Address\s+of\s+Property[:\s]+(\d+[^,\n]{1,60},\s*[A-Za-z\s]+,\s*" + STATE + r"\s*\d{5}(?:-\d{4})?)"),
+    (2, r"Address\s+of\s+Property[:\s]+\n*\s*(\d+[^\n]{1,50}?" + _STREETS_TRAIL + r")\s*\n+\s*([A-Z][A-Za-z\s]+,\s*NC\s*\d{5})"),
+    (1, r"(?:commonly\s+known\s+as|known\s+as)[:\s]+([^.]+" + STATE + r"\s*\d{5}(?:-\d{4})?)"),
+    (1, r"Property\s+Address[:\s]+([^\n]+" + STATE + r"\s*\d{5}(?:-\d{4})?)"),
+    (1, r"known\s+as\s+(\d+[^,\n]+,\s*[A-Z][A-Za-z\s]+,\s*NC\s*\d{5}(?:-\d{4})?)"),
+    (1, r"assessments?\s+upon\s+(" + _NUMBERED + r"[,\s]+[A-Z][A-Za-z\s]+,?\s*NC,?\s*\d{5})"),
+    (1, r"lien\s+upon\s+(" + _NUMBERED + r"[,\s]+[A-Z][A-Za-z\s]+,?\s*NC,?\s*\d{5})"),
+    (2, r"(?:account\s+for\s+[^.]+\s+at|familiar\s+with[^.]+\s+at)\s+(" + _NUMBERED + r")\s+(" + _CITY + r"\s+" + STATE + r"\s+\d{5}(?:-\d{4})?)"),
+    (2, r"(" + _NUMBERED + r")[,.\s]+(" + _CITY + r"\s+North\s+Carolina\s+\d{5}(?:-\d{4})?)"),
+    (2, r"(" + _NUMBERED + r")\s+(" + _CITY + r"\s+NC\s+\d{5}(?:-\d{4})?)"),
+    (2, r"(" + _NUMBERED + r"[,.]?)\s*[,\n]\s*([A-Z][A-Za-z\s]+,\s*NC\s*\d{5})"),
 ]
 # Every address pattern ends in a state and a ZIP, so a text without this cannot match any of them.
 ADDRESS_NEEDS = r"(?:NC,?|North\s+Carolina)\s*\d{5}"

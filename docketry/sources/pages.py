@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docketry import rules as R
 from docketry.functions.text import folded, group_of
+from docketry.operators.ranking import keep_first
 
 # Fixed values of the portal's markup.
 PORTAL = "https://portal-nc.tylertech.cloud"
@@ -152,13 +153,16 @@ def markup(pages: DataFrame) -> DataFrame:
 
 
 def ingest_search_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, case_number, case_url, style, status, location); grid rows, else the table headed "case number"."""
+    """(page_id, case_number, case_url, style, status, location); grid rows, else the table headed "case number".
+
+    Of rows that repeat a case number the first by page and row stays.
+    """
     m = markup(pages)
     grid = F.filter("rows", lambda r: r["grid"])
     listed = F.filter("rows", lambda r: F.contains(r["heads"], F.lit("case number")) & (r["row_no"] > 0))
     first_table = F.array_min(F.transform(listed, lambda r: r["table_no"]))
     chosen = F.when(F.size(grid) > 0, grid).otherwise(F.filter(listed, lambda r: r["table_no"] == first_table))
-    r = m.select("page_id", F.explode(chosen).alias("r")).select("page_id", "r.*")
+    r = m.select("page_id", F.posexplode(chosen).alias("__row", "r")).select("page_id", "__row", "r.*")
     pick = lambda test: F.get(F.filter("links", test), F.lit(0))
     link = F.coalesce(pick(lambda a: F.array_contains(F.split(a["css"], r"\s+"), F.lit("caseLink"))),
                       pick(lambda a: F.contains(a["href"], F.lit("Case"))), F.get("links", F.lit(0)))
@@ -166,8 +170,9 @@ def ingest_search_pages(pages: DataFrame) -> DataFrame:
     url = F.coalesce(F.nullif(F.col("link.data_url"), F.lit("")), F.nullif(F.col("link.href"), F.lit("")))
     url = F.when(url == "#", None).when(F.startswith(url, F.lit("http")), url).otherwise(F.concat(F.lit(PORTAL), url))
     cell = lambda i: F.get("cells", F.lit(i))
-    return r.select("page_id", F.col("link.text").alias("case_number"), url.alias("case_url"), cell(1).alias("style"),
-                    cell(2).alias("status"), cell(3).alias("location")).dropDuplicates(["case_number"])
+    listed = r.select("page_id", "__row", F.col("link.text").alias("case_number"), url.alias("case_url"), cell(1).alias("style"),
+                      cell(2).alias("status"), cell(3).alias("location"))
+    return keep_first(listed, ["case_number"], [F.col("page_id"), F.col("__row")]).drop("__row")
 
 
 def stated_counts(pages: DataFrame) -> DataFrame:

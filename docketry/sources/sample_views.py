@@ -10,9 +10,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from docketry.operators.ranking import group_rank
 
 AS_OF = "1998-06-15 12:00:00"
 AS_OF_EVENING = "1998-06-15 17:30:00"
@@ -37,7 +34,7 @@ def view_sql(dialect: str) -> dict[str, str]:
     moment = lambda day: _moment(dialect, day)
     today = "DATE '1998-06-15'"
     case_events = """
-      SELECT l_orderkey*100+event_index AS event_id, l_orderkey AS case_id, event_index,
+      SELECT l_orderkey*1000000+event_index AS event_id, l_orderkey AS case_id, event_index,
         CASE WHEN l_suppkey%29=0 THEN NULL ELSE cast(l_shipdate AS DATE) END AS event_date,
         CASE l_partkey%16 WHEN 0 THEN 'Report Of Foreclosure Sale (Chapter 45)' WHEN 1 THEN 'Upset Bid Filed'
           WHEN 2 THEN 'Notice Of Sale/Resale' WHEN 3 THEN 'Findings And Order Of Foreclosure'
@@ -54,7 +51,6 @@ def view_sql(dialect: str) -> dict[str, str]:
              ELSE NULL END AS event_description
       FROM numbered_lines"""
     return {
-        # Replaced by a bucketed rank on the Spark side, see SampleTables.numbered_lines.
         "numbered_lines": """
       SELECT *, row_number() OVER (PARTITION BY l_orderkey
         ORDER BY l_linenumber,l_partkey,l_suppkey,l_extendedprice,l_quantity,l_shipdate) AS event_index FROM lineitem""",
@@ -172,7 +168,7 @@ def view_sql(dialect: str) -> dict[str, str]:
       SELECT o_orderkey AS id, concat('99SP',lpad(cast(o_orderkey AS STRING),6,'0'),'-910') AS case_number, 'Special Proceeding' AS case_type,
         CASE WHEN o_orderkey%7=0 THEN NULL ELSE concat('[{"event_date":"01/02/1998","event_type":"',CASE o_orderkey%4 WHEN 0 THEN 'Petition To Sell' WHEN 1 THEN 'Name Change' WHEN 2 THEN 'Report of Sale' ELSE 'Petition' END,'","document_title":null,"has_document":false}]') END AS events_json,
         cast(o_orderdate AS DATE) AS scrape_date, CASE o_orderkey%3 WHEN 0 THEN 'dismissed' ELSE NULL END AS review_action
-      FROM orders WHERE o_orderstatus='P'""",
+      FROM orders""",
         # A second reading of the dockets: later indexes, missing types and descriptions filled.
         "parsed_events": f"""
       SELECT case_id, CASE WHEN case_id%4=0 THEN NULL ELSE event_index END AS event_index,
@@ -211,7 +207,7 @@ def view_sql(dialect: str) -> dict[str, str]:
         CASE WHEN document_id%4=0 THEN NULL ELSE cast(5000+document_id%90000 AS DECIMAL(12,2)) END AS bid_amount,
         CASE WHEN document_id%40=0 THEN NULL ELSE cast(6000+document_id%90000 AS DECIMAL(12,2)) END AS minimum_next_bid,
         'Lot 7 of Section Two' AS legal_description, document_date AS sale_date
-      FROM docket_documents WHERE document_id%60=0 OR document_id%140=0""",
+      FROM docket_documents""",
         "replies": """
       SELECT document_id AS reply_id, document_id%6 AS shape,
         CASE document_id%6 WHEN 0 THEN concat('```json',chr(10),body,chr(10),'```') WHEN 2 THEN body
@@ -282,19 +278,12 @@ class SampleTables:
         if name not in self._made:
             if name in BASE_TABLES:
                 self._made[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-            elif name == "numbered_lines":
-                self._made[name] = self._numbered_lines()
             elif name in self._views:
                 self._made[name] = self.sql(self._views[name])
             else:
                 raise AttributeError(name)
         return self._made[name]
 
-    def _numbered_lines(self) -> DataFrame:
-        """Lines numbered inside their order, bucketed by line number and part so that a huge order is spread."""
-        order = [F.col(c) for c in ("l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")]
-        return group_rank(self.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey"], order, "event_index")
-
     def sql(self, text: str) -> DataFrame:
         """Run SQL over tables and views by name, without registering anything in the session."""
         names = {m.group(2) for m in _RELATION.finditer(text)}

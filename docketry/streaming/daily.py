@@ -86,7 +86,7 @@ class DailyRun:
             try:
                 self.audit.append((task.__name__, order, task(), "success", None))
             except Exception as error:  # noqa: BLE001 - a failing task must not stop the run
-                self.audit.append((task.__name__, order, 0, "failed", str(error)[:500]))
+                self.audit.append((task.__name__, order, 0, "failed", str(error)))
         audit = self.spark.createDataFrame(self.audit, AUDIT)
         audit.write.mode("overwrite").parquet(f"{self.store.rstrip('/')}/task_audit")
         return self.spark.read.schema(AUDIT).parquet(f"{self.store.rstrip('/')}/task_audit")

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 
 from docketry.operators import timeline as TL
-from docketry.operators.calendar import deadline_table
+from docketry.operators.calendar import with_deadline
 
 AS_OF = "2024-06-14 12:00:00"  # a Friday
 CASE = "case_id bigint, case_type string, classification string, sale_date date, current_bid_amount decimal(12,2), minimum_next_bid decimal(12,2), next_bid_deadline timestamp_ntz, closed_sold_at timestamp_ntz"
@@ -84,7 +84,8 @@ def test_apply_is_idempotent(spark):
 
 
 def test_deadline_skips_christmas(spark):
-    got = {r["day"]: r["deadline"] for r in deadline_table(spark).where("day in (date'2024-12-14', date'2021-12-22')").collect()}
+    days = spark.createDataFrame([(D(2024, 12, 14),), (D(2021, 12, 22),)], "day date")
+    got = {r["day"]: r["deadline"] for r in with_deadline(days, days.day, "deadline").collect()}
     assert got[D(2024, 12, 14)] == D(2024, 12, 27)
     # New Year's Day kept on the 31st belongs to the next year's rules and is not seen.
     assert got[D(2021, 12, 22)] == D(2022, 1, 3)
