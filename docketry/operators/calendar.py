@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.functions.text import let
+
 # Anonymous Gregorian computus, one step per column.
 _EASTER_STEPS = [
     ("a", "y % 19"),
@@ -89,13 +91,18 @@ def is_business_day(day: Column) -> Column:
 
 def next_business_day(day: Column) -> Column:
     """First business day at or after a date; no court closes for eight days on end."""
-    later = F.filter(F.sequence(F.date_add(day, 1), F.date_add(day, 7)), is_business_day)
-    return F.when(is_business_day(day), day).when(day.isNotNull(), F.element_at(later, 1))
+
+    def first(d: Column) -> Column:
+        later = F.filter(F.sequence(F.date_add(d, 1), F.date_add(d, 7)), is_business_day)
+        return F.when(is_business_day(d), d).when(d.isNotNull(), F.element_at(later, 1))
+
+    # bound once: the rules name the day often, and Spark writes an expression out wherever it is named
+    return let(day, first)
 
 
 def with_deadline(df: DataFrame, day: Column, out: str) -> DataFrame:
     """Add the bid deadline that follows from ``day``: the first business day ten days on or later; NULL stays NULL."""
-    return df.withColumn("__from", F.date_add(day, 10)).withColumn(out, next_business_day(F.col("__from"))).drop("__from")
+    return df.withColumn(out, next_business_day(F.date_add(day, 10)))
 
 
 def with_business_day(df: DataFrame, day: Column) -> DataFrame:

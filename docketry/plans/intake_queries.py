@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from docketry import rules as R
 
 from docketry.plans.extract_queries import read_steps
-from docketry.plans.registry import query
+from docketry.plans.registry import SQL_CALENDAR, query
+from docketry.plans.state_queries import _APPLY, _CLASSIFY
 from docketry.sources import pages as PG
 from docketry.sources.sample_views import AS_OF
 from docketry.streaming import intake as N
@@ -20,8 +21,13 @@ CHUNK = 500
 
 
 def shared_folder(spark, name: str) -> str:
-    """A fresh folder below the one the cluster names; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docketry-")
+    """A fresh folder below the one the cluster names; only a single machine gets a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="docketry-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -167,27 +173,47 @@ def incr_extract(t):
 # --- stream and daily run --------------------------------------------------------------------------------------------
 
 
-@query("event_stream")
+_KINDS = {"view": "Notice of Hearing", "click": "Upset Bid Filed", "error": "Notice of Bankruptcy", "purchase": "Report of Sale", "signup": "Foreclosure Case Initiated"}
+# The classification of all cases over the mapped event table: every event is new, as ids are indexes and rise.
+_STREAMED = "WITH " + SQL_CALENDAR + f""", streamed AS (SELECT event_id, user_id+1 AS case_id, cast(ts AS DATE) AS event_date,
+    CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items())} END AS event_type FROM events),""" + _CLASSIFY.replace("FROM case_events", "FROM streamed") + _APPLY
+
+
+@query("event_stream", _STREAMED + """ SELECT s.case_id, CASE WHEN e.case_id IS NULL THEN s.classification ELSE coalesce(new_state, s.classification) END AS classification,
+    CASE WHEN e.case_id IS NULL THEN s.sale_date ELSE new_sale_date END AS sale_date,
+    CASE WHEN e.case_id IS NULL THEN s.next_bid_deadline WHEN coalesce(new_state, s.classification)='upset_bid' AND new_sale_date IS NOT NULL AND (kept_deadline IS NULL OR CAST(kept_deadline AS DATE) < new_sale_date)
+      THEN CAST(repaired AS TIMESTAMP) ELSE kept_deadline END AS next_bid_deadline
+    FROM step10 s LEFT JOIN (SELECT DISTINCT case_id FROM streamed) e ON e.case_id=s.case_id""", days="sale_date", moments="next_bid_deadline")
 def event_stream(t):
-    """The sample event file as a stream of docket events; states of the touched cases after it is taken in."""
+    """The sample event file as a stream of docket events; the case table after it is taken in."""
     source = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-    kinds = {"view": "Notice of Hearing", "click": "Upset Bid Filed", "error": "Notice of Bankruptcy", "purchase": "Report of Sale", "signup": "Foreclosure Case Initiated"}
-    kind = F.try_element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("event_type"))
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair]), F.col("event_type"))
     stream = source.select(
         "event_id", (F.col("user_id") + 1).alias("case_id"), (F.col("event_id") + 1).cast("int").alias("event_index"), F.col("ts").cast("date").alias("event_date"),
         kind.alias("event_type"), F.concat(F.lit("Bid Amount $"), F.col("value").cast("decimal(12,2)").cast("string")).alias("event_description"))
     store = shared_folder(t.spark, "event-stream")
     taken = N.EventIntake(t.docket_cases, f"{store}/store", AS_OF)
     taken.start(stream, f"{store}/checkpoint").awaitTermination()
-    return taken.states()
+    return taken.states().select("case_id", "classification", "sale_date", "next_bid_deadline")
 
 
 @query("daily_run")
 def daily_run(t):
-    """A whole day over the sample tables; returns the audit rows."""
+    """A whole day over the sample tables; the case table as the day leaves it."""
     none = lambda kind: F.lit(None).cast(kind)
     cases = t.docket_cases.withColumns({"case_status": none("string"), "updated_at": none("timestamp_ntz"), "attorney_name": none("string")})
-    incoming = t.cases.where("case_id % 50 = 0").select("case_number", F.upper("case_type").alias("case_type"), F.lit("Pending").alias("case_status"), "style")
-    parsed = t.parsed_events.withColumn("event_id", F.col("case_id") * 100 + F.coalesce("event_index", F.lit(91)))
-    tables = {"cases": cases, "incoming": incoming, "case_events": t.case_events, "parsed_events": parsed, "docket_documents": t.docket_documents, "analyses": t.analyses}
-    return DailyRun(t.spark, tables, shared_folder(t.spark, "daily-run"), AS_OF).run()
+    # every case is seen again, with its number's year turned for one in fifty: those are new to the case table
+    number = F.when(F.col("case_id") % 50 == 0, F.concat(F.lit("99"), F.substring("case_number", 3, 20))).otherwise(F.col("case_number"))
+    seen = t.cases.withColumn("case_number", number)
+    incoming = seen.select("case_number", F.upper("case_type").alias("case_type"), F.lit("Pending").alias("case_status"), "style")
+    events = t.case_events.join(seen.where("case_id % 50 = 0").select("case_id", "case_number"), "case_id").select(
+        "case_number", "event_date", "event_type", "event_description", none("string").alias("document_title"))
+    parsed = t.parsed_events.withColumn("event_id", F.xxhash64("case_id", "event_index", "event_date", "event_type", "event_description"))
+    tables = {"cases": cases, "incoming": incoming, "incoming_events": events, "case_events": t.case_events, "parsed_events": parsed,
+              "docket_documents": t.docket_documents, "analyses": t.analyses}
+    day = DailyRun(t.spark, tables, shared_folder(t.spark, "daily-run"), AS_OF)
+    failed = [r["task_name"] for r in day.run().where("status <> 'success'").collect()]  # a row a task
+    if failed:
+        raise RuntimeError(f"tasks failed: {failed}: {[a[4] for a in day.audit if a[4]]}")
+    return day.tables["cases"].select("case_id", "case_number", "case_status", "classification", "sale_date", "current_bid_amount",
+                                      "minimum_next_bid", "next_bid_deadline", "property_address", "is_finalized", "finalized_at", "finalized_event_id")

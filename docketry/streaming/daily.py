@@ -6,12 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry import rules as R
-from docketry.operators.casework import extract_cases, heal_report, sticky_apply
-from docketry.operators.maintenance import enqueue, upsert_cases
+from docketry.functions.dates import as_moment, midnight
+from docketry.operators.casework import bid_update, extract_cases, heal_report, missing_bid_repair, sticky_apply
+from docketry.operators.maintenance import candidates, enqueue, quarantine, upsert_cases
 from docketry.operators.timeline import apply_state, entered_state, finalize, sale_on_upcoming, stale_pass, transitions
 from docketry.plans.serving import missing_sets
 from docketry.streaming.intake import fill_descriptions, new_events
@@ -19,11 +20,32 @@ from docketry.streaming.intake import fill_descriptions, new_events
 AUDIT = "task_name string, task_order int, items bigint, status string, error_message string"
 
 
+def _finalized() -> Column:
+    return F.coalesce(F.col("is_finalized"), F.lit(False))
+
+
+def _own(rows: DataFrame, cases: DataFrame) -> DataFrame:
+    return rows.join(cases.select("case_id"), "case_id", "left_semi")
+
+
+def case_id_of(number: str) -> Column:
+    """Positive id of a new case from its number."""
+    return F.xxhash64(number).bitwiseAND(F.lit(2**62 - 1))
+
+
+def merged(cases: DataFrame, found: DataFrame, fields: list[str], missing_only: bool = False) -> DataFrame:
+    """``cases`` with the non-NULL ``fields`` of ``found`` (one row a case) written in, or only where they lack a value."""
+    new = found.select("case_id", *[F.col(c).cast(cases.schema[c].dataType).alias(f"__{c}") for c in fields])
+    first = lambda c: (F.coalesce(c, f"__{c}") if missing_only else F.coalesce(f"__{c}", c)).alias(c)
+    return cases.join(new, "case_id", "left").select(*[first(c) if c in fields else F.col(c) for c in cases.columns])
+
+
 @dataclass
 class DailyRun:
     """Tables of a run by name; every task reads them and may write new versions below ``store``.
 
-    Expected: cases, case_events, docket_documents, analyses; ``parsed_events`` and ``incoming`` as the day's intake.
+    Expected: cases, case_events, docket_documents, analyses; ``parsed_events`` and ``incoming`` as the day's intake,
+    with ``incoming_events`` and ``quarantine`` if new cases are to be judged. Finalized cases are left as they are.
     Each result is written out and read back, so a later task starts from files and not from a growing plan.
     """
 
@@ -41,40 +63,91 @@ class DailyRun:
         return saved.count()
 
     def ingest(self) -> int:
-        return self.save(upsert_cases(self.tables["cases"], self.tables["incoming"], self.as_of), "cases_ingested", "cases")
+        """Known case numbers are brought up to date; unknown ones become cases if the candidate rule holds, else they are
+        put in quarantine with their events. ``incoming_events`` (case_number and event columns) is optional."""
+        incoming, cases = self.tables["incoming"], self.tables["cases"]
+        events = self.tables.get("incoming_events")
+        if events is not None:
+            known = incoming.join(cases.select("case_number"), "case_number", "left_semi")
+            unknown = incoming.join(cases.select("case_number"), "case_number", "left_anti")
+            judged = unknown.join(candidates(unknown, events, "case_number").select("case_number", "is_candidate"), "case_number")
+            self.save(judged, "incoming_judged")
+            judged = self.tables["incoming_judged"]
+            packed = events.groupBy("case_number").agg(F.array_sort(F.collect_list(F.struct(
+                F.date_format("event_date", "MM/dd/yyyy").alias("event_date"), "event_type", "document_title",
+                F.lit(False).alias("has_document")))).alias("events"))
+            refused = judged.where(~F.col("is_candidate")).select("case_number", "case_type").join(packed, "case_number", "left")
+            kept = self.tables.get("quarantine", self.spark.createDataFrame([], "case_number string, scrape_date date"))
+            self.save(quarantine(refused, kept, str(self.as_of)[:10]), "quarantine_added")
+            # a stable id from the number, so that a repeated run makes the same case
+            accepted = judged.where("is_candidate").drop("is_candidate").withColumn("case_id", case_id_of("case_number"))
+            incoming = known.unionByName(accepted, allowMissingColumns=True)
+            own = events.join(accepted.select("case_number", "case_id"), "case_number")
+            children = own.select(
+                F.xxhash64("case_number", "event_date", "event_type", "event_description").alias("event_id"), "case_id",
+                "event_date", "event_type", "event_description")
+            self.save(self.tables["case_events"].unionByName(children.distinct(), allowMissingColumns=True), "case_events_ingested", "case_events")
+        return self.save(upsert_cases(cases, incoming, self.as_of), "cases_ingested", "cases")
+
+    def extract(self) -> int:
+        t = self.tables
+        todo = t["cases"].where(~_finalized())
+        read = extract_cases(todo, _own(t["case_events"], todo), _own(t["docket_documents"], todo))
+        done = sticky_apply(todo, read).unionByName(t["cases"].where(_finalized()), allowMissingColumns=True)
+        return self.save(done, "cases_extracted", "cases")
 
     def monitor(self) -> int:
-        stored, parsed = self.tables["case_events"], self.tables["parsed_events"]
-        fresh = new_events(stored, parsed)
-        added = self.save(fresh, "events_added")
+        """New events of the cases still open, then their states, history, triggers, bids and finalization."""
+        open_cases, done = self.tables["cases"].where(~_finalized()), self.tables["cases"].where(_finalized())
+        stored, parsed = self.tables["case_events"], _own(self.tables["parsed_events"], open_cases)
+        added = self.save(new_events(stored, parsed), "events_added")
         whole = fill_descriptions(stored, parsed).unionByName(self.tables["events_added"], allowMissingColumns=True)
         self.save(whole, "case_events_monitored", "case_events")
-        cases = self.tables["cases"]
-        sold = sale_on_upcoming(cases, self.tables["events_added"]).select(
-            "case_id", F.col("sale_date").alias("__s"), F.col("next_bid_deadline").alias("__d"))
-        cases = cases.join(sold, "case_id", "left").withColumns({
-            "sale_date": F.coalesce("__s", "sale_date"), "next_bid_deadline": F.coalesce("__d", "next_bid_deadline")}).drop("__s", "__d")
-        applied = apply_state(cases, self.tables["case_events"], self.as_of, keep_when_null=True)
-        self.save(applied, "cases_monitored")
-        self.save(transitions(self.tables["cases_monitored"]), "transitions")
-        self.save(entered_state(self.tables["cases_monitored"]).select("case_id", "case_number"), "entered_upset_bid")
-        self.save(finalize(self.tables["cases_monitored"].drop("old_classification"), self.tables["case_events"], self.as_of).drop(
-            "finalized_at", "finalized_event_id"), "cases_final", "cases")
+        events = self.tables["case_events"]
+        fields = ["sale_date", "next_bid_deadline"]
+        sold = merged(open_cases, sale_on_upcoming(open_cases, self.tables["events_added"]), fields)
+        self.save(apply_state(sold, _own(events, open_cases), self.as_of, keep_when_null=True), "cases_monitored")
+        monitored = self.tables["cases_monitored"]
+        self.save(transitions(monitored).withColumn("changed_at", as_moment(self.as_of).cast("timestamp_ntz")), "transitions")
+        self.save(entered_state(monitored).select("case_id", "case_number"), "entered_upset_bid")
+        current = monitored.drop("old_classification")
+        upset = current.where(F.col("classification") == R.UPSET_BID)
+        bids = bid_update(upset, _own(events, upset), _own(self.tables["docket_documents"], upset)).withColumn(
+            "next_bid_deadline", midnight(F.col("deadline")))
+        current = merged(current, bids, ["current_bid_amount", "minimum_next_bid", "next_bid_deadline", "sale_date"])
+        final = finalize(current, _own(events, open_cases), self.as_of)
+        self.save(final.unionByName(done, allowMissingColumns=True), "cases_final", "cases")
         return added
 
-    def extract(self) -> int:
-        t = self.tables
-        read = extract_cases(t["cases"], t["case_events"], t["docket_documents"])
-        return self.save(sticky_apply(t["cases"], read), "cases_extracted", "cases")
-
     def validate(self) -> int:
         return self.save(missing_sets(self.tables["cases"]), "incomplete")
 
     def stale(self) -> int:
-        return self.save(stale_pass(self.tables["cases"], self.tables["case_events"], self.as_of), "stale")
+        """Past deadlines are extended or the case is classified again; both are written into the cases."""
+        cases = self.tables["cases"]
+        open_cases = cases.where(~_finalized())
+        count = self.save(stale_pass(open_cases, _own(self.tables["case_events"], open_cases), self.as_of), "stale")
+        found = self.tables["stale"].withColumn("classification", F.col("new_state"))
+        stamp = cases.join(found.select("case_id", F.col("new_state").alias("__n")), "case_id", "left")
+        stamp = stamp.withColumn("closed_sold_at", F.when(
+            (F.col("__n") == R.CLOSED_SOLD) & ~F.col("classification").eqNullSafe(F.lit(R.CLOSED_SOLD)), as_moment(self.as_of)
+        ).otherwise(F.col("closed_sold_at"))).drop("__n")
+        moved = found.where("new_state IS NOT NULL").join(cases.select("case_id", F.col("classification").alias("old_classification")), "case_id")
+        self.save(transitions(moved.drop("new_state"), "stale").withColumn("changed_at", as_moment(self.as_of).cast("timestamp_ntz")), "transitions_stale")
+        self.save(merged(stamp, found, ["classification", "next_bid_deadline"]), "cases_fresh", "cases")
+        return count
 
     def heal(self) -> int:
-        return self.save(heal_report(self.tables["cases"], self.tables["case_events"], self.tables["docket_documents"]), "healed")
+        """Incomplete upset_bid cases read again: fields that were missing are written into the cases."""
+        t = self.tables
+        cases = t["cases"]
+        count = self.save(heal_report(cases, t["case_events"], t["docket_documents"]), "healed")
+        ailing = cases.join(t["healed"].select("case_id"), "case_id", "left_semi")
+        read = sticky_apply(ailing, extract_cases(ailing, _own(t["case_events"], ailing), _own(t["docket_documents"], ailing)))
+        whole = read.unionByName(cases.join(t["healed"].select("case_id"), "case_id", "left_anti"), allowMissingColumns=True)
+        whole = merged(whole, missing_bid_repair(ailing, t["docket_documents"]), ["current_bid_amount", "minimum_next_bid"], missing_only=True)
+        self.save(whole, "cases_healed", "cases")
+        return count
 
     def queue(self) -> int:
         upset = self.tables["cases"].where(F.col("classification") == R.UPSET_BID)

@@ -1,6 +1,8 @@
 """The paths huge groups take, against brute force, and what must hold when work is repeated."""
 
 import random
+from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -76,15 +78,36 @@ def test_new_events_twice_adds_nothing(spark):
 
 
 def test_batch_run_again_changes_nothing(spark, tmp_path):
-    cases = spark.createDataFrame([(1, "Foreclosure", "upcoming", None, None, None, None, None)],
-                                  "case_id bigint, case_type string, classification string, sale_date date, current_bid_amount decimal(12,2), minimum_next_bid decimal(12,2), next_bid_deadline timestamp_ntz, closed_sold_at timestamp_ntz")
+    cases = spark.createDataFrame([(1, "24SP000001-910", "Foreclosure", "upcoming", None, None, None, None, None)],
+                                  "case_id bigint, case_number string, case_type string, classification string, sale_date date, current_bid_amount decimal(12,2), minimum_next_bid decimal(12,2), next_bid_deadline timestamp_ntz, closed_sold_at timestamp_ntz")
     batch = lambda i, kind: spark.createDataFrame([(i, 1, i, kind, None)], "event_id bigint, case_id bigint, event_index int, event_type string, event_description string").withColumn("event_date", F.to_date(F.lit("2024-01-02")))
     taken = EventIntake(cases, str(tmp_path / "store"), "2024-06-14 12:00:00")
     taken.take_batch(batch(1, "Notice of Hearing"), 0)
     taken.take_batch(batch(2, "Report of Sale"), 1)
     taken.take_batch(batch(2, "Report of Sale"), 1)
     assert taken.stored_events().count() == 2
-    assert [tuple(r) for r in taken.states().collect()] == [(1, "closed_sold")]
+    assert [(r.case_id, r.classification) for r in taken.states().collect()] == [(1, "closed_sold")]
+    assert [(r.old_classification, r.new_classification) for r in taken.transitions().orderBy("batch_id").collect()][-1][1] == "closed_sold"
+
+
+def test_a_resale_in_a_later_batch_clears_the_bids(spark, tmp_path):
+    fields = "case_id bigint, case_number string, case_type string, classification string, sale_date date, current_bid_amount decimal(12,2), minimum_next_bid decimal(12,2), next_bid_deadline timestamp_ntz, closed_sold_at timestamp_ntz"
+    cases = spark.createDataFrame([(n, f"24SP00000{n}-910", "Foreclosure", "upcoming", None, Decimal(100 * n), Decimal(105 * n), None, None) for n in (1, 2, 3)], fields)
+    event = lambda i, case, day, kind: spark.createDataFrame([(i, case, i, day, kind, None)], "event_id bigint, case_id bigint, event_index int, event_date date, event_type string, event_description string")
+    taken = EventIntake(cases, str(tmp_path / "store"), "2024-06-14 12:00:00", buckets=2)
+    taken.take_batch(event(1, 1, date(2024, 3, 1), "Report of Sale"), 0)
+    taken.take_batch(event(2, 2, date(2024, 6, 10), "Report of Sale"), 1)
+    first = {r.case_id: r for r in taken.states().collect()}
+    assert (first[1].classification, first[1].sale_date, first[1].current_bid_amount) == ("closed_sold", date(2024, 3, 1), 100)
+    assert (first[2].classification, first[3].classification) == ("upset_bid", "upcoming") and first[1].closed_sold_at is not None
+    taken.take_batch(event(3, 1, date(2024, 6, 12), "Report of Sale"), 2)
+    taken.take_batch(event(3, 1, date(2024, 6, 12), "Report of Sale"), 2)
+    again = {r.case_id: r for r in taken.states().collect()}
+    assert (again[1].classification, again[1].sale_date, again[1].current_bid_amount, again[1].closed_sold_at) == ("upset_bid", date(2024, 6, 12), None, None)
+    assert again[2] == first[2] and again[3] == first[3]
+    assert sorted((r.batch_id, r.case_id, r.new_classification) for r in taken.transitions().collect()) == [(0, 1, "closed_sold"), (1, 2, "upset_bid"), (2, 1, "upset_bid")]
+    assert sorted((r.batch_id, r.case_number) for r in taken.triggers().collect()) == [(1, "24SP000002-910"), (2, "24SP000001-910")]
+    assert taken.compact() >= 1 and {r.case_id: r for r in taken.states().collect()} == again and taken.compact() == 0
 
 
 def test_pages_cover_everything_once(spark):
