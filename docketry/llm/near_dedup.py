@@ -158,7 +158,8 @@ def near_links(nodes: DataFrame) -> DataFrame:
     number = nodes.count()
     depth = min(DEEPEST, max(0, int(np.ceil(np.log2(max(1, number) / SHARD)))))
     sample = sample_by_hash(nodes, F.col("bits"), SAMPLE).select("bits").limit(SAMPLE).toPandas()["bits"].to_numpy(np.int64).view(np.uint64)
-    tree = nodes.sparkSession.sparkContext.broadcast(Tree(sample, depth))
+    built = Tree(sample, depth)
+    tree = nodes.sparkSession.sparkContext.broadcast(built)
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -170,7 +171,8 @@ def near_links(nodes: DataFrame) -> DataFrame:
         both = np.concatenate([np.zeros((2, 0), np.uint64), *found], axis=1).view(np.int64)
         return pd.DataFrame({"a": both[0], "b": both[1]})
 
-    dealt = nodes.select("bits").mapInPandas(deal, "shard int, bits long")
+    # a shard's rows are few and its work is not: a fixed number of partitions keeps small shards from being merged
+    dealt = nodes.select("bits").mapInPandas(deal, "shard int, bits long").repartition(4 * built.leaves, "shard")
     return dealt.groupBy("shard").applyInPandas(compare, "a long, b long")
 
 
