@@ -11,6 +11,7 @@ from docketry.operators.documents import link_by_start, select_corpus
 from docketry.operators.extraction import joined_address
 from docketry.operators.parcels import match_street_ranges
 from docketry.operators.ranking import running_total
+from docketry.plans.catalog import QUERIES
 from docketry.plans.serving import case_page
 from docketry.streaming.intake import EventIntake, new_events
 
@@ -115,3 +116,10 @@ def test_pages_cover_everything_once(spark):
     seen = [r["case_id"] for p in range(1, 6) for r in case_page(cases, "current_bid_amount", page=p, size=10).collect()]
     assert len(seen) == 45 and len(set(seen)) == 45
     assert case_page(cases, "no such column", size=500).count() == 45
+
+
+def test_event_views_read_the_fact_table_once(spark):
+    plan = QUERIES["event_flags"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1
+    executed = QUERIES["event_flags"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange") <= 1
