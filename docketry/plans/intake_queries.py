@@ -51,7 +51,9 @@ def case_pages(t):
         info("Respondent", F.concat(F.lit("Party&nbsp;"), F.col("case_id").cast("string"))), info("Bystander", F.lit("Nobody")), F.lit("</table>"),
         F.coalesce("blocks", F.lit("")), F.lit('<div ng-repeat="hearing in hearings">\n'), F.date_format(F.date_add("file_date", 20), "MM/dd/yyyy"),
         F.lit("\nForeclosure Hearing (2:30 PM)\n</div></html>"))
-    return p.select((F.col("case_id") * 1000 + F.col("chunk")).alias("page_id"), html.alias("html"))
+    # reading markup is the work here, so small pages must not be merged into a few tasks
+    parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    return p.select((F.col("case_id") * 1000 + F.col("chunk")).alias("page_id"), html.alias("html")).repartition(parts, "page_id")
 
 
 @query("case_page_cases", """SELECT case_id, case_type, 'Open' AS case_status, file_date, CASE WHEN starts_with(style,'FORECLOSURE') THEN style END AS style FROM cases
