@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"dkT1"
-LANES = 4_096
+LANES = 4_096  # at most 65,536
 SHORTEST_LANE = 64
 SLOTS = 1 << 17  # of the order-2 predictor
 STATES = 16  # levels of confidence
@@ -29,6 +29,7 @@ SCALE = 1 << 16  # of a binary decision
 _HIGH = np.uint64(1 << 32)
 _LOW_WORD = np.uint64((1 << 32) - 1)
 _32 = np.uint64(32)
+_BITS = np.uint64(16)  # of SCALE
 
 
 #: ln(p / (1 - p)) in units of 1/256 for p in steps of 1/4096, and back to p out of SCALE: whole numbers, so that every
@@ -37,6 +38,7 @@ _STRETCH = np.array([round(256 * math.log((2 * i + 1) / (8191 - 2 * i))) for i i
 _FAR = 2_300
 _SQUASH = np.array([min(SCALE - 64, max(64, round(SCALE / (1 + math.exp(-i / 256))))) for i in range(-_FAR, _FAR + 1)], np.int64)
 _UNIT = 1 << 16  # of a weight
+_SECOND = np.arange(STATES * STATES) & (STATES - 1)  # of a state, the lower predictor's confidence
 
 
 class _Model:
@@ -62,25 +64,42 @@ class _Model:
         self.total = int(self.sums[-1])
         self.sure = _STRETCH[self.rates >> 4]
 
-    def chance(self, which: int, state: np.ndarray, named: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Probability out of ``SCALE`` that the named id comes, and the mixer's inputs."""
-        x = [self.sure[which][state], self.sure[1][state & 15], _STRETCH[self.counts[named] * 4095 // self.total]]
-        mixed = (sum(w * part for w, part in zip(self.weights[which], x, strict=True)) // _UNIT).clip(-_FAR, _FAR)
-        return _SQUASH[mixed + _FAR], x
-
-    def learn_hit(self, which: int, state: np.ndarray, p: np.ndarray, x: list[np.ndarray], hit: np.ndarray) -> None:
+    def chance(self, which: int, state: np.ndarray, named: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability out of ``SCALE`` that the named id comes, and the mixer's input from the id's own share.
+
+        The other two inputs hang on the state alone, so they are mixed once for each state."""
+        w = self.weights[which]
+        known = w[0] * self.sure[which] + w[1] * self.sure[1][_SECOND]
+        share = _STRETCH[self.counts[named] * 4095 // self.total]
+        mixed = share * w[2]
+        mixed += known[state]
+        mixed >>= 16
+        np.clip(mixed, -_FAR, _FAR, out=mixed)
+        mixed += _FAR
+        return _SQUASH[mixed], share
+
+    def learn_hit(self, which: int, state: np.ndarray, p: np.ndarray, share: np.ndarray, hit: np.ndarray) -> None:
         if not len(state):
             return
         rates = self.rates[which]
-        n = np.bincount(state, minlength=STATES * STATES)
-        hits = np.bincount(state[hit], minlength=STATES * STATES)
+        missed, hits = np.bincount(state + STATES * STATES * hit, minlength=2 * STATES * STATES).reshape(2, -1)
+        n = missed + hits
+        expected = np.bincount(state, p, STATES * STATES).astype(np.int64)  # sums far below 2**53 are exact
         rates += (hits * SCALE - rates * n) // (n + 32)
         np.clip(rates, 64, SCALE - 64, out=rates)
-        off = hit * SCALE - p
-        for i, part in enumerate(x):
-            moved = self.weights[which][i] + int((part * off).sum()) // (len(state) * 12_800)
+        off = hits * SCALE - expected
+        errors = (self.sure[which] * off).sum(), (self.sure[1][_SECOND] * off).sum(), np.dot(share, hit * SCALE - p)
+        for i, error in enumerate(errors):
+            moved = self.weights[which][i] + int(error) // (len(state) * 12_800)
             self.weights[which][i] = min(3 * _UNIT, max(-2 * _UNIT, moved))
 
+    def at(self, values: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 stretches hold the values; searched in ascending order, which stays in the cache."""
+        order = np.argsort(values)
+        ids = np.empty(len(values), np.int64)
+        ids[order] = np.searchsorted(self.sums, values[order], "right") - 1
+        return ids
+
     def learn(self, ids: np.ndarray, missed: np.ndarray) -> None:
         n = len(ids)
         self.two[self.slot] = self._taught(ids, self.named2, self.sure2)
@@ -88,7 +107,7 @@ class _Model:
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
         if len(missed):
-            self.counts += np.bincount(missed, minlength=self.vocabulary) * STEP
+            np.add.at(self.counts, missed, STEP)
             np.cumsum(self.counts, out=self.sums[1:])
 
     @staticmethod
@@ -102,10 +121,18 @@ class _Writer:
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
         self.lane, self.word = [], []
 
-    def code(self, at: np.ndarray | slice, start: np.ndarray, size: np.ndarray, total: int) -> None:
+    def decide(self, at: np.ndarray | slice, p: np.ndarray, hit: np.ndarray) -> None:
+        part = self.range[at] >> _BITS
+        bound = part * p.astype(np.uint64)
+        self.low[at] += bound * ~hit
+        self._narrow(at, np.where(hit, bound, (part << _BITS) - bound))
+
+    def code(self, at: np.ndarray, start: np.ndarray, size: np.ndarray, total: int) -> None:
         part = self.range[at] // np.uint64(total)
         self.low[at] += part * start.astype(np.uint64)
-        room = part * size.astype(np.uint64)
+        self._narrow(at, part * size.astype(np.uint64))
+
+    def _narrow(self, at: np.ndarray | slice, room: np.ndarray) -> None:
         self.range[at] = room
         short = np.flatnonzero(room < _HIGH)
         if not isinstance(at, slice):
@@ -121,7 +148,7 @@ class _Writer:
         for shift in (_32, np.uint64(0)):
             self.lane.append(np.arange(lanes))
             self.word.append((self.low >> shift).astype(np.uint32))
-        lane, word = np.concatenate(self.lane), np.concatenate(self.word)
+        lane, word = np.concatenate(self.lane).astype(np.uint16), np.concatenate(self.word)  # short keys sort by radix
         return np.bincount(lane, minlength=lanes), word[np.argsort(lane, kind="stable")]
 
 
@@ -139,15 +166,24 @@ class _Reader:
         self.off = self.words[self.at] << _32 | self.words[self.at + 1]  # code minus low
         self.at += 2
 
-    def value(self, at: np.ndarray | slice, total: int) -> np.ndarray:
+    def decide(self, at: np.ndarray | slice, p: np.ndarray) -> np.ndarray:
+        part = self.range[at] >> _BITS
+        bound = part * p.astype(np.uint64)
+        hit = self.off[at] < bound
+        begin = bound * ~hit
+        self._narrow(at, begin, np.where(hit, bound, (part << _BITS) - bound))
+        return hit
+
+    def value(self, at: np.ndarray, total: int) -> np.ndarray:
         self.part = self.range[at] // np.uint64(total)
         return np.minimum(self.off[at] // self.part, np.uint64(total - 1)).astype(np.int64)
 
-    def code(self, at: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
-        begin = self.part * start.astype(np.uint64)
+    def code(self, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        self._narrow(at, self.part * start.astype(np.uint64), self.part * size.astype(np.uint64))
+
+    def _narrow(self, at: np.ndarray | slice, begin: np.ndarray, room: np.ndarray) -> None:
         self.low[at] += begin
         self.off[at] -= begin
-        room = self.part * size.astype(np.uint64)
         self.range[at] = room
         short = np.flatnonzero(room < _HIGH)
         if not isinstance(at, slice):
@@ -184,11 +220,11 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         model.name(n)
         p, x = model.chance(0, model.state, model.first)
         hit = now == model.first
-        out.code(slice(0, n), np.where(hit, 0, p), np.where(hit, p, SCALE - p), SCALE)
+        out.decide(slice(0, n), p, hit)
         second = np.flatnonzero(~hit & (model.named1 != model.first))
         p1, x1 = model.chance(1, model.sure1[second], model.named1[second])
         hit1 = now[second] == model.named1[second]
-        out.code(second, np.where(hit1, 0, p1), np.where(hit1, p1, SCALE - p1), SCALE)
+        out.decide(second, p1, hit1)
         left = ~hit
         left[second[hit1]] = False
         missed = np.flatnonzero(left)
@@ -222,18 +258,16 @@ def decode_block(block: bytes) -> np.ndarray:
         model.name(n)
         now = table[step, :n]
         p, x = model.chance(0, model.state, model.first)
-        hit = source.value(slice(0, n), SCALE) < p
-        source.code(slice(0, n), np.where(hit, 0, p), np.where(hit, p, SCALE - p))
-        now[hit] = model.first[hit]
+        hit = source.decide(slice(0, n), p)
+        now[:] = np.where(hit, model.first, 0)
         second = np.flatnonzero(~hit & (model.named1 != model.first))
         p1, x1 = model.chance(1, model.sure1[second], model.named1[second])
-        hit1 = source.value(second, SCALE) < p1
-        source.code(second, np.where(hit1, 0, p1), np.where(hit1, p1, SCALE - p1))
+        hit1 = source.decide(second, p1)
         now[second[hit1]] = model.named1[second[hit1]]
         left = ~hit
         left[second[hit1]] = False
         missed = np.flatnonzero(left)
-        sign = np.searchsorted(model.sums, source.value(missed, model.total), "right") - 1
+        sign = model.at(source.value(missed, model.total))
         source.code(missed, model.sums[sign], model.counts[sign])
         now[missed] = sign
         model.learn_hit(0, model.state, p, x, hit)
