@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import plain
 from docketry.llm.id_codec import decode_block, encode_block
-from docketry.llm.tokens import bounded, encoder
+from docketry.llm.tokens import ENCODED_CHARS, bounded, encoder
 
 BLOCK = 1 << 20  # ids
 COLUMNS = "shard int, block int, run int, start long, doc_ids array<{id_type}>, ends array<int>, payload binary"
@@ -79,7 +79,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_i
         for batch in batches:
             blocks = blocks or _Blocks(_block_schema(batch.schema.field("doc_id").type), vocabulary, block)
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in bounded(texts):
+            for a, b in bounded(texts, ENCODED_CHARS):
                 for doc_id, ids in zip(doc_ids[a:b], encoder(tokenizer, keep_white).encode(texts[a:b]), strict=True):
                     yield from blocks.add(doc_id, ids + end)
         if blocks and blocks.held:

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from docketry.llm.common import plain
-from docketry.llm.tokens import bounded, encoder
+from docketry.llm.tokens import ENCODED_CHARS, bounded, encoder
 
 LENGTH = 4096
 OPEN_SEQUENCES = 512
@@ -72,7 +72,7 @@ def packed(docs: DataFrame, encode: Callable[[list[str | None]], list[bytes]], e
         first = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in bounded(texts):
+            for a, b in bounded(texts, ENCODED_CHARS):
                 row, piece, start, length, ids, sequence, offset = [], [], [], [], [], [], []
                 for i, coded in enumerate(encode(texts[a:b]), a):
                     coded += end

@@ -9,11 +9,17 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
+
+import numpy as np
 
 #: Unicode's White_Space property, as the tokenizers' own patterns mean it (Python's \s has four more characters).
 WHITE = "\t-\r \x85\xa0  -     　"
+_SPACE, _WORD_END = "\u0120", "</w>"  # fixed: how the vocabularies write a space byte and the end of a word
 CACHED_PIECES = 600_000  # of each of the two generations in a Python worker
 LONGEST_CACHED = 40
+ENCODED_CHARS = 250_000  # encoded at once: what a slice touches stays in the cache
+JOINED = 200  # new pieces of one form that are looked up as one text
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,36 +38,80 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._pieces = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+" if keep_white else f"[^{WHITE}]+").findall
+        self._keep_white, self._white = keep_white, set(re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001)))))
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, number in vocabulary.items():
+            self._edge[number] = token.startswith(_SPACE) if keep_white else token.endswith(_WORD_END)
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}  # used up to the last turn; what is still met moves on
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; NULL counts as empty."""
-        parts = [self._pieces(t) if t else [] for t in texts]
-        ids = self._ids({p for row in parts for p in row})
-        return [b"".join([ids[p] for p in row]) for row in parts]
+        known = self._young.get
+        parts, ids, gaps, new = [], [], [], set()
+        for t in texts:
+            row = self._pieces(t) if t else []
+            found = list(map(known, row))
+            gap = [i for i, v in enumerate(found) if v is None]
+            new.update([row[i] for i in gap])
+            parts.append(row)
+            ids.append(found)
+            gaps.append(gap)
+        if new:
+            filled = self._ids(new)
+            for row, found, gap in zip(parts, ids, gaps, strict=True):
+                for i in gap:
+                    found[i] = filled[row[i]]
+        return [b"".join(found) for found in ids]
 
     def _ids(self, wanted: set[str]) -> dict[str, bytes]:
-        found, new = {}, []
-        for p in wanted:
-            known = self._young.get(p)
-            if known is None:
-                known = self._old.get(p)
-                if known is not None and len(self._young) < CACHED_PIECES:
-                    self._young[p] = known
-            if known is None:
-                new.append(p)
-            else:
-                found[p] = known
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for piece, e in zip(some, self._tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                found[piece] = known = array("I", e.ids).tobytes()
-                if len(piece) <= LONGEST_CACHED:
-                    if len(self._young) >= CACHED_PIECES:
-                        self._old, self._young = self._young, {}
-                    self._young[piece] = known
-        return found
+        """Ids of pieces that are not in the young generation, which takes them in."""
+        filled = {p: known for p in wanted if (known := self._old.get(p)) is not None}
+        for p, known in filled.items():
+            if len(self._young) >= CACHED_PIECES:
+                break
+            self._young[p] = known
+        new = [p for p in wanted if p not in filled]
+        regular, others = [], []
+        for p in new:
+            (regular if self._is_regular(p) else others).append(p)
+        made = {}
+        for i in range(0, len(regular), 20_000):
+            made.update(self._of_regular(regular[i : i + 20_000]))
+        for i in range(0, len(others), 20_000):
+            made.update(self._one_by_one(others[i : i + 20_000]))
+        for p, known in made.items():
+            if len(p) <= LONGEST_CACHED:
+                if len(self._young) >= CACHED_PIECES:
+                    self._old, self._young = self._young, {}
+                self._young[p] = known
+        return filled | made
+
+    def _is_regular(self, piece: str) -> bool:
+        """Whether the piece's ids show where it begins (one space, then other signs) or ends (one word of letters)."""
+        if self._keep_white:
+            return piece[0] == " " and len(piece) > 1 and piece[1] not in self._white
+        return piece.isascii() and piece.isalpha()
+
+    def _one_by_one(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        for piece, e in zip(pieces, self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+            yield piece, array("I", e.ids).tobytes()
+
+    def _of_regular(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Many pieces a call, as one text; parted where ids begin with a space, or behind those that end a word."""
+        groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        glue = "" if self._keep_white else " "
+        for group, e in zip(groups, self._tokenizer.encode_batch_fast([glue.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            marks = np.flatnonzero(self._edge[ids])
+            if len(marks) != len(group):
+                yield from self._one_by_one(group)
+                continue
+            raw = ids.tobytes()
+            bounds = (4 * marks).tolist() + [len(raw)] if self._keep_white else [0] + (4 * marks + 4).tolist()
+            for piece, start, end in zip(group, bounds, bounds[1:], strict=False):
+                yield piece, raw[start:end]
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
