@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"dkT1"
-LANES = 4_096  # at most 65,536
+LANES = 16_384  # at most 65,536
 SHORTEST_LANE = 64
 SLOTS = 1 << 17  # of the order-2 predictor
 STATES = 16  # levels of confidence

@@ -20,7 +20,7 @@ from docketry.llm.common import plain
 from docketry.llm.id_codec import decode_block, encode_block
 from docketry.llm.tokens import ENCODED_CHARS, bounded, encoder
 
-BLOCK = 1 << 20  # ids
+BLOCK = 1 << 21  # ids
 COLUMNS = "shard int, block int, run int, start long, doc_ids array<{id_type}>, ends array<int>, payload binary"
 
 
