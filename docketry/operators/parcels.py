@@ -28,6 +28,20 @@ def _city_code(city: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), F.lower(city))
 
 
+def _rolled_up(fine: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """``_accounts`` of fewer keys out of those by city, which are far fewer rows than the parcels."""
+    return fine.groupBy(*keys).agg(F.sum("city_rows").alias(f"{label}_rows"), F.min("city_low").alias(f"{label}_low"),
+                                   F.max("city_high").alias(f"{label}_high"))
+
+
+def _left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on a text column. Rows of ``left`` without a key match nothing: a key of their own, which starts with a
+    sign no key has, spreads them over all tasks."""
+    own = F.concat(F.lit("\u0000"), F.col("case_id").cast("string"))
+    return left.withColumn("__key", F.coalesce(F.col(key), own)).join(
+        right.withColumnRenamed(key, "__key"), "__key", "left").drop("__key")
+
+
 def match_parcels(addresses: DataFrame, parcels: DataFrame) -> DataFrame:
     """Account per parsed address (case_id, stnum, prefix, name, city): (case_id, account_id, matches_found).
 
@@ -36,12 +50,13 @@ def match_parcels(addresses: DataFrame, parcels: DataFrame) -> DataFrame:
     """
     p = parcels.select("account_id", "stnum", F.upper(F.coalesce(F.trim("prefix"), F.lit(""))).alias("prefix"),
                        F.upper("street_name").alias("name"), F.upper("etj").alias("etj"))
+    fine = _accounts(p, ["stnum", "name", "prefix", "etj"], "city")
     a = addresses.select("case_id", "stnum", F.coalesce("prefix", F.lit("")).alias("prefix"), F.upper("name").alias("name"),
                          _city_code(F.col("city")).alias("etj"))
     t = (
-        a.join(_accounts(p, ["stnum", "name"], "wide"), ["stnum", "name"], "left")
-        .join(_accounts(p, ["stnum", "name", "prefix"], "street"), ["stnum", "name", "prefix"], "left")
-        .join(_accounts(p, ["stnum", "name", "prefix", "etj"], "city"), ["stnum", "name", "prefix", "etj"], "left")
+        a.join(_rolled_up(fine, ["stnum", "name"], "wide"), ["stnum", "name"], "left")
+        .join(_rolled_up(fine, ["stnum", "name", "prefix"], "street"), ["stnum", "name", "prefix"], "left")
+        .join(fine, ["stnum", "name", "prefix", "etj"], "left")
     )
     has_city, has_prefix = F.col("etj").isNotNull(), F.col("prefix") != ""
     low = F.when(has_city, F.col("city_low")).otherwise(F.col("street_low"))
@@ -97,8 +112,8 @@ def enrich(cases: DataFrame, parcels: DataFrame, parcel_ids: DataFrame) -> DataF
     searchable = F.col("stnum").isNotNull() & (F.length("name") > 0)
     by_address = match_parcels(parsed.where(searchable), parcels)
     t = (
-        parsed.withColumn("parcel_id", F.when(parcel_split(F.col("parcel_id")).isNotNull(), F.trim("parcel_id")))
-        .join(by_id, "parcel_id", "left").join(by_address, "case_id", "left")
+        _left_join(parsed.withColumn("parcel_id", F.when(parcel_split(F.col("parcel_id")).isNotNull(), F.trim("parcel_id"))), by_id, "parcel_id")
+        .join(by_address, "case_id", "left")
     )
     has_id, has_address = F.col("parcel_id").isNotNull(), F.length("property_address") > 0
     id_rows = F.coalesce("id_rows", F.lit(0))
@@ -148,8 +163,7 @@ def resolve_reviews(log: DataFrame, resolutions: DataFrame, as_of: datetime) ->
 def join_valuations(cases: DataFrame, valuations: DataFrame, enriched: DataFrame, force: bool = False) -> DataFrame:
     """Value by address for cases not valued yet (or all, when forced)."""
     todo = cases if force else cases.join(enriched.where(F.col("ref_id").isNotNull()).select("case_id"), "case_id", "left_anti")
-    t = todo.select("case_id", F.nullif(F.col("property_address"), F.lit("")).alias("property_address")).join(
-        valuations, "property_address", "left")
+    t = _left_join(todo.select("case_id", F.nullif(F.col("property_address"), F.lit("")).alias("property_address")), valuations, "property_address")
     error = F.when(F.col("property_address").isNull(), "No property_address available").when(F.col("estimate").isNull(), "No value found")
     return t.select("case_id", "estimate", error.alias("error"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docketry.operators.documents import link_by_start, select_corpus
 from docketry.operators.extraction import joined_address
-from docketry.operators.parcels import match_street_ranges
+from docketry.operators.parcels import join_valuations, match_parcels, match_street_ranges
 from docketry.operators.ranking import running_total
 from docketry.plans.catalog import QUERIES
 from docketry.plans.serving import case_page
@@ -123,3 +123,24 @@ def test_event_views_read_the_fact_table_once(spark):
     assert plan.count("FileScan") == 1
     executed = QUERIES["event_flags"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert executed.count("Exchange") <= 1
+
+
+def test_parcels_counted_at_every_level(spark):
+    parcels = spark.createDataFrame(
+        [("a", "12", "N", "Oak", "RA"), ("a", "12", "N", "Oak", "CA"), ("b", "12", "S", "Oak", "CA"), ("c", "7", None, "Elm", None)],
+        "account_id string, stnum string, prefix string, street_name string, etj string")
+    addresses = spark.createDataFrame(
+        [(1, "12", "N", "Oak", None), (2, "12", None, "Oak", "Cary"), (3, "12", "S", "oak", "Cary"), (4, "7", None, "Elm", "Apex"),
+         (5, None, None, None, None)], "case_id long, stnum string, prefix string, name string, city string")
+    got = {r.case_id: (r.account_id, r.matches_found) for r in match_parcels(addresses, parcels).collect()}
+    assert got == {1: ("a", 2), 2: (None, 3), 3: ("b", 1), 4: ("c", 1), 5: (None, 0)}
+
+
+def test_cases_without_an_address_are_spread_and_kept(spark):
+    cases = spark.createDataFrame([(i, None if i % 3 else "1 Oak St") for i in range(300)] + [(300, "")],
+                                  "case_id long, property_address string")
+    values = spark.createDataFrame([("1 Oak St", 5.0), (None, 7.0)], "property_address string, estimate double")
+    none = spark.createDataFrame([], "case_id long, ref_id string")
+    got = join_valuations(cases, values, none)
+    assert got.count() == 301 and got.where("estimate = 5").count() == 100
+    assert got.where("error = 'No property_address available'").count() == 201 and got.where("estimate = 7").count() == 0
