@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.llm.common import cut, plain
@@ -55,8 +55,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are the same after each run of ASCII white space became one space. NULL counts as the empty
-    text. The smallest id of a group stays; rows that repeat an id share its decision (``drop_copies`` then keeps one of
-    them). NULL ids are never chosen while the group has another id; a group of NULL ids only keeps all its rows.
+    text. The smallest id of a group stays; rows that repeat an id and a text share the decision (``drop_copies`` keeps one
+    of them). NULL ids are never chosen while the group has another id; a group of NULL ids only keeps all its rows.
     An empty table gives an empty result; further columns of ``docs`` are not read.
     """
     docs = plain(docs, id_col, text_col)
@@ -70,6 +70,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts; all columns stay. Rows with a NULL id stay."""
-    dropped = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return docs.join(dropped.distinct(), id_col, "left_anti").dropDuplicates([id_col])
+    """``docs`` with one row of each group of equal texts; all columns stay. The row is chosen by text, not by id: the one
+    with the smallest id, NULL ids last, so rows that share an id or have none are only dropped if their text stays."""
+    seed = next(s for s in count(1) if identifiers_are_unique(plain(docs, id_col, text_col), s))
+    listed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                         normalised(F.col(text_col).cast("string")).alias("norm"))
+    listed = listed.select("row", recipe(chunks(F.col("norm")), seed).alias("recipe"))
+    listed = listed.withColumn("hash", F.xxhash64("recipe"))  # sorts faster than the list
+    order = [F.col("row")[c].asc_nulls_last() for c in (id_col, text_col)]
+    first = F.row_number().over(Window.partitionBy("hash", "recipe").orderBy(*order))
+    return listed.withColumn("place", first).where("place = 1").select("row.*")

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.common import cut, plain, sample_by_hash
@@ -143,14 +143,19 @@ class Tree:
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, further columns) with ``bits`` in place of the text."""
+    further = docs.drop("doc_id", "text").schema
+    names = ["doc_id", "bits", *further.names]
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             parts = [fingerprints(texts[a:b]) for a, b in bounded(texts)]
             bits = np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], ["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits), *batch.columns[2:]], names)
 
-    return docs.mapInArrow(read, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, bits long")
+    kinds = [f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", "bits long", *[f"{f.name} {f.dataType.simpleString()}" for f in further]]
+    return docs.mapInArrow(read, ", ".join(kinds))
 
 
 def near_links(nodes: DataFrame) -> DataFrame:
@@ -176,6 +181,15 @@ def near_links(nodes: DataFrame) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(compare, "a long, b long")
 
 
+def _components(members: DataFrame, first: Column) -> DataFrame:
+    """(bits, first) for each fingerprint: the smallest ``first`` of all rows in its component."""
+    nodes = cut(members.groupBy("bits").agg(F.min(first).alias("own_first")))
+    roots = stars(near_links(nodes)).select(F.col("a").alias("bits"), F.col("b").alias("root"))
+    rooted = nodes.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+    named = rooted.groupBy("root").agg(F.min("own_first").alias("first"))
+    return rooted.join(named, "root").select("bits", "first")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest id it can reach).
 
@@ -184,17 +198,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     NULL. An empty table gives an empty result; further columns are not read.
     """
     members = cut(fingerprinted(plain(docs, id_col, text_col)))
-    nodes = cut(members.groupBy("bits").agg(F.min("doc_id").alias("first_id")))
-    roots = stars(near_links(nodes)).select(F.col("a").alias("bits"), F.col("b").alias("root"))
-    rooted = nodes.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    found = rooted.join(named, "root").select("bits", "component_id")
+    found = _components(members, F.col("doc_id")).withColumnRenamed("first", "component_id")
     return members.join(found, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _text_key(text: Column) -> Column:
+    """Tells rows that share an id apart: 128 bits of the text."""
+    return F.struct(F.xxhash64(F.lit(1), text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"))
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest id of each component; all columns stay, and so do rows with a NULL id."""
-    found = near_groups(docs, id_col, text_col)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col))
-    return docs.join(dropped.distinct(), id_col, "left_anti")
+    """``docs`` with the row of the smallest id of each component; all columns stay, and so do rows with a NULL id. Rows
+    are told apart by id and text, so a row is never dropped for another one that only shares its id."""
+    key = _text_key(F.col("text"))
+    rows = plain(docs, id_col, text_col).select("doc_id", "text", key["a"].alias("key_a"), key["b"].alias("key_b"))
+    members = cut(fingerprinted(rows))
+    row = F.struct("doc_id", "key_a", "key_b")
+    found = members.join(_components(members, F.when(F.col("doc_id").isNotNull(), row)), "bits")
+    dropped = found.where(F.col("doc_id").isNotNull() & (row != F.col("first"))).select("doc_id", "key_a", "key_b").distinct()
+    own = _text_key(docs[text_col].cast("string"))
+    same = (docs[id_col] == dropped["doc_id"]) & (own["a"] == dropped["key_a"]) & (own["b"] == dropped["key_b"])
+    return docs.join(dropped, same, "left_anti")

@@ -41,6 +41,25 @@ def test_drop_copies_keeps_all_columns_and_one_row(documents):
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == [1, 3, 7, 8, 9, 10, 11]
 
 
+def test_drop_copies_goes_by_text_not_by_id(documents):
+    texts = [*ODD, (None, "alone without an id"), (None, "another without an id"), (1, "A"), (5, "A"), (5, "B"), (6, "C"), (6, "D")]
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    left = [(r.doc_id, norm(r.text)) for r in exact_dedup.drop_copies(documents(texts)).collect()]
+    want = {}
+    for i, t in sorted(texts, key=lambda x: (x[0] is None, x[0] or 0)):
+        want.setdefault(norm(t), i)
+    assert sorted(left, key=str) == sorted(((i, t) for t, i in want.items()), key=str)
+
+
+def test_drop_near_copies_tells_rows_of_one_id_apart(documents):
+    text = " ".join(f"w{i}" for i in range(300))
+    other = " ".join(f"v{i}" for i in range(300))
+    rows = [(1, text), (5, text.upper()), (5, other), (None, "x y z"), (None, "p q r"), (7, "m n o"), (7, "M n  o")]
+    left = near_dedup.drop_near_copies(documents(rows)).collect()
+    found = sorted(((r.doc_id, r.text.lower().split()) for r in left), key=str)
+    assert found == sorted([(1, text.split()), (5, other.split()), (None, ["x", "y", "z"]), (None, ["p", "q", "r"]), (7, ["m", "n", "o"])], key=str)
+
+
 def test_chunks_join_to_the_text_and_are_cut_by_content(spark):
     rng = np.random.default_rng(3)
     words = " ".join(str(w) for w in rng.integers(0, 5000, 20_000))
