@@ -42,7 +42,7 @@ _TITLED = f"(?:{'|'.join(TITLES)})"
 
 #: Kind and pattern; the first that matches at a place wins. Bounded or possessive repeats, so long texts need no stack.
 PATTERNS = {
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|secret|token|api_key|apikey)\b\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,200}",
+    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|secret|token|api_key|apikey)\b\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,}+",
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
@@ -107,16 +107,31 @@ def _permuted_ip(ip: Column, key: str) -> Column:
     return F.concat_ws(".", *[x.cast("int").cast("string") for n in numbers for x in (F.floor(n / 256), n % 256)])
 
 
-def _refilled(shape: Column, digits: Column) -> Column:
-    """``shape`` with its digits replaced in order."""
+def _refilled(shape: Column, signs: Column, which: str = "[0-9]") -> Column:
+    """``shape`` with its digits, or the signs that match ``which``, replaced in order."""
     done = F.aggregate(
         F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("next")),
-        lambda s, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(s["out"], F.substring(digits, s["next"], F.lit(1))).alias("out"),
+        lambda s, c: F.when(c.rlike(which), F.struct(F.concat(s["out"], F.substring(signs, s["next"], F.lit(1))).alias("out"),
                                                       (s["next"] + 1).alias("next")))
         .otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["next"].alias("next"))))
     return done["out"]
 
 
+def _bare(iban: Column) -> Column:
+    return F.regexp_replace(iban, " ", "")
+
+
+def _permuted_iban(iban: Column, key: str) -> Column:
+    """Country, blanks and the places of digits and letters stay. Digits are permuted; each letter moves by a keyed number
+    of places that the digits give, so this too can be undone and different accounts stay different."""
+    shape = F.substring(iban, F.lit(3), F.length(iban))
+    digits, letters = F.regexp_replace(shape, "[^0-9]", ""), F.regexp_replace(shape, "[^A-Z]", "")
+    hexed = _keyed(key, "iban", F.substring(iban, 1, 2), digits)
+    by = lambda i: F.conv(F.substring(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("int") % 25 + 1
+    moved = F.transform(F.split(letters, ""), lambda c, i: F.when(c == "", c).otherwise(F.char((F.ascii(c) - 65 + by(i)) % 26 + 65)))
+    return F.concat(F.substring(iban, 1, 2), _refilled(_refilled(shape, F.array_join(moved, ""), "[A-Z]"), _permuted(digits, f"{key} iban")))
+
+
 def _syllables(key: str, entity: Column, script: str, number: int = 9) -> Column:
     """Six bits a syllable."""
     hexed = _keyed(key, script, entity)
@@ -147,14 +162,13 @@ def surrogate(entity: Column, entity_kind: Column, key: str) -> Column:
     hexed = F.concat(_keyed(key, value), _keyed(key, "more", value))
     secret = F.concat(lead, F.when(lead == "AKIA", F.upper(F.substring(hexed, 1, 16))).otherwise(
         F.substring(hexed, F.lit(1), F.greatest(F.length(value), F.lit(16)))))
-    iban = F.concat(F.substring(entity, 1, 2), F.substring(F.upper(_keyed(key, entity)), F.lit(1), F.length(entity) - 2))
     head, tail = F.regexp_extract(entity, r"^(\S+) ", 1), F.regexp_extract(entity, r" (.*)$", 1)
     named = lambda first, script: F.concat(first, F.lit(" "), F.initcap(_syllables(key, tail, script)))
     return (F.when(entity_kind.isin("card", "ssn", "phone"), digits(entity))
             .when(entity_kind == "ip", _permuted_ip(entity, key))
             .when(entity_kind == "email", email)
             .when(entity_kind == "secret", secret)
-            .when(entity_kind == "iban", iban)
+            .when(entity_kind == "iban", _permuted_iban(entity, key))
             .when(entity_kind == "titled", named(head, "latin"))
             .when(entity_kind == "person_latin", named(_given(key, head, "latin"), "latin"))
             .when(entity_kind == "person_cyrillic", named(_given(key, head, "cyrillic"), "cyrillic")))
@@ -171,10 +185,12 @@ def known_entities(docs: DataFrame) -> DataFrame:
 
 
 def keeps_apart(entities: DataFrame, key: str) -> bool:
-    """No two entities share a replacement (an e-mail address in other letter case is the same), none is left as it was."""
-    own = F.when(F.col("kind") == "email", F.lower("entity")).otherwise(F.col("entity"))
+    """No two entities share a replacement, none is left as it was. An e-mail address in other letter case is the same, and
+    so is an account number with other blanks."""
+    own = F.when(F.col("kind") == "email", F.lower("entity")).when(F.col("kind") == "iban", _bare(F.col("entity"))).otherwise(F.col("entity"))
     made = entities.select("kind", "entity", own.alias("own"), surrogate(F.col("entity"), F.col("kind"), key).alias("made"))
-    clash = made.groupBy("kind", "made").agg(
+    bare = F.when(F.col("kind") == "iban", _bare(F.col("made"))).otherwise(F.col("made"))
+    clash = made.groupBy("kind", bare.alias("bare")).agg(
         F.min("own").alias("a"), F.max("own").alias("b"), F.max((F.col("made") == F.col("entity")).cast("int")).alias("same"))
     return clash.where((F.col("a") != F.col("b")) | (F.col("same") == 1)).isEmpty()
 

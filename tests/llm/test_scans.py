@@ -118,6 +118,26 @@ def test_surrogates_hide_and_keep_apart(documents):
     assert surrogates.pseudonymised(documents([]), "k").collect() == []
 
 
+def test_long_secrets_are_replaced_whole(documents):
+    head = "Q7z" * 70  # two secrets that part only after 210 characters
+    texts = [(1, f"token={head}{'A' * 800} end"), (2, f"token={head}{'B' * 800} end"), (3, "api_key: '" + "k-" * 500 + "'.")]
+    rows = {r.doc_id: r for r in surrogates.pseudonymised(documents(texts), "k").collect()}
+    assert all(len(r.entities) == 1 and r.entities[0].kind == "secret" for r in rows.values())
+    assert all(x not in r.text for r in rows.values() for x in ("Q7z", "AAAA", "BBBB", "k-k-"))
+    assert rows[1].text != rows[2].text and rows[1].text.startswith("token=") and rows[1].text.endswith(" end") and rows[3].text.endswith("'.")
+
+
+def test_account_numbers_keep_their_form_in_either_writing(documents):
+    spaced = ["DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "GB29 NWBL 6016 1331 9268 19", "FR14 2004 1010 0505 0001 3M02 606"]
+    texts = [(i, f"to {x} now") for i, x in enumerate(spaced)] + [(10 + i, f"to {x.replace(' ', '')} now") for i, x in enumerate(spaced)]
+    made = {r.doc_id: r.entities[0].surrogate for r in surrogates.pseudonymised(documents(texts), "k").collect()}
+    form = lambda t: re.sub("[A-Z]", "A", re.sub("[0-9]", "0", t))
+    for i, x in enumerate(spaced):
+        assert form(made[i]) == form(x) and made[i] != x and made[i][:2] == x[:2]
+        assert made[10 + i] == made[i].replace(" ", "")
+    assert len(set(made.values())) == 8
+
+
 def test_digit_permutation_is_one_to_one(spark):
     for width in (1, 2, 3):
         df = spark.range(10**width).select(F.lpad(F.col("id").cast("string"), width, "0").alias("d"))
