@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry import rules as R
@@ -91,15 +92,21 @@ def search_pages(t):
     return PG.ingest_search_pages(pages).drop("page_id")
 
 
-@query("parcel_pages", "SELECT account_id, stnum, prefix, street_name, etj FROM parcels")
-def parcel_pages(t):
+def result_pages(parcels: DataFrame) -> DataFrame:
+    """(page_id, html): result pages of at most ``CHUNK`` parcels. Account ids repeat without bound, so a page is a stretch
+    of a task's rows."""
     cell = lambda c: F.concat(F.lit("<td> "), c, F.lit("</td>"))
     blank = cell(F.lit(""))
     row = F.concat(F.lit("<tr>"), cell(F.lit("1")), F.lit('<td><a href="Account.asp?id='), F.col("account_id"), F.lit('">x</a></td>'), cell(F.col("stnum")), blank, cell(F.col("prefix")),
                    cell(F.col("street_name")), cell(F.lit("ST")), blank, cell(F.col("etj")), cell(F.lit("Owner")), F.lit("</tr>"))
-    pages = t.parcels.groupBy((F.col("account_id").cast("bigint") % 64).alias("page_id")).agg(F.array_join(F.collect_list(row), "").alias("r")).select(
+    numbered = parcels.select(row.alias("row"), F.floor(F.monotonically_increasing_id() / CHUNK).alias("page_id"))
+    return numbered.groupBy("page_id").agg(F.array_join(F.collect_list("row"), "").alias("r")).select(
         "page_id", F.concat(F.lit("<table>"), "r", F.lit("</table>")).alias("html"))
-    return PG.ingest_parcel_pages(pages)["accounts"].select("account_id", "stnum", "prefix", "street_name", "etj")
+
+
+@query("parcel_pages", "SELECT account_id, stnum, prefix, street_name, etj FROM parcels")
+def parcel_pages(t):
+    return PG.ingest_parcel_pages(result_pages(t.parcels))["accounts"].select("account_id", "stnum", "prefix", "street_name", "etj")
 
 
 @query("page_links", """SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM pages""")

@@ -12,6 +12,7 @@ from docketry.operators.extraction import joined_address
 from docketry.operators.parcels import join_valuations, match_parcels, match_street_ranges
 from docketry.operators.ranking import running_total
 from docketry.plans.catalog import QUERIES
+from docketry.plans.intake_queries import CHUNK, result_pages
 from docketry.plans.serving import case_page
 from docketry.streaming.intake import EventIntake, new_events
 
@@ -144,3 +145,10 @@ def test_cases_without_an_address_are_spread_and_kept(spark):
     got = join_valuations(cases, values, none)
     assert got.count() == 301 and got.where("estimate = 5").count() == 100
     assert got.where("error = 'No property_address available'").count() == 201 and got.where("estimate = 7").count() == 0
+
+
+def test_parcel_pages_are_bounded_for_any_number_of_rows(spark):
+    for n in (3_000, 60_000):  # all of one account
+        parcels = spark.range(0, n, 1, 3).selectExpr("'0000064' AS account_id", "cast(id AS string) AS stnum", "'' AS prefix", "'ELM' AS street_name", "'RA' AS etj")
+        rows = result_pages(parcels).select((F.size(F.split("html", "<tr>")) - 1).alias("n")).collect()
+        assert max(r.n for r in rows) <= CHUNK and sum(r.n for r in rows) == n
