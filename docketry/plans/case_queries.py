@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry import rules as R
@@ -112,15 +113,28 @@ def doc_valid(t):
 _REPORTS = """reports AS (SELECT text_id AS document_id, case_id, '01-02-1998_Report of Sale.pdf' AS document_name, body AS ocr_text FROM filing_texts WHERE template IN (12,17,20,22))"""
 
 
+#: What a filing text of each template is called; the sale reports are those of ``_REPORTS`` and two more that name no case.
+_FILING_NAMES = {
+    **dict.fromkeys((12, 17, 20, 22), "Report of Sale"), 13: "Report of Private Sale", 19: "Report of Sale and Upset Bid",
+    **dict.fromkeys((9, 10, 11, 15, 16, 21), "Notice of Upset Bid"), 14: "Notice of Sale", 18: "Deed of Trust",
+    **dict.fromkeys((0, 1, 2, 3, 4, 5, 6, 7, 8), "Notice of Hearing"),
+}
+
+
+def named_filings(texts: DataFrame) -> DataFrame:
+    """All filing texts as documents, named by their template."""
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for pair in _FILING_NAMES.items() for x in pair]), F.col("template").cast("int"))
+    return texts.select(F.col("text_id").alias("document_id"), "case_id", F.concat(F.lit("01-02-1998_"), kind, F.lit(".pdf")).alias("document_name"),
+                        F.col("body").alias("ocr_text"))
+
+
 @query("misfiled", f"""WITH {_REPORTS}, j AS (SELECT r.*, c.case_number, c.style, substring(c.case_number,1,10) AS base FROM reports r JOIN docket_cases c ON c.case_id=r.case_id AND c.classification='upset_bid'),
     k AS (SELECT *, upper(string_split(trim(regexp_replace(regexp_replace(trim(style),'^FORECLOSURE\\s*-?\\s*','','i'),'^\\(HOA\\)\\s*-?\\s*','','i')),' ')[-1]) AS surname,
       list_filter(list_distinct({CASE_NOS_SQL.format(x='ocr_text')}), lambda n: NOT contains(n, base)) AS others FROM j),
     m AS (SELECT *, length(surname)>3 AND NOT contains(upper(ocr_text), surname) AND regexp_matches(ocr_text,'(?:Respondent|Defendant):\\s*([A-Z][a-z]+(?:\\s+[A-Z][a-z]+){{1,3}})') AS name_mismatch FROM k)
     SELECT document_id, case_id, case_number, array_to_string(list_sort(others),',') AS other_numbers, name_mismatch FROM m WHERE len(others)>0 OR name_mismatch""")
 def misfiled(t):
-    reports = t.filing_texts.where(F.col("template").isin(12, 17, 20, 22)).select(
-        F.col("text_id").alias("document_id"), "case_id", F.lit("01-02-1998_Report of Sale.pdf").alias("document_name"), F.col("body").alias("ocr_text"))
-    return DOC.misfiled(reports, t.docket_cases).withColumn("other_numbers", F.array_join(F.array_sort("other_numbers"), ","))
+    return DOC.misfiled(named_filings(t.filing_texts), t.docket_cases).withColumn("other_numbers", F.array_join(F.array_sort("other_numbers"), ","))
 
 
 # --- extraction per case ---------------------------------------------------------------------------------------------

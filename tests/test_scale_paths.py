@@ -11,6 +11,7 @@ from docketry.operators.documents import link_by_start, select_corpus
 from docketry.operators.extraction import joined_address
 from docketry.operators.parcels import join_valuations, match_parcels, match_street_ranges
 from docketry.operators.ranking import running_total
+from docketry.plans.case_queries import named_filings
 from docketry.plans.catalog import QUERIES
 from docketry.plans.intake_queries import CHUNK, result_pages
 from docketry.plans.serving import case_page
@@ -152,3 +153,17 @@ def test_parcel_pages_are_bounded_for_any_number_of_rows(spark):
         parcels = spark.range(0, n, 1, 3).selectExpr("'0000064' AS account_id", "cast(id AS string) AS stnum", "'' AS prefix", "'ELM' AS street_name", "'RA' AS etj")
         rows = result_pages(parcels).select((F.size(F.split("html", "<tr>")) - 1).alias("n")).collect()
         assert max(r.n for r in rows) <= CHUNK and sum(r.n for r in rows) == n
+
+
+def test_misfiled_is_given_every_filing_and_goes_by_name(spark):
+    from types import SimpleNamespace
+
+    from docketry.plans import case_queries
+
+    bodies = [(i, 1, i, "97 SP 123") for i in range(23)]  # every kind of text names another case
+    texts = spark.createDataFrame(bodies, "text_id long, case_id long, template long, body string")
+    cases = spark.createDataFrame([(1, "24SP000001-910", "FORECLOSURE - Ann Smith", "upset_bid")], "case_id long, case_number string, style string, classification string")
+    named = {r.document_id: r.document_name for r in named_filings(texts).collect()}
+    assert len(named) == 23 and None not in named.values()
+    got = {r.document_id for r in case_queries.misfiled(SimpleNamespace(filing_texts=texts, docket_cases=cases)).collect()}
+    assert got == {12, 13, 17, 19, 20, 22}
