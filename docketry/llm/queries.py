@@ -13,6 +13,7 @@ from docketry.llm import (
     id_files,
     language_id,
     licences,
+    merkle,
     near_dedup,
     packing,
     quality,
@@ -139,3 +140,61 @@ def op10_licence_templates(spark: SparkSession, folder: str) -> DataFrame:
     found = licences.licence_scan(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
                         F.array_join("labels", ",").alias("labels"), "score")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB has no crc32: bit by bit, over ASCII text."""
+    bits = (f"flatten(list_transform(range(1, len({text}) + 1), lambda i: "
+            f"list_transform(range(8), lambda b: CAST((ord(substr({text}, CAST(i AS INT), 1)) >> b) & 1 AS BIGINT))))")
+    return (f"xor(list_reduce({bits}, lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295), "
+            "4294967295)")
+
+
+def _field_sql(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || {column}, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(concat(" + ", ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+
+
+@register(f"""
+WITH RECURSIVE d AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS grp, {_leaf_sql('text')} AS leaf,
+    CASE WHEN {crc32_sql('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {_leaf_sql('low')} ELSE {_leaf_sql('text')} END AS shown FROM d),
+placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM leaves),
+up AS (SELECT grp, 0 AS h, rank AS place, leaf AS node, count(*) OVER (PARTITION BY grp) AS n FROM placed
+    UNION ALL SELECT grp, h + 1, place // 8, sha256(string_agg(node, '' ORDER BY place)), (any_value(n) + 7) // 8
+    FROM up WHERE n > 1 GROUP BY grp, h, place // 8),
+subroots AS (SELECT grp, node, h FROM up WHERE n = 1),
+names AS (SELECT grp, node, row_number() OVER (ORDER BY grp) - 1 AS place FROM subroots),
+top AS (SELECT 0 AS h, place, node, count(*) OVER () AS n FROM names
+    UNION ALL SELECT h + 1, place // 8, sha256(string_agg(node, '' ORDER BY place)), (any_value(n) + 7) // 8
+    FROM top WHERE n > 1 GROUP BY h, place // 8),
+root AS (SELECT node FROM top WHERE n = 1),
+sides AS (
+    SELECT p.grp, p.rank, u.h AS step, coalesce(string_agg(u.node, '' ORDER BY u.place) FILTER (WHERE u.place < p.rank >> (3 * u.h)), '') AS l,
+        coalesce(string_agg(u.node, '' ORDER BY u.place) FILTER (WHERE u.place > p.rank >> (3 * u.h)), '') AS r
+    FROM placed p JOIN up u ON u.grp = p.grp AND u.n > 1 AND u.place >> 3 = p.rank >> (3 * u.h + 3) GROUP BY 1, 2, 3
+    UNION ALL
+    SELECT p.grp, p.rank, s.h + t.h, coalesce(string_agg(t.node, '' ORDER BY t.place) FILTER (WHERE t.place < a.place >> (3 * t.h)), ''),
+        coalesce(string_agg(t.node, '' ORDER BY t.place) FILTER (WHERE t.place > a.place >> (3 * t.h)), '')
+    FROM placed p JOIN names a ON a.grp = p.grp JOIN subroots s ON s.grp = p.grp
+        JOIN top t ON t.n > 1 AND t.place >> 3 = a.place >> (3 * t.h + 3) GROUP BY 1, 2, s.h, t.h, 3),
+paths AS (SELECT grp, rank, string_agg(l || r, '' ORDER BY step) AS proof, max(step) AS last FROM sides GROUP BY 1, 2),
+fold AS (SELECT grp, rank, 0 AS step, shown AS node FROM placed
+    UNION ALL SELECT f.grp, f.rank, f.step + 1, sha256(s.l || f.node || s.r) FROM fold f JOIN sides s ON s.grp = f.grp AND s.rank = f.rank AND s.step = f.step)
+SELECT p.doc_id, p.leaf, s.node AS subroot, root.node AS root, sha256(coalesce(q.proof, '')) AS proof_sha256,
+    f.node AS folded_root, f.node = root.node AS verified
+FROM placed p JOIN subroots s USING (grp) LEFT JOIN paths q USING (grp, rank) CROSS JOIN root
+    JOIN fold f ON f.grp = p.grp AND f.rank = p.rank AND f.step = coalesce(q.last + 1, 0)""")
+def op11_dag_descent(spark: SparkSession, folder: str) -> DataFrame:
+    chosen = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = merkle.leaf_digest(*[lowered if c == "text" else F.col(c) for c in merkle.FIELDS])
+    plan = merkle.manifest(table(spark, folder, "documents"), carried={"tampered": F.when(chosen, tampered)})
+    found = merkle.proofs(plan, plan.leaves)
+    folded = merkle.folded(F.coalesce("carried.tampered", "leaf"), F.col("siblings"))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", F.lit(plan.root).alias("root"),
+                        merkle.proof_digest(F.col("siblings")).alias("proof_sha256"), folded.alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
