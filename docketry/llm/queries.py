@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import (
+    conversations,
     decontamination,
     exact_dedup,
     id_files,
@@ -198,3 +199,60 @@ def op11_dag_descent(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", F.lit(plan.root).alias("root"),
                         merkle.proof_digest(F.col("siblings")).alias("proof_sha256"), folded.alias("folded_root")).withColumn(
         "verified", F.col("folded_root") == F.col("root"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The contract's damage: by crc32 of ``conv_id:turn``, a row is dropped, emptied, robbed of its ends, repeated or given to the user."""
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    kind = F.crc32(F.concat(text["conv_id"], F.lit(":"), text["turn"]).cast("binary")) % 20
+    return conversations.where(kind != 0).select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(text["role"]).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate(text["text"], ".!?", "")).otherwise(text["text"]).alias("text"),
+        F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")).drop("copy")
+
+
+@register(f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+f AS (SELECT *, {crc32_sql('name')} % 20 AS kind FROM c),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM f JOIN (VALUES (1), (2)) v(n) ON n = 1 OR kind = 3 WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, left(role, 1) AS x FROM damaged),
+fault AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'r'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE 'k' END AS fault,
+    lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+    count(*) FILTER (WHERE fault = 'r') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+    count(*) FILTER (WHERE before || x NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM fault GROUP BY conv_id),
+inserts(phase, mid, price, sign, line) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+    (0, 2, 5, 'I', chr(10) || 'user:'), (1, 2, 5, 'I', chr(10) || 'user:'), (2, 3, 5, 'I', chr(10) || 'assistant:'), (3, 2, 5, 'I', chr(10) || 'user:')),
+edits(mid, x, after, price, sign, role) AS (VALUES (0, NULL, 0, 2, 'D', NULL), (1, NULL, 1, 2, 'D', NULL), (2, NULL, 2, 2, 'D', NULL), (3, NULL, 3, 2, 'D', NULL),
+    (0, 's', 1, 0, 'K', NULL), (0, 'u', 2, 0, 'K', NULL), (1, 'u', 2, 0, 'K', NULL), (2, 'a', 3, 0, 'K', NULL), (3, 'u', 2, 0, 'K', NULL),
+    (0, NULL, 2, 1, 'R', 'user'), (1, NULL, 2, 1, 'R', 'user'), (2, NULL, 3, 1, 'R', 'assistant'), (3, NULL, 2, 1, 'R', 'user')),
+best AS (SELECT conv_id, n, 0 AS i, 0 AS phase, {{'cost': 0, 'audit': '', 'lines': ''}} AS way FROM counts
+    UNION ALL
+    SELECT b.conv_id, b.n, b.i + 1, e.after, min({{'cost': b.way.cost + p.price + e.price + CASE WHEN e.sign <> 'D' AND r.fault = 't' THEN 5 ELSE 0 END,
+        'audit': b.way.audit || p.sign || e.sign,
+        'lines': b.way.lines || p.line || CASE WHEN e.sign = 'D' THEN '' ELSE chr(10) || coalesce(e.role, r.role) || ':' || r.text END}})
+    FROM best b JOIN fault r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i + 1 JOIN inserts p ON p.phase = b.phase
+        JOIN edits e ON e.mid = p.mid AND (e.x IS NULL OR e.x = r.x) AND (e.sign = 'D' OR r.fault IN ('k', 't'))
+    GROUP BY b.conv_id, b.n, b.i, e.after),
+chosen AS (SELECT b.conv_id, min({{'cost': b.way.cost + p.price, 'audit': b.way.audit || p.sign, 'lines': b.way.lines || p.line}}) AS way
+    FROM best b JOIN inserts p ON p.phase = b.phase WHERE b.i = b.n AND p.mid IN (0, 3) GROUP BY b.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(way.cost, 0) AS cost, coalesce(way.audit, '') AS audit, sha256(coalesce(substr(way.lines, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN chosen h ON h.conv_id IS NOT DISTINCT FROM o.conv_id""")
+def op12_grammar_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    repair = conversations.repair(damaged(rows))
+    hashes = conversations.joined_sha256(repair.turns).select(F.col("conv_id").alias("hashed_id"), "sha256")
+    summary = repair.summary.withColumnRenamed("conv_id", "repaired_id")
+    every = rows.select("conv_id").distinct()
+    whole = every.join(summary, every["conv_id"].eqNullSafe(summary["repaired_id"]), "left").join(
+        hashes, F.col("conv_id").eqNullSafe(F.col("hashed_id")), "left")
+    numbers = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
