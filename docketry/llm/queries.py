@@ -20,6 +20,7 @@ from docketry.llm import (
     quality,
     surrogates,
     toxicity,
+    vector_search,
 )
 from docketry.llm.common import fold, shared_folder
 from docketry.llm.tokens import tokenizer_path
@@ -256,3 +257,8 @@ def op12_grammar_alignment(spark: SparkSession, folder: str) -> DataFrame:
     numbers = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return whole.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
                         F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@register()
+def op13_kmeans_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_search.neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
