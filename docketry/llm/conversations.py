@@ -208,7 +208,8 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 way.append({"segment": part["segment"], "phase": phase, "end": choice[phase]})
                 phase = choice[phase]
             paths.append(way)
-            illegal.append(sum(p["illegal"] for p in parts) + sum(illegal_pairs(a["last"] + b["first"]) for a, b in zip(parts, parts[1:], strict=False)))
+            seams = sum(illegal_pairs(a["last"] + b["first"]) for a, b in zip(parts, parts[1:], strict=False))
+            illegal.append(sum(p["illegal"] for p in parts) + seams)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(illegal, pa.int64()), pa.array(cost, pa.int64()), pa.array(paths, path)],
                                          ["key", "illegal", "cost", "path"])
 
@@ -218,11 +219,11 @@ def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     made = pa.list_(pa.struct([("pos", pa.int64()), ("step", pa.int32()), ("edit", pa.string()), ("role", pa.string())]))
     for batch in batches:
         out = []
-        for segment, phase, code, audit in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+        for start, phase, code, audit in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
             row, inserted, edits = 0, 0, []
             for sign in audit:
                 role = ("assistant" if phase == OPEN else "user") if sign in "RI" else None
-                edits.append({"pos": (segment << SEGMENT_BITS) + row, "step": inserted if sign == "I" else OWN_STEP, "edit": sign, "role": role})
+                edits.append({"pos": start + row, "step": inserted if sign == "I" else OWN_STEP, "edit": sign, "role": role})
                 if sign == "K" and code[2 * row] == "s":
                     phase = SYSTEM
                 elif sign != "D":
@@ -277,15 +278,19 @@ def repair(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "t
     ways = cut(ended.select("key", "segment", (F.col("segment") == F.col("last")).alias("final"), "code").mapInArrow(_align, (
         "key string, segment long, code string, illegal long, first string, last string, "
         "ways array<struct<phase: int, end: int, cost: long, order: int, audit: string>>")))
-    short = F.transform("ways", lambda w: F.struct(w["phase"].alias("phase"), w["end"].alias("end"), w["cost"].alias("cost"), w["order"].alias("order")))
+    short = F.transform("ways", lambda w: F.struct(*[w[c].alias(c) for c in ("phase", "end", "cost", "order")]))
     parts = ways.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("segment", "illegal", "first", "last", short.alias("ways")))).alias("parts"))
     chained = cut(parts.mapInArrow(_chain, "key string, illegal long, cost long, path array<struct<segment: long, phase: int, end: int>>"))
     taken = F.filter("ways", lambda w: (w["phase"] == F.col("phase")) & (w["end"] == F.col("end")))[0]["audit"]
-    picked = cut(chained.select("key", F.inline("path")).join(ways, ["key", "segment"]).select("key", "segment", "phase", "code", taken.alias("audit")))
-    audits = picked.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("segment", "audit"))), lambda p: p["audit"]), "").alias("audit"))
+    picked = cut(chained.select("key", F.inline("path")).join(ways, ["key", "segment"]).select(
+        "key", "segment", "phase", "code", taken.alias("audit")))
+    in_order = F.sort_array(F.collect_list(F.struct("segment", "audit")))
+    audits = picked.groupBy("key").agg(F.array_join(F.transform(in_order, lambda p: p["audit"]), "").alias("audit"))
     summary = counts.join(chained.select("key", "illegal", "cost"), "key").join(audits, "key").select(
         _own_id(F.col("key"), kind).alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
-    edits = picked.mapInArrow(_edits, "key string, edits array<struct<pos: long, step: int, edit: string, role: string>>").select("key", F.inline("edits"))
+    starts = picked.select("key", F.shiftleft("segment", SEGMENT_BITS).alias("start"), "phase", "code", "audit")
+    edits = starts.mapInArrow(_edits, "key string, edits array<struct<pos: long, step: int, edit: string, role: string>>").select(
+        "key", F.inline("edits"))
     old = marked.select("key", "pos", "uid", "turn").join(rows.select("uid", F.col("role").alias("old_role"), "text"), "uid")
     stood = edits.where("edit != 'I'").join(old, ["key", "pos"]).select(
         "key", "pos", "step", "turn", "edit", F.coalesce("role", "old_role").alias("role"), "text")

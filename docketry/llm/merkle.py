@@ -59,7 +59,7 @@ class Tree:
 
 @dataclass
 class Manifest:
-    leaves: DataFrame  # grp, rank, leaf and the columns carried along
+    leaves: DataFrame  # grp, rank, size (leaves of the group), id, leaf and the columns carried along
     groups: Tree
     top: Tree
     names: DataFrame  # the groups' places in the tree above: grp, name, place, digest
@@ -76,11 +76,10 @@ class Manifest:
 
 
 def grown(nodes: DataFrame, folder: str) -> Tree:
-    """The trees over ``nodes`` (grp, place, digest), each height a written table."""
+    """The trees over ``nodes`` (grp, place, remaining: the group's nodes, digest), each height a written table."""
     spark, tree = nodes.sparkSession, Tree()
-    sizes = cut(nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("remaining")))
-    most = sizes.agg(F.max("remaining")).first()[0] or 0
-    now = nodes.join(sizes, "grp")
+    most = nodes.agg(F.max("remaining")).first()[0] or 0
+    now = nodes
     tree.roots = now.where("remaining = 1").select("grp", F.lit(0).alias("height"), "digest")
     while most > 1:
         runs = now.where("remaining > 1").groupBy("grp", F.shiftright("place", BITS).alias("place")).agg(
@@ -113,10 +112,10 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "d
                        F.struct(*[c.alias(name) for name, c in (carried or {}).items()], F.lit(0).alias("_")).alias("carried"))
     rows.write.parquet(f"{folder}/leaves")
     leaves = cut(ranked(spark.read.parquet(f"{folder}/leaves"), ["grp"], ["id", "leaf"]))
-    groups = grown(leaves.select("grp", F.col("rank").alias("place"), F.col("leaf").alias("digest")), f"{folder}/groups")
+    groups = grown(leaves.select("grp", F.col("rank").alias("place"), F.col("size").alias("remaining"), F.col("leaf").alias("digest")), f"{folder}/groups")
     named = ranked(groups.roots.select(F.lit("").alias("all"), F.col("grp").alias("name"), "digest"), ["all"], ["name"])
-    named = cut(named.select(F.col("all").alias("grp"), "name", F.col("rank").alias("place"), "digest"))
-    top = grown(named.select("grp", "place", "digest"), f"{folder}/top")
+    named = cut(named.select(F.col("all").alias("grp"), "name", F.col("rank").alias("place"), F.col("size").alias("remaining"), "digest"))
+    top = grown(named.select("grp", "place", "remaining", "digest"), f"{folder}/top")
     found = top.roots.select("digest").first()
     return Manifest(leaves, groups, top, named, found[0] if found else None)
 

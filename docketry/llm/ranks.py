@@ -10,8 +10,8 @@ from docketry.llm.common import cut
 _LOCAL = 33  # bits that monotonically_increasing_id() leaves for the place inside a partition
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], out: str = "rank") -> DataFrame:
-    """``df`` with the place (from 0) of each row among the rows of its group, by ``order`` (NULLs first).
+def ranked(df: DataFrame, group: list[str], order: list[str], out: str = "rank", size: str = "size") -> DataFrame:
+    """``df`` with the place (from 0) of each row among the rows of its group, by ``order`` (NULLs first), and their number.
 
     Rows are dealt by ranges of group and order; the few counts a partition has of each group give the offsets. Rows that
     tie stand in any order, and a tie of any size is dealt over several partitions. Group columns must not be NULL. An
@@ -23,6 +23,7 @@ def ranked(df: DataFrame, group: list[str], order: list[str], out: str = "rank")
     part = F.shiftright("_at", _LOCAL).alias("_part")
     counts = placed.groupBy(*group, part).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_offset"))
+    offsets = counts.select(*group, "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_offset"),
+                            F.sum("_n").over(Window.partitionBy(*group)).alias(size))
     return placed.withColumn("_part", part).join(offsets, [*group, "_part"]).withColumn(out, F.col("_at") + F.col("_offset")).drop(
         "_part", "_at", "_offset")

@@ -299,7 +299,8 @@ def _searched(index: Index, queries: DataFrame, number: int) -> DataFrame:
         if not vectors or not ids:
             return pa.table({"vector": pa.array([], pa.binary()), "near": pa.array([], near)})
         best = _nearest(_matrix(vectors, kind), _matrix(entries.column("vector").to_pylist(), kind), ids, keep)
-        return pa.table({"vector": pa.array(vectors, pa.binary()), "near": pa.array([[{"away": s, "vec_id": i} for s, i, _ in b] for b in best], near)})
+        found = [[{"away": s, "vec_id": i} for s, i, _ in b] for b in best]
+        return pa.table({"vector": pa.array(vectors, pa.binary()), "near": pa.array(found, near)})
 
     met = left.groupBy("leaf", "chunk", "block").cogroup(right.groupBy("leaf", "chunk", "block")).applyInArrow(
         meet, f"vector binary, near array<struct<away: double, vec_id: {id_kind}>>")
