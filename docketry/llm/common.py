@@ -49,3 +49,14 @@ def sample_by_hash(df: DataFrame, doc_id: Column, rows: int) -> DataFrame:
     hashed = F.xxhash64(doc_id)
     last = df.select(hashed.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     return df.where(hashed <= (F.lit(last) if last is not None else F.lit(0)))
+
+
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What ``owner`` keeps in this Python worker from task to task. Workers are used again by the next stage, so what other
+    owners kept goes: a worker never holds more than one operator's cache."""
+    for other in [o for o in _CACHES if o != owner]:
+        del _CACHES[other]
+    return _CACHES.setdefault(owner, {})

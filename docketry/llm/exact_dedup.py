@@ -69,14 +69,31 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def _row_key(doc_id: Column, text: Column) -> list[Column]:
+    """128 bits that tell rows apart by id and text."""
+    parts = [doc_id.isNull(), doc_id, text.isNull(), text]
+    return [F.xxhash64(F.lit(1), *parts).alias("row_a"), F.xxhash64(*reversed(parts), F.lit(1)).alias("row_b")]
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts; all columns stay. The row is chosen by text, not by id: the one
-    with the smallest id, NULL ids last, so rows that share an id or have none are only dropped if their text stays."""
+    with the smallest id, NULL ids last, so rows that share an id or have none are only dropped if their text stays. NULL
+    counts as the empty text. Of rows that repeat an id and a text any one stays. An empty table stays empty.
+
+    Only lists of identifiers and row keys are grouped; a document is moved once, when the rows that stay are picked.
+    """
     seed = next(s for s in count(1) if identifiers_are_unique(plain(docs, id_col, text_col), s))
-    listed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                         normalised(F.col(text_col).cast("string")).alias("norm"))
-    listed = listed.select("row", recipe(chunks(F.col("norm")), seed).alias("recipe"))
+    own = _row_key(F.col(id_col), F.col(text_col).cast("string"))
+    listed = docs.select(F.col(id_col).alias("doc_id"), *own, normalised(F.col(text_col).cast("string")).alias("norm"))
+    listed = listed.select("doc_id", "row_a", "row_b", recipe(chunks(F.col("norm")), seed).alias("recipe"))
     listed = listed.withColumn("hash", F.xxhash64("recipe"))  # sorts faster than the list
-    order = [F.col("row")[c].asc_nulls_last() for c in (id_col, text_col)]
-    first = F.row_number().over(Window.partitionBy("hash", "recipe").orderBy(*order))
-    return listed.withColumn("place", first).where("place = 1").select("row.*")
+    rows = listed.groupBy("hash", "recipe", "row_a", "row_b").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_a", "row_b", "times"))
+    kept = cut(rows.groupBy("hash", "recipe").agg(first.alias("first")).select("first.row_a", "first.row_b", "first.times"))
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *own)
+    # a hashed join: whole documents are not sorted
+    stay = tagged.join(kept.hint("shuffle_hash"), ["row_a", "row_b"])
+    if not kept.where("times > 1").isEmpty():  # rows that stand in the table more than once
+        again = stay.where("times > 1").groupBy("row_a", "row_b").agg(F.first("row").alias("row"))
+        stay = stay.where("times = 1").select("row").unionByName(again.select("row"))
+    return stay.select("row.*")

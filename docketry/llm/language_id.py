@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import cut, sample_by_hash
+from docketry.llm.common import cut, sample_by_hash, worker_cache
 
 ORDER = 4
 MOST_GRAMS = 2_000_000
 CALIBRATION = 4_000  # training documents that set the rejection limits, first by hash of their id
 MARGIN = 10.0  # standard deviations above the mean of training texts
 SHARPNESS = 40.0  # characters that a text counts for in the score at most
-CHARS = 1_000_000  # read at once
+CHARS = 250_000  # read at once: their n-grams take some 150 bytes a character for a moment
 SPACE = 32
 _BITS = 16
 _LETTERS: list[np.ndarray] = []
@@ -267,6 +267,7 @@ def identified(docs: DataFrame, identifier: Identifier, id_col: str = "doc_id",
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("language")
         for batch in batches:
             names, score, entropy, accepted = sent.value.decide(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -278,12 +279,17 @@ def identified(docs: DataFrame, identifier: Identifier, id_col: str = "doc_id",
 
 
 def keep_known(docs: DataFrame, identifier: Identifier, text_col: str = "text") -> DataFrame:
-    """``docs`` without rejected documents, in one pass and without a shuffle; all columns stay."""
+    """``docs`` without rejected documents, in one pass and without a shuffle; all columns stay.
+
+    NULL, empty and letterless texts are rejected, as they have no language. Rows that repeat an id are judged each; an
+    empty table stays empty."""
     sent = docs.sparkSession.sparkContext.broadcast(identifier)
 
+    column = docs.columns.index(text_col)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("language")
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            yield batch.filter(pa.array(sent.value.decide(texts)[3], pa.bool_()))
+            yield batch.filter(pa.array(sent.value.decide(batch.column(column).to_pylist())[3], pa.bool_()))
 
     return docs.mapInArrow(read, docs.schema)

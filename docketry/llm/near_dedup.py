@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import cut, plain, sample_by_hash
+from docketry.llm.common import cut, plain, sample_by_hash, worker_cache
 from docketry.llm.components import stars
 from docketry.llm.tokens import bounded
 
@@ -148,6 +148,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "bits", *further.names]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("near dedup")
         for batch in batches:
             texts = batch.column(1).to_pylist()
             parts = [fingerprints(texts[a:b]) for a, b in bounded(texts)]
@@ -219,4 +220,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dropped = found.where(F.col("doc_id").isNotNull() & (row != F.col("first"))).select("doc_id", "key_a", "key_b").distinct()
     own = _text_key(docs[text_col].cast("string"))
     same = (docs[id_col] == dropped["doc_id"]) & (own["a"] == dropped["key_a"]) & (own["b"] == dropped["key_b"])
-    return docs.join(dropped, same, "left_anti")
+    return docs.join(dropped.hint("shuffle_hash"), same, "left_anti")  # a hashed join: whole documents are not sorted

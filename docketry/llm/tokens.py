@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from docketry.llm.common import worker_cache
+
 #: Unicode's White_Space property, as the tokenizers' own patterns mean it (Python's \s has four more characters).
 WHITE = "\t-\r \x85\xa0  -     　"
 _SPACE, _WORD_END = "\u0120", "</w>"  # fixed: how the vocabularies write a space byte and the end of a word
@@ -114,14 +116,12 @@ class Encoder:
                 yield piece, raw[start:end]
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(path: str, keep_white: bool) -> Encoder:
     """One per Python worker."""
-    if (path, keep_white) not in _ENCODERS:
-        _ENCODERS[path, keep_white] = Encoder(path, keep_white)
-    return _ENCODERS[path, keep_white]
+    kept = worker_cache("tokens")
+    if (path, keep_white) not in kept:
+        kept[path, keep_white] = Encoder(path, keep_white)
+    return kept[path, keep_white]
 
 
 def bounded(texts: list[str | None], chars: int = 4_000_000):

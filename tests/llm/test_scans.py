@@ -158,3 +158,25 @@ def test_collision_check_sees_collisions(spark, monkeypatch):
 def test_kinds(documents, text, kinds):
     row = surrogates.pseudonymised(documents([(1, text)]), "k").first()
     assert [e.kind for e in row.entities] == kinds
+
+
+def test_automata_are_built_once_a_block(monkeypatch):
+    """A benchmark of several blocks: each automaton is built once for a group of documents, not for each document."""
+    import pyarrow as pa
+
+    built = []
+    make = decontamination.automaton
+    monkeypatch.setattr(decontamination, "automaton", lambda found: built.append(len(found)) or make(found))
+    items = [(f"i{n}", " ".join(f"w{n}x{k}" for k in range(20))) for n in range(40)]
+    found = [w for i, t in items for w in decontamination.windows(i, t)]
+    blocks = [Block(n, found[at : at + 100]) for n, at in enumerate(range(0, len(found), 100))]
+    texts = [f"a {items[n % 40][1]} b" if n % 3 else "nothing here" for n in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[a : a + 50])], ["text"]) for a in range(0, 300, 50)]
+    scans = [s for _, part in decontamination._scanned(iter(batches), 0, blocks) for s in part]
+    assert len(blocks) == 4 and built == [100, 100, 100, 20]
+    assert [(s.n_words, int(s.hits().sum()), sorted(s.items)) for s in scans] == [slow_hits(t, items) for t in texts]
+
+
+class Block:
+    def __init__(self, number, value):
+        self.id, self.value = ("test", number), value
