@@ -7,7 +7,11 @@ queue, nearest centre first, until it has seen a number of leaves. That number i
 are compared with every vector, find the share ``TARGET`` of their true neighbours.
 
 Equal vectors are one entry with their smallest ids, so copies cost nothing. A leaf's vectors and the queries that visit it
-meet in blocks of bounded size: a leaf with very many of either is dealt over several tasks, and nothing is left out.
+meet in blocks of bounded size: a leaf with very many of either is dealt over several tasks, and nothing is left out. The
+first ``NEAR`` leaves give each query a score to beat, so that the others only hand on what can still be among the nearest.
+
+Where vectors have no structure, the share of leaves a query needs does not fall with their number; the work is then the
+number of queries times that share of the table.
 """
 
 from __future__ import annotations
@@ -27,11 +31,13 @@ from docketry.llm.common import cut, sample_by_hash
 SAMPLE = 131_072  # vectors the tree is fitted on, fewer if they are long:
 SAMPLE_NUMBERS = 1 << 24  # numbers in the sample
 BRANCH = 16  # children of a node
-LEAF = 128  # sampled vectors a leaf has at most
+LEAF = 512  # sampled vectors a leaf has at most
 ROUNDS = 8  # of k-means
 PILOT = 256  # queries that calibrate the visits
 TARGET = 0.95  # share of the pilots' true neighbours that must be found
-VECTORS, QUERIES = 4_096, 1_024  # of a leaf that meet in one block
+NEAR = 4  # leaves that set the score to beat
+VECTORS, QUERIES = 4_096, 2_048  # of a leaf that meet in one block
+TOGETHER = 256  # queries a matrix product takes at once
 
 
 class Tree:
@@ -180,18 +186,31 @@ def _matrix(packed: list[bytes], kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(packed), kind).reshape(len(packed), -1).astype(np.float64)
 
 
-def _nearest(queries: np.ndarray, entries: np.ndarray, ids: list[list[int]], keep: int) -> Iterator[list[tuple[float, int, int]]]:
-    """For each query the best (negative score, id, entry), nearest first, ties to the smaller id. The matrix product only
-    chooses; what it may have misjudged is scored again number by number."""
-    slack = 1e-12 * (np.abs(entries).max() * np.abs(queries).max() * entries.shape[1] if len(entries) and len(queries) else 0)
-    for start in range(0, len(queries), 256):
-        block = queries[start : start + 256]
+def _flat(ids: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of a list column: where each list starts, all items, each list's length."""
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    offsets = ids.offsets.to_numpy()
+    return offsets[:-1] - offsets[0], ids.flatten(), np.diff(offsets)
+
+
+def _near(queries: np.ndarray, least: np.ndarray, entries: np.ndarray, ids: tuple, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, negative score, place in the flat ids, entry) of all that can be among a query's ``keep`` nearest: the best
+    of these entries that reach the query's ``least`` score. The matrix product only chooses, with some slack; the scores
+    are then taken number by number, the same in every block."""
+    starts, _, lengths = ids
+    slack = 1e-12 * np.abs(entries).max(initial=0) * np.abs(queries).max(initial=0) * (entries.shape[1] + 1)
+    for first in range(0, len(queries), TOGETHER):
+        block = queries[first : first + TOGETHER]
         about = block @ entries.T
-        limit = np.partition(about, -keep, axis=1)[:, -keep] if len(entries) > keep else np.full(len(block), -np.inf)
-        for query, row, least in zip(block, about, limit, strict=True):
-            close = np.flatnonzero(row >= least - 2 * slack)
-            scores = (entries[close] * query).sum(axis=1)
-            yield sorted((-float(s), i, int(e)) for s, e in zip(scores, close, strict=True) for i in ids[e])[:keep]
+        limit = least[first : first + TOGETHER]
+        if len(entries) > keep and not np.isfinite(limit).all():
+            limit = np.maximum(limit, np.partition(about, -keep, axis=1)[:, -keep])
+        query, entry = np.nonzero(about >= (limit - 2 * slack)[:, None])
+        away = -(entries[entry] * block[query]).sum(axis=1)
+        times = lengths[entry]
+        each = np.repeat(np.arange(len(entry)), times)
+        place = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times) + starts[entry][each]
+        yield first + query[each], away[each], place, entry[each]
 
 
 def _order(index: Index, queries: list[bytes], number: int) -> list[list[int]]:
@@ -213,19 +232,12 @@ def calibrated_visits(index: Index, queries: DataFrame, k: int, target: float =
     id_kind = index.entries.schema["ids"].dataType.elementType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, best = _matrix(sent.value, kind), [[] for _ in sent.value]
-        id_type = pa.int64()
+        flat = _matrix(sent.value, kind)
         for batch in batches:
-            if not len(batch):
-                continue
-            id_type = batch.column(1).type.value_type
-            ids, leaf = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for n, found in enumerate(_nearest(flat, _matrix(batch.column(0).to_pylist(), kind), ids, keep)):
-                best[n] = sorted(best[n] + [(s, i, leaf[e]) for s, i, e in found])[:keep]
-        for n, found in enumerate(best):
-            yield pa.RecordBatch.from_arrays([pa.array([n] * len(found), pa.int32()), pa.array([f[0] for f in found], pa.float64()),
-                                              pa.array([f[1] for f in found], id_type), pa.array([f[2] for f in found], pa.int32())],
-                                             ["pilot", "away", "vec_id", "leaf"])
+            ids, leaf = _flat(batch.column(1)), batch.column(2).to_numpy()
+            for pilot, away, place, entry in _near(flat, np.full(len(flat), -np.inf), _matrix(batch.column(0).to_pylist(), kind), ids, keep):
+                yield pa.RecordBatch.from_arrays([pa.array(pilot.astype(np.int32)), pa.array(away), ids[1].take(pa.array(place)),
+                                                  pa.array(leaf[entry].astype(np.int32))], ["pilot", "away", "vec_id", "leaf"])
 
     near = index.entries.mapInArrow(compare, f"pilot int, away double, vec_id {id_kind}, leaf int")
     place = F.row_number().over(Window.partitionBy("pilot").orderBy("away", "vec_id"))
@@ -260,48 +272,64 @@ def neighbours(vectors: DataFrame, queried: Column, k: int = 20, id_col: str = "
     if index is None:
         return spark.createDataFrame([], f"query_id {id_kind}, rank int, vec_id {id_kind}, score double")
     asked = rows.where(queried & (F.length("vector") == len(index.entries.select("vector").first()[0]))).select("vec_id", "vector")
-    queries = cut(asked.groupBy("vector").agg(F.array(F.min("vec_id")).alias("ids")))
+    queries = cut(asked.groupBy("vector").agg(F.array(F.min("vec_id")).alias("ids")).withColumn("q", F.monotonically_increasing_id()))
     number, _ = calibrated_visits(index, queries, k, target)
-    found = _searched(index, queries, number)
-    mine = asked.join(found, "vector").select(
+    found = searched(index, queries, number)
+    mine = asked.join(queries.select("vector", "q"), "vector").join(found, "q").select(
         F.col("vec_id").alias("query_id"), F.slice(F.filter("near", lambda n: n["vec_id"] != F.col("vec_id")), 1, k).alias("near"))
     return mine.select("query_id", F.posexplode("near").alias("at", "one")).select(
         "query_id", (F.col("at") + 1).alias("rank"), F.col("one.vec_id").alias("vec_id"), (-F.col("one.away")).alias("score"))
 
 
-def _searched(index: Index, queries: DataFrame, number: int) -> DataFrame:
-    """(vector, near: the nearest entries' negative scores and ids) of each query after ``number`` leaves."""
+def searched(index: Index, queries: DataFrame, number: int) -> DataFrame:
+    """(q, near: negative scores and ids of the nearest entries) of each query (q, vector) after ``number`` leaves."""
     sent = queries.sparkSession.sparkContext.broadcast(index.tree)
-    kind, keep = index.kind, index.kept_ids
+    kind = index.kind
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                flat = _matrix(batch.column(0).to_pylist(), kind)
+            for a in range(0, len(batch), TOGETHER):
+                part = batch.slice(a, TOGETHER)
+                flat = _matrix(part.column(1).to_pylist(), kind)
                 seen = list(sent.value.visits(np.concatenate([flat, np.zeros((len(flat), 1))], axis=1), number))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seen, pa.list_(pa.int32()))], ["vector", "leaves"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(seen, pa.list_(pa.int32()))], ["q", "vector", "leaves"])
+
+    spread = queries.select("q", "vector").repartition(-(-queries.count() // QUERIES) + 1, "q")
+    ways = cut(spread.mapInArrow(visit, "q long, vector binary, leaves array<int>"))
+    nearest = lambda found: found.groupBy("q").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("away", "vec_id"))), 1, index.kept_ids).alias("near"))
+    first = cut(nearest(_met(index, ways.select("q", "vector", F.slice("leaves", 1, NEAR).alias("leaves"), F.lit(float("-inf")).alias("least")))))
+    full = F.size("near") == index.kept_ids
+    known = first.select("q", F.when(full, -F.element_at("near", -1)["away"]).otherwise(float("-inf")).alias("least"))
+    rest = ways.where(F.size("leaves") > NEAR).join(known, "q").select("q", "vector", F.slice("leaves", NEAR + 1, number).alias("leaves"), "least")
+    return nearest(first.select("q", F.inline("near")).unionByName(_met(index, rest)))
 
-    visits = cut(queries.select("vector").mapInArrow(visit, "vector binary, leaves array<int>").select("vector", F.explode("leaves").alias("leaf")))
+
+def _met(index: Index, asked: DataFrame) -> DataFrame:
+    """(q, away, vec_id) of what queries (q, vector, leaves, least score) find in their leaves."""
+    kind, keep = index.kind, index.kept_ids
+    visits = cut(asked.select("q", "vector", "least", F.explode("leaves").alias("leaf")))
     # at most one row per leaf of the tree, whose number the sample bounds
     shares = visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks")).join(
         index.entries.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / VECTORS).cast("int").alias("chunks")), "leaf")
     shares = F.broadcast(cut(shares))
-    part = lambda of: F.pmod(F.xxhash64("vector"), F.col(of)).cast("int")
+    part = lambda key, of: F.pmod(F.xxhash64(key), F.col(of)).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = index.entries.join(shares, "leaf").select("leaf", part("chunks").alias("chunk"), each("blocks").alias("block"), "vector", "ids")
-    right = visits.join(shares, "leaf").select("leaf", each("chunks").alias("chunk"), part("blocks").alias("block"), "vector")
+    left = index.entries.join(shares, "leaf").select("leaf", part("vector", "chunks").alias("chunk"), each("blocks").alias("block"), "vector", "ids")
+    right = visits.join(shares, "leaf").select("leaf", each("chunks").alias("chunk"), part("q", "blocks").alias("block"), "q", "vector", "least")
     id_kind = index.entries.schema["ids"].dataType.elementType.simpleString()
 
     def meet(entries: pa.Table, asked: pa.Table) -> pa.Table:
-        vectors = asked.column("vector").to_pylist()
-        ids = entries.column("ids").to_pylist()
-        near = pa.list_(pa.struct([("away", pa.float64()), ("vec_id", entries.schema.field("ids").type.value_type)]))
-        if not vectors or not ids:
-            return pa.table({"vector": pa.array([], pa.binary()), "near": pa.array([], near)})
-        best = _nearest(_matrix(vectors, kind), _matrix(entries.column("vector").to_pylist(), kind), ids, keep)
-        found = [[{"away": s, "vec_id": i} for s, i, _ in b] for b in best]
-        return pa.table({"vector": pa.array(vectors, pa.binary()), "near": pa.array(found, near)})
-
-    met = left.groupBy("leaf", "chunk", "block").cogroup(right.groupBy("leaf", "chunk", "block")).applyInArrow(
-        meet, f"vector binary, near array<struct<away: double, vec_id: {id_kind}>>")
-    return met.groupBy("vector").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, keep).alias("near"))
+        ids = _flat(entries.column("ids"))
+        out = [[np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]]
+        if len(entries) and len(asked):
+            numbers = asked.column("q").to_numpy()
+            flat = _matrix(asked.column("vector").to_pylist(), kind)
+            for query, away, place, _ in _near(flat, asked.column("least").to_numpy(), _matrix(entries.column("vector").to_pylist(), kind), ids, keep):
+                for to, values in zip(out, (numbers[query], away, place), strict=True):
+                    to.append(values)
+        q, away, place = (np.concatenate(o) for o in out)
+        return pa.table({"q": pa.array(q, pa.int64()), "away": pa.array(away, pa.float64()), "vec_id": ids[1].take(pa.array(place, pa.int64()))})
+
+    return left.groupBy("leaf", "chunk", "block").cogroup(right.groupBy("leaf", "chunk", "block")).applyInArrow(
+        meet, f"q long, away double, vec_id {id_kind}")
