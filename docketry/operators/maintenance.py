@@ -44,6 +44,22 @@ def delete_cases(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, Data
     return {name: df.join(gone, "case_id", "left_anti") for name, df in tables.items()}
 
 
+def delete_events(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """Every table after the given events are gone: rows of ``case_events`` go, links to them become NULL."""
+    gone = ids.select(F.col("event_id").alias("__gone")).distinct()
+    links = {"docket_documents": "event_id", "cases": "finalized_event_id"}
+    out = dict(tables)
+    if "case_events" in out:
+        out["case_events"] = out["case_events"].join(gone, F.col("event_id") == F.col("__gone"), "left_anti")
+    for name, link in links.items():
+        if name in out:
+            # only rows with a link take part in the join, so rows without one meet in no task
+            linked, free = out[name].where(F.col(link).isNotNull()), out[name].where(F.col(link).isNull())
+            cut_off = linked.join(gone, F.col(link) == F.col("__gone"), "left").withColumn(link, F.when(F.col("__gone").isNull(), F.col(link)))
+            out[name] = cut_off.select(*tables[name].columns).unionByName(free)
+    return out
+
+
 def quarantine(candidates: DataFrame, kept: DataFrame, scrape_date: date | str) -> DataFrame:
     """Rejected candidates not yet on record for the day, their events packed as JSON; one row per case number.
 

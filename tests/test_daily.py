@@ -52,3 +52,78 @@ def test_a_day(spark, tmp_path):
     again = DailyRun(spark, {}, str(tmp_path / "broken"), "2024-06-14 12:00:00")
     failed = again.run().collect()
     assert {r.status for r in failed} == {"failed"} and all(r.error_message for r in failed)
+
+
+def small_day(spark, folder, **more):
+    cases = spark.createDataFrame([case(1, "upcoming"), case(2, "upset_bid", date(2024, 6, 10), datetime(2024, 6, 20), Decimal(100), address=None)], CASE)
+    events = spark.createDataFrame([(20, 2, 1, date(2024, 6, 10), "Report of Sale", None)], EVENT)
+    parsed = spark.createDataFrame([(11, 1, 1, date(2024, 6, 11), "Report of Sale", None)], EVENT)
+    documents = spark.createDataFrame([(1, 2, 20, "06-10-2024_Report of Sale.pdf", "REPORT OF SALE Amount Bid: $100.00", date(2024, 6, 10))],
+                                      "document_id bigint, case_id bigint, event_id bigint, document_name string, ocr_text string, document_date date")
+    incoming = spark.createDataFrame([("24SP000008-910", "Foreclosure", "New", "FORECLOSURE - New")], "case_number string, case_type string, case_status string, style string")
+    tables = {"cases": cases, "case_events": events, "parsed_events": parsed, "docket_documents": documents, "incoming": incoming,
+              "analyses": spark.createDataFrame([], "case_id bigint, status string, requested_on date")} | more
+    return DailyRun(spark, tables, folder, "2024-06-14 12:00:00")
+
+
+def statuses(run):
+    return [(r.task_name, r.status) for r in sorted(run.run().collect(), key=lambda r: r.task_order)]
+
+
+def test_a_day_started_again(spark, tmp_path, monkeypatch):
+    """A task that dies between two tables leaves none of them; the next start goes on there, and then nothing is left to do."""
+    from docketry.streaming import daily
+
+    whole = daily.transitions
+    monkeypatch.setattr(daily, "transitions", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+    day = small_day(spark, str(tmp_path))
+    first = dict(statuses(day))
+    assert first["monitor"] == "failed" and first["ingest"] == first["extract"] == "success"
+    assert not {"events_added", "transitions", "cases_monitored"} & set(day.tables)  # staged before the failure, never seen
+    assert [r.event_id for r in day.tables["case_events"].collect()] == [20]
+    monkeypatch.setattr(daily, "transitions", whole)
+    again = DailyRun(spark, {}, str(tmp_path), "2024-06-14 12:00:00")
+    second = statuses(again)
+    assert [s for s in second if s[1] == "unchanged"] == [("ingest", "unchanged"), ("extract", "unchanged")]
+    assert all(s in ("unchanged", "success") for _, s in second)
+    assert {r.event_id for r in again.tables["case_events"].collect()} == {20, 11}
+    before = sorted(map(str, again.tables["cases"].collect()))
+    third = DailyRun(spark, {}, str(tmp_path), "2024-06-14 12:00:00")
+    assert {s for _, s in statuses(third)} == {"unchanged"}
+    assert sorted(map(str, third.tables["cases"].collect())) == before
+    ledger = third.ledger().collect()
+    assert [r.task_name for r in ledger if r.status == "failed"][0] == "monitor"
+    assert all(r.outputs for r in ledger if r.status == "success" and r.task_name != "second_source")
+
+
+def test_a_changed_input_is_taken_up_where_it_is_read_first(spark, tmp_path):
+    day = small_day(spark, str(tmp_path))
+    assert {s for _, s in statuses(day)} == {"success"}
+    parsed = spark.createDataFrame([(11, 1, 1, date(2024, 6, 11), "Report of Sale", None), (12, 1, 2, date(2024, 6, 12), "Upset Bid Filed", None)], EVENT)
+    again = DailyRun(spark, {"parsed_events": parsed}, str(tmp_path), "2024-06-14 12:00:00")
+    second = dict(statuses(again))
+    assert second["ingest"] == second["extract"] == "unchanged" and second["monitor"] == "success"
+    # the monitor starts from the tables as they were before it, not from its own old results
+    assert sorted(r.event_id for r in again.tables["case_events"].collect()) == [11, 12, 20]
+    alone = small_day(spark, str(tmp_path / "alone"), parsed_events=parsed)
+    statuses(alone)
+    assert sorted(map(str, again.tables["cases"].collect())) == sorted(map(str, alone.tables["cases"].collect()))
+
+
+def test_children_marks_and_second_source(spark, tmp_path):
+    fresh = spark.createDataFrame([("24SP000008-910", date(2024, 6, 1), "Foreclosure Case Initiated", None, None)],
+                                  "case_number string, event_date date, event_type string, event_description string, document_title string")
+    parties = spark.createDataFrame([("24SP000008-910", "Respondent", "Ann New"), ("24SP000001-910", "Trustee", "Old")], "case_number string, party_type string, party_name string")
+    hearings = spark.createDataFrame([("24SP000008-910", 1, date(2024, 7, 1), "2:30 PM", "Foreclosure")],
+                                     "case_number string, hearing_no int, hearing_date date, hearing_time string, hearing_type string")
+    readings = spark.createDataFrame([(1, 2, "5 Oak Street, Raleigh, NC 27601", Decimal(250), None, None, None)],
+                                     "document_id bigint, case_id bigint, property_address string, bid_amount decimal(12,2), minimum_next_bid decimal(12,2), legal_description string, sale_date date")
+    day = small_day(spark, str(tmp_path), incoming_events=fresh, incoming_parties=parties, incoming_hearings=hearings, second_source=readings)
+    assert {s for _, s in statuses(day)} == {"success"}, [a[4] for a in day.audit if a[4]]
+    new = {r.case_number: r.case_id for r in day.tables["cases"].collect()}["24SP000008-910"]
+    assert [(r.case_id, r.party_name) for r in day.tables["parties"].collect()] == [(new, "Ann New")]
+    assert [(r.case_id, r.hearing_time) for r in day.tables["hearings"].collect()] == [(new, "2:30 PM")]
+    documents = day.tables["docket_documents"].collect()
+    assert all(r.extraction_attempted_at and r.vision_processed_at for r in documents)
+    merged = {r.case_id: r for r in day.tables["cases"].collect()}[2]
+    assert (merged.property_address, merged.current_bid_amount) == ("5 Oak Street, Raleigh, NC 27601", Decimal("250.00"))
