@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry import rules as R
@@ -34,3 +34,28 @@ def missing_sections(body: Column) -> Column:
     keys = F.json_object_keys(F.get_json_object(body, "$.comprehensive_analysis"))
     wanted = F.array(*[F.lit(k) for k in R.REQUIRED_SECTIONS])
     return F.array_except(wanted, F.coalesce(keys, F.array().cast("array<string>")))
+
+
+def as_variant(text: Column) -> Column:
+    """JSON of any shape as VARIANT; a text that holds JSON (doubly encoded) is unwrapped once. NULL if it cannot be read."""
+    outer = F.try_parse_json(text)
+    inner = F.when(F.schema_of_variant(outer) == "STRING", F.try_parse_json(F.try_variant_get(outer, "$", "string")))
+    return F.coalesce(inner, outer)
+
+
+def json_shape(text: Column, value: Column) -> Column:
+    """``object``, ``array`` or ``value`` of a text and its VARIANT; ``broken`` if it cannot be read, ``absent`` without one."""
+    kind = F.schema_of_variant(value)
+    return (F.when(text.isNull(), "absent").when(value.isNull(), "broken").when(F.startswith(kind, F.lit("OBJECT")), "object")
+            .when(F.startswith(kind, F.lit("ARRAY")), "array").otherwise("value"))
+
+
+def variant_objects(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with one row per object that the VARIANT column holds: itself, or those in its array. Rows without one keep one
+    row with NULL; other items of an array are dropped."""
+    is_array = F.startswith(F.schema_of_variant(name), F.lit("ARRAY"))
+    whole = df.where(~F.coalesce(is_array, F.lit(False)))
+    kept = whole.withColumn(name, F.when(F.startswith(F.schema_of_variant(name), F.lit("OBJECT")), F.col(name)))
+    items = df.where(is_array).lateralJoin(df.sparkSession.tvf.variant_explode(F.col(name).outer()).select(F.col("value").alias("__item")))
+    objects = items.where(F.startswith(F.schema_of_variant("__item"), F.lit("OBJECT")))
+    return kept.unionByName(objects.withColumn(name, F.col("__item")).drop("__item"))

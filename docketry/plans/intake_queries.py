@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry import rules as R
@@ -13,6 +10,7 @@ from docketry import rules as R
 from docketry.plans.extract_queries import read_steps
 from docketry.plans.registry import SQL_CALENDAR, query
 from docketry.plans.state_queries import _APPLY, _CLASSIFY
+from docketry.session import shared_folder
 from docketry.sources import pages as PG
 from docketry.sources.sample_views import AS_OF
 from docketry.streaming import intake as N
@@ -21,17 +19,6 @@ from docketry.streaming.daily import DailyRun
 CHUNK = 500
 
 
-def shared_folder(spark, name: str) -> str:
-    """A fresh folder below the one the cluster names; only a single machine gets a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="docketry-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # --- pages, marked up from the sample tables -----------------------------------------------------------------------------
 
 
@@ -99,7 +86,12 @@ def result_pages(parcels: DataFrame) -> DataFrame:
     blank = cell(F.lit(""))
     row = F.concat(F.lit("<tr>"), cell(F.lit("1")), F.lit('<td><a href="Account.asp?id='), F.col("account_id"), F.lit('">x</a></td>'), cell(F.col("stnum")), blank, cell(F.col("prefix")),
                    cell(F.col("street_name")), cell(F.lit("ST")), blank, cell(F.col("etj")), cell(F.lit("Owner")), F.lit("</tr>"))
-    numbered = parcels.select(row.alias("row"), F.floor(F.monotonically_increasing_id() / CHUNK).alias("page_id"))
+    return paged(parcels, row)
+
+
+def paged(rows: DataFrame, row: Column) -> DataFrame:
+    """(page_id, html): tables of at most ``CHUNK`` rows of markup."""
+    numbered = rows.select(row.alias("row"), F.floor(F.monotonically_increasing_id() / CHUNK).alias("page_id"))
     return numbered.groupBy("page_id").agg(F.array_join(F.collect_list("row"), "").alias("r")).select(
         "page_id", F.concat(F.lit("<table>"), "r", F.lit("</table>")).alias("html"))
 
@@ -109,6 +101,16 @@ def parcel_pages(t):
     return PG.ingest_parcel_pages(result_pages(t.parcels))["accounts"].select("account_id", "stnum", "prefix", "street_name", "etj")
 
 
+@query("street_rows", "SELECT locid, prefix, street_name, street_type, suffix, etj, low_num, high_num FROM street_rows")
+def street_rows(t):
+    """Street ranges out of the street selection pages; a cell that holds no number is no bound."""
+    cell = lambda c: F.concat(F.lit("<td> "), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("</td>"))
+    row = F.concat(F.lit('<tr><td><input type="checkbox" name="c1" value="'), F.col("locid"), F.lit('"></td>'),
+                   *[cell(c) for c in ("prefix", "street_name", "street_type", "suffix", "etj", "low_num")],
+                   F.when(F.col("high_num").isNull() & (F.col("locid").cast("int") % 2 == 0), "<td>none</td>").otherwise(cell("high_num")), F.lit("</tr>"))
+    return PG.ingest_parcel_pages(paged(t.street_rows, row))["streets"].drop("page_id")
+
+
 @query("page_links", """SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM pages""")
 def page_links(t):
     return PG.extract_links(t.pages, 'href="([^"]+)"')
@@ -218,8 +220,10 @@ def daily_run(t):
     events = t.case_events.join(seen.where("case_id % 50 = 0").select("case_id", "case_number"), "case_id").select(
         "case_number", "event_date", "event_type", "event_description", none("string").alias("document_title"))
     parsed = t.parsed_events.withColumn("event_id", F.xxhash64("case_id", "event_index", "event_date", "event_type", "event_description"))
+    numbered = lambda rows: rows.join(seen.select("case_id", "case_number"), "case_id").drop("case_id")
     tables = {"cases": cases, "incoming": incoming, "incoming_events": events, "case_events": t.case_events, "parsed_events": parsed,
-              "docket_documents": t.docket_documents, "analyses": t.analyses}
+              "docket_documents": t.docket_documents, "analyses": t.analyses, "parties": t.parties, "hearings": t.hearings,
+              "incoming_parties": numbered(t.parties), "incoming_hearings": numbered(t.hearings), "second_source": t.second_source}
     day = DailyRun(t.spark, tables, shared_folder(t.spark, "daily-run"), AS_OF)
     failed = [r["task_name"] for r in day.run().where("status <> 'success'").collect()]  # a row a task
     if failed:

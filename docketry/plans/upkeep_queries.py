@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from docketry import rules as R
 from docketry.functions.addresses import with_address_parts
 from docketry.functions.dates import as_moment
+from docketry.functions.jsontext import as_variant, json_shape, variant_objects
 from docketry.operators import maintenance as M
 from docketry.operators import parcels as P
 from docketry.plans.registry import SQL_CALENDAR, query, sql_any
 from docketry.plans.value_queries import _PARSE
+from docketry.session import shared_folder
 from docketry.sources.sample_views import AS_OF
+from docketry.sources.versions import TableStore
 
 # --- cases and quarantine ----------------------------------------------------------------------------------------------
 
@@ -44,6 +47,30 @@ def reject_cascade(t):
     return out
 
 
+_CASE_TABLES = ("cases", "case_events", "parties", "hearings", "docket_documents", "user_notes")
+_ROW_TEXT = {"cases": "case_number", "case_events": "event_id", "parties": "party_type||':'||party_name", "hearings": "hearing_no", "docket_documents": "document_id", "user_notes": "user_id||':'||note"}
+
+
+@query("reject_rows", " UNION ALL ".join(f"SELECT '{n}' AS tbl, case_id, CAST({text} AS VARCHAR) AS item FROM {n} WHERE case_id%9<>0" for n, text in _ROW_TEXT.items()))
+def reject_rows(t):
+    """Cases taken out of a store with all that hangs on them, in one transaction; what is left, row by row."""
+    store = TableStore(t.spark, shared_folder(t.spark, "reject"))
+    with store.begin() as tx:
+        for name in _CASE_TABLES:
+            tx.write(name, getattr(t, name))
+        tx.commit()
+    with store.begin() as tx:
+        held = {name: tx.read(name) for name in _CASE_TABLES}
+        for name, left in M.delete_cases(held, held["cases"].where("case_id % 9 = 0")).items():
+            tx.write(name, left)
+        tx.commit({"what": "reject"})
+    newest, out = store.snapshot(), None
+    for name, text in _ROW_TEXT.items():
+        rows = store.read(name, newest).select(F.lit(name).alias("tbl"), "case_id", F.expr(f"CAST({text} AS STRING)").alias("item"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("quarantine_json", """WITH cand AS (SELECT case_number, file_date, strftime(file_date,'%m/%d/%Y') AS d FROM cases WHERE case_id%5=0)
     SELECT case_number, concat('[{"event_date":"',d,'","event_type":"Petition","document_title":null,"has_document":false},{"event_date":null,"event_type":"Affidavit","document_title":"Deed \\\"A\\\"","has_document":true}]') AS events_json
     FROM cand WHERE case_number NOT IN (SELECT case_number FROM cases WHERE case_id%15=0)""")
@@ -145,7 +172,8 @@ _SEARCH = f"""{_PARSE}, seek AS (SELECT case_id, stnum, upper(name) AS name, coa
 @query("parcel_match", f"WITH {_SEARCH} SELECT * FROM matched")
 def parcel_match(t):
     parsed = with_address_parts(t.docket_cases.select("case_id", "property_address"))
-    return P.match_parcels(parsed.where(F.col("stnum").isNotNull() & (F.length("name") > 0)), t.parcels)
+    found = P.match_parcels(parsed.where(F.col("stnum").isNotNull() & (F.length("name") > 0)), t.parcels)
+    return found.select("case_id", "account_id", "matches_found")
 
 
 @query("street_range", f"""WITH {_SEARCH} SELECT s.case_id, min(p.account_id) AS account_id FROM seek s LEFT JOIN parcels p ON upper(p.street_name)=s.name AND p.prefix=s.prefix
@@ -155,6 +183,15 @@ def street_range(t):
     return P.match_street_ranges(parsed.where(F.col("stnum").isNotNull() & (F.length("name") > 0)), t.parcels)
 
 
+@query("prefixed_match", f"""WITH {_SEARCH.replace('FROM docket_cases', 'FROM county_addresses')}, st AS (SELECT s.case_id, min(r.locid) AS locid FROM seek s LEFT JOIN street_rows r ON upper(r.street_name)=s.name AND r.prefix=s.prefix
+    AND (r.low_num IS NULL OR r.high_num IS NULL OR CAST(s.stnum AS BIGINT) BETWEEN r.low_num AND r.high_num) WHERE s.prefix<>'' GROUP BY s.case_id)
+    SELECT st.case_id, st.locid, CASE WHEN locid IS NOT NULL THEN m.account_id END AS account_id, CASE WHEN locid IS NOT NULL THEN m.matches_found ELSE 0 END AS matches_found FROM st JOIN matched m ON m.case_id=st.case_id""")
+def prefixed_match(t):
+    """Addresses with a direction: the street by its number range first, then the parcels on it."""
+    parsed = with_address_parts(t.county_addresses.select("case_id", "property_address"))
+    return P.match_prefixed(parsed.where(F.col("stnum").isNotNull() & (F.length("name") > 0)), t.street_rows, t.parcels)
+
+
 @query("enrich_todo", """SELECT case_id, case_number, parcel_id, property_address, next_bid_deadline FROM docket_cases c WHERE county_code='910' AND classification='upset_bid'
     AND NOT EXISTS (SELECT 1 FROM enrichments_long e WHERE e.case_id=c.case_id AND e.source='wake_re' AND (ref_id IS NOT NULL OR error IS NOT NULL))""", moments="next_bid_deadline")
 def enrich_todo(t):
@@ -182,6 +219,82 @@ _ENRICH = f"""{_SEARCH}, {_IDS}, byid AS (SELECT parcel_id, count(*) AS n, min(a
         WHEN property_address<>'' THEN concat('Could not parse address: ',property_address) ELSE 'No parcel_id or property_address available' END AS message, CASE WHEN by_id THEN parcel_id ELSE property_address END AS search_value FROM e)"""
 
 
+_SOURCES = "CASE x WHEN '910' THEN 'wake_re' WHEN '310' THEN 'durham_re' WHEN '420' THEN 'harnett_re' WHEN '520' THEN 'lee_re' WHEN '670' THEN 'orange_re' WHEN '180' THEN 'chatham_re' END"
+_LINKS = """CASE source WHEN 'wake_re' THEN 'https://services.wake.gov/realestate/Account.asp?id='||account_id WHEN 'durham_re' THEN 'https://taxcama.dconc.gov/camapwa/PropertySummary.aspx?PARCELPK='||account_id
+    WHEN 'harnett_re' THEN 'https://cama.harnett.org/itspublicht/AppraisalCard.aspx?prid='||account_id WHEN 'orange_re' THEN 'https://property.spatialest.com/nc/orange/#/property/'||account_id
+    WHEN 'chatham_re' THEN 'https://chathamnc.devnetwedge.com/parcel/view/'||account_id||'/2025'
+    WHEN 'lee_re' THEN 'https://taxaccess.leecountync.gov/PT/Datalets/Datalet.aspx?mode=&UseSearch=no&pin='||account_id||'&jur=000&taxyr=1998' END"""
+_COUNTIES = f"""{_PARSE.replace('FROM docket_cases', 'FROM county_addresses')}, routed AS (SELECT *, {_SOURCES} AS source FROM (SELECT *, CASE WHEN contains(case_number,'-') THEN split_part(case_number,'-',2) END AS x FROM county_addresses)),
+    seek AS (SELECT p.case_id, r.source, stnum, upper(name) AS name, coalesce(prefix,'') AS prefix, {_CODES}[lower(city)] AS etj FROM parsed p JOIN routed r ON r.case_id=p.case_id WHERE source IS NOT NULL AND stnum IS NOT NULL AND name<>''),
+    cand AS (SELECT s.case_id, p.account_id, p.prefix=s.prefix AS same_prefix, s.etj IS NULL OR p.etj=s.etj AS same_city FROM seek s JOIN county_parcels p ON p.source=s.source AND p.stnum=s.stnum AND upper(p.street_name)=s.name AND (s.prefix='' OR p.prefix=s.prefix)),
+    agg AS (SELECT case_id, count(*) AS n, min(account_id) AS only_id, min(account_id) FILTER (same_prefix AND same_city) AS lo, max(account_id) FILTER (same_prefix AND same_city) AS hi FROM cand GROUP BY case_id),
+    ids AS (SELECT source, right(lpad(account_id,10,'0'),10) AS parcel_id, account_id FROM county_parcels WHERE CAST(account_id AS BIGINT)%700=CAST(account_id AS BIGINT)),
+    byid AS (SELECT source, parcel_id, count(*) AS n, min(account_id) AS a FROM ids GROUP BY source, parcel_id),
+    e AS (SELECT r.case_id, r.source, r.x, r.parcel_id, r.property_address, r.source='wake_re' AND regexp_full_match(coalesce(r.parcel_id,''),'\\d{{10}}') AS by_id, coalesce(b.n,0) AS idn, b.a, s.case_id IS NOT NULL AS can, coalesce(g.n,0) AS n, g.only_id, g.lo, g.hi
+      FROM routed r LEFT JOIN byid b ON b.source=r.source AND b.parcel_id=r.parcel_id LEFT JOIN seek s ON s.case_id=r.case_id LEFT JOIN agg g ON g.case_id=r.case_id),
+    m AS (SELECT *, CASE WHEN source IS NULL THEN NULL WHEN by_id THEN CASE WHEN idn=1 THEN a END WHEN can AND source='wake_re' AND lo=hi THEN lo WHEN can AND n=1 THEN only_id END AS account_id,
+      CASE WHEN source IS NULL THEN NULL WHEN by_id THEN 'parcel_id' WHEN property_address<>'' THEN 'address' END AS method FROM e),
+    outcome AS (SELECT case_id, source, CASE WHEN account_id IS NOT NULL THEN 'success' WHEN by_id OR (method='address' AND can) THEN 'review' ELSE 'error' END AS status, method, account_id, {_LINKS} AS url,
+      CASE WHEN method='parcel_id' THEN idn WHEN method='address' AND can THEN n END AS matches_found,
+      CASE WHEN x IS NULL THEN 'Could not determine county code' WHEN source IS NULL THEN 'Unknown county code: '||x WHEN account_id IS NOT NULL THEN NULL
+        WHEN by_id THEN CASE WHEN idn=0 THEN 'No matches found' ELSE concat(idn,' matches found') END
+        WHEN method='address' AND can THEN CASE WHEN source='wake_re' THEN concat(n,' matches found for address') WHEN n=0 THEN 'No matches found' ELSE concat(n,' matches found') END
+        WHEN method='address' THEN concat('Could not parse address: ',property_address) WHEN source='wake_re' THEN 'No parcel_id or property_address available' ELSE 'No property_address available' END AS message,
+      CASE WHEN source IS NULL THEN NULL WHEN by_id THEN parcel_id ELSE property_address END AS search_value FROM m)"""
+
+
+def _counties(t):
+    number = F.col("account_id").cast("bigint")
+    ids = t.county_parcels.where(number % 700 == number).select("source", F.lpad("account_id", 10, "0").alias("parcel_id"), "account_id")
+    return P.look_up_all(t.county_addresses, t.county_parcels, ids, AS_OF)
+
+
+@query("county_status", f"WITH {_COUNTIES} SELECT * FROM outcome")
+def county_status(t):
+    """Every case looked up at its own county, by that county's policy."""
+    return _counties(t).select("case_id", "source", "status", "method", "account_id", "url", "matches_found", "message", "search_value")
+
+
+@query("county_reviews", f"""WITH {_COUNTIES} SELECT o.case_id, source AS enrichment_type, method AS search_method, search_value, matches_found, CASE WHEN method='address' THEN p.name END AS street,
+    TIMESTAMP '1998-06-15 12:00:00' AS created_at, CASE WHEN o.case_id%2=0 THEN TIMESTAMP '1998-06-16 09:00:00' END AS resolved_at, CASE WHEN o.case_id%2=0 THEN 'by hand' END AS resolution_notes
+    FROM outcome o LEFT JOIN parsed p ON p.case_id=o.case_id WHERE status='review'""", moments="created_at resolved_at")
+def county_reviews(t):
+    """The review log as stored, with its raw results as VARIANT, written and read back; half of it resolved."""
+    path = shared_folder(t.spark, "reviews")
+    P.with_raw_results(P.review_log(_counties(t)), AS_OF).write.parquet(path)
+    log = t.spark.read.parquet(path)
+    answers = t.cases.where("case_id % 2 = 0").select("case_id", F.lit(None).cast("string").alias("account_id"), F.lit("by hand").alias("resolution_notes"))
+    done, _ = P.resolve_reviews(log, answers, "1998-06-16 09:00:00")
+    raw = lambda path, kind: F.try_variant_get("raw_results", path, kind)
+    return done.select("case_id", "enrichment_type", "search_method", raw("$.value", "string").alias("search_value"), raw("$.matches", "bigint").alias("matches_found"),
+                       raw("$.parsed.name", "string").alias("street"), "created_at", "resolved_at", "resolution_notes")
+
+
+@query("search_results", """SELECT source, stnum, street_name AS name, 0 AS chunk, count(*) AS n, min(account_id) AS first_account, max(account_id) AS last_account FROM county_parcels GROUP BY source, stnum, street_name""")
+def search_results(t):
+    """What each search of a county brings up, as VARIANT arrays, read back item by item."""
+    path = shared_folder(t.spark, "search-results")
+    P.search_results(t.county_parcels).write.parquet(path)
+    items = variant_objects(t.spark.read.parquet(path), "results").select("source", "stnum", "name", "chunk", F.try_variant_get("results", "$.account_id", "string").alias("account_id"))
+    return items.groupBy("source", "stnum", "name", "chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.min("account_id").alias("first_account"), F.max("account_id").alias("last_account"))
+
+
+@query("raw_shapes", f"""WITH {_COUNTIES}, r AS (SELECT o.case_id, o.case_id%6 AS shape, search_value, matches_found FROM outcome o WHERE status='review')
+    SELECT case_id, CASE shape WHEN 2 THEN 'broken' WHEN 3 THEN 'absent' WHEN 4 THEN 'array' WHEN 5 THEN 'value' ELSE 'object' END AS shape,
+      CASE WHEN shape IN (0,1,4) THEN matches_found END AS matches_found, CASE WHEN shape IN (0,1,4) THEN search_value END AS search_value FROM r""")
+def raw_shapes(t):
+    """Raw results as older runs left them: an object, one encoded twice, cut off, missing, in an array beside junk, a bare number."""
+    log = P.with_raw_results(P.review_log(_counties(t)), AS_OF).select("case_id", F.to_json("raw_results").alias("j"))
+    shape = F.col("case_id") % 6
+    quoted = F.concat(F.lit('"'), F.replace(F.replace(F.col("j"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    text = (F.when(shape == 1, quoted).when(shape == 2, F.substr("j", F.lit(1), F.length("j") - 1)).when(shape == 3, None)
+            .when(shape == 4, F.concat(F.lit('["junk",'), "j", F.lit(",7]"))).when(shape == 5, "12").otherwise(F.col("j")))
+    read = log.select("case_id", text.alias("text")).withColumn("v", as_variant(F.col("text"))).withColumn("shape", json_shape(F.col("text"), F.col("v")))
+    return variant_objects(read, "v").select("case_id", "shape", F.try_variant_get("v", "$.matches", "bigint").alias("matches_found"),
+                                             F.try_variant_get("v", "$.value", "string").alias("search_value"))
+
+
 def _outcomes(t):
     ids = t.part.where("p_partkey % 3 <> 0").select(F.lpad((F.col("p_partkey") % 700).cast("string"), 10, "0").alias("parcel_id"),
                                                     F.lpad((F.col("p_partkey") % 700).cast("string"), 7, "0").alias("account_id"))
@@ -232,6 +345,15 @@ def valuation_join(t):
     return P.join_valuations(t.docket_cases, t.valuations, t.enrichments_long)
 
 
+@query("valuation_links", """WITH done AS (SELECT case_id FROM cases WHERE case_id%3=0), d AS (SELECT * FROM docket_cases c WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.case_id=c.case_id))
+    SELECT d.case_id, v.url, v.estimate, v.price, CASE WHEN nullif(d.property_address,'') IS NULL THEN 'No property_address available' WHEN v.url IS NULL THEN 'No value found' END AS error
+    FROM d LEFT JOIN listings v ON v.property_address=d.property_address""", money="estimate price")
+def valuation_links(t):
+    """Link, estimate and asking price of the cases that have no link yet."""
+    linked = t.cases.select("case_id", F.when(F.col("case_id") % 3 == 0, "https://www.zillow.com/known").when(F.col("case_id") % 3 == 1, "").alias("url"))
+    return P.join_valuations(t.docket_cases, t.listings, linked)
+
+
 @query("deed_todo", """SELECT a.case_id, c.case_number, CASE county_code WHEN '910' THEN format('https://rodrecords.wake.gov/web/web/integration/search?field_BookPageID_DOT_Volume={}&field_BookPageID_DOT_Page={}', deed_book, deed_page)
     WHEN '420' THEN format('https://us6.courthousecomputersystems.com/HarnettNC/Image/ShowDocImage?booktype=Deed&tif2pdf=true&BookNum={}&PageNum={}', deed_book, deed_page)
     WHEN '670' THEN format('https://rod.orangecountync.gov/orangenc/Image/ShowDocImage?booktype=Deed&tif2pdf=true&BookNum={}&PageNum={}', deed_book, deed_page)

@@ -359,3 +359,18 @@ DEED_LANDING_URLS = {
     "520": "https://www.leencrod.org/Opening.asp",
     "180": "https://www.chathamncrod.org/",
 }
+
+# --------------------------------------------------------------------------------------------------------------
+# How each county source is searched, and what it says. Methods in the order they are tried; the rule by which
+# an address search counts as a match (``account``: all rows found are one account, or a single row was found, whatever its
+# city; ``single``: a single row was found); the messages without anything to search for, for no match and for several.
+# --------------------------------------------------------------------------------------------------------------
+NOTHING_FOUND = "No matches found"
+COUNTY_POLICIES = [
+    ("wake_re", ["parcel_id", "address"], "account", "No parcel_id or property_address available", "%s matches found for address", "%s matches found for address"),
+    ("durham_re", ["address"], "single", "No property_address available", NOTHING_FOUND, "%s matches found"),
+    ("harnett_re", ["address"], "single", "No property_address available", NOTHING_FOUND, "%s matches found"),
+    ("lee_re", ["address"], "single", "No property_address available", NOTHING_FOUND, "%s matches found"),
+    ("orange_re", ["address"], "single", "No property_address available", NOTHING_FOUND, "%s matches found"),
+    ("chatham_re", ["address"], "single", "No property_address available", NOTHING_FOUND, "%s matches found"),
+]

@@ -332,7 +332,7 @@ def ingest_parcel_pages(pages: DataFrame) -> dict[str, DataFrame]:
         cell(6).alias("street_type"), cell(7).alias("suffix"), cell(8).alias("etj"), cell(9).alias("owner"))
     streets = r.where((F.length("box") > 0) & (F.size("cells") >= 7)).select(
         "page_id", F.col("box").alias("locid"), cell(1).alias("prefix"), cell(2).alias("street_name"), cell(3).alias("street_type"),
-        cell(4).alias("suffix"), cell(5).alias("etj"), cell(6).try_cast("int").alias("low_num"), cell(7).try_cast("int").alias("high_num"))
+        cell(4).alias("suffix"), cell(5).alias("etj"), cell(6).try_cast("bigint").alias("low_num"), cell(7).try_cast("bigint").alias("high_num"))
     return {"accounts": accounts, "streets": streets}
 
 

@@ -161,9 +161,30 @@ def view_sql(dialect: str) -> dict[str, str]:
         CASE p_partkey%4 WHEN 0 THEN 'N' WHEN 1 THEN 'SE' ELSE '' END AS prefix, upper(p_brand) AS street_name,
         CASE p_partkey%3 WHEN 0 THEN 'RA' WHEN 1 THEN 'AP' ELSE 'CA' END AS etj,
         CASE WHEN p_partkey%9=0 THEN NULL ELSE 100+p_size*10-50 END AS low_num, CASE WHEN p_partkey%9=0 THEN NULL ELSE 100+p_size*10+50 END AS high_num
+      FROM part""",
+        "county_parcels": """
+      SELECT CASE p_partkey%6 WHEN 0 THEN 'chatham_re' WHEN 1 THEN 'durham_re' WHEN 2 THEN 'harnett_re' WHEN 3 THEN 'lee_re' WHEN 4 THEN 'orange_re' ELSE 'wake_re' END AS source,
+        lpad(cast(p_partkey AS STRING),7,'0') AS account_id, cast(100+(p_size%10)*50 AS STRING) AS stnum,
+        CASE p_partkey%4 WHEN 0 THEN 'N' WHEN 1 THEN 'SE' ELSE '' END AS prefix, upper(p_brand) AS street_name,
+        CASE p_partkey%5 WHEN 0 THEN 'RA' WHEN 1 THEN 'AP' ELSE 'CA' END AS etj
+      FROM part""",
+        "county_addresses": """
+      SELECT case_id, county_code, parcel_id,
+        CASE case_id%13 WHEN 0 THEN substring(case_number,1,10) WHEN 1 THEN concat(substring(case_number,1,10),'-777') ELSE case_number END AS case_number,
+        CASE case_id%11 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'North Hills Blvd, Cary'
+          ELSE concat(cast(100+(case_id%10)*50 AS STRING),CASE case_id%3 WHEN 0 THEN ' SE' WHEN 1 THEN ' N' ELSE '' END,
+            ' Brand#',cast(1+case_id%5 AS STRING),cast(1+case_id%4 AS STRING),' Ct, ',CASE case_id%7 WHEN 0 THEN 'Nowhere' WHEN 1 THEN 'Raleigh' ELSE 'Cary' END,', NC 27511') END AS property_address
+      FROM docket_cases""",
+        "street_rows": """
+      SELECT lpad(cast(p_partkey AS STRING),9,'0') AS locid, CASE p_partkey%4 WHEN 0 THEN 'N' WHEN 1 THEN 'SE' ELSE '' END AS prefix, upper(p_brand) AS street_name,
+        'ST' AS street_type, '' AS suffix, CASE p_partkey%3 WHEN 0 THEN 'RA' WHEN 1 THEN 'AP' ELSE 'CA' END AS etj,
+        CASE WHEN p_partkey%97=0 THEN NULL ELSE cast(100+(p_size%20)*10 AS BIGINT) END AS low_num,
+        CASE WHEN p_partkey%89=0 THEN NULL WHEN p_partkey%50=0 THEN 1000000000000 ELSE cast(100+(p_size%20)*10+p_size AS BIGINT) END AS high_num
       FROM part""",
         "watchlist": """
       SELECT 1+c_custkey%3 AS user_id, o_orderkey AS case_id FROM orders JOIN customer ON o_custkey=c_custkey WHERE o_orderkey%11=0""",
+        "user_notes": """
+      SELECT user_id, case_id, concat('Look at ', cast(case_id AS STRING)) AS note FROM watchlist""",
         "quarantine": """
       SELECT o_orderkey AS id, concat('99SP',lpad(cast(o_orderkey AS STRING),6,'0'),'-910') AS case_number, 'Special Proceeding' AS case_type,
         CASE WHEN o_orderkey%7=0 THEN NULL ELSE concat('[{"event_date":"01/02/1998","event_type":"',CASE o_orderkey%4 WHEN 0 THEN 'Petition To Sell' WHEN 1 THEN 'Name Change' WHEN 2 THEN 'Report of Sale' ELSE 'Petition' END,'","document_title":null,"has_document":false}]') END AS events_json,
@@ -227,6 +248,10 @@ def view_sql(dialect: str) -> dict[str, str]:
         "valuations": """
       SELECT property_address, max(estimated_sale_price) AS estimate FROM docket_cases
       WHERE property_address IS NOT NULL AND case_id%2=0 GROUP BY property_address""",
+        "listings": """
+      SELECT property_address, concat('https://www.zillow.com/homedetails/', cast(min(case_id) AS STRING), '_zpid/') AS url,
+        max(CASE WHEN case_id%3=0 THEN NULL ELSE estimated_sale_price END) AS estimate, max(CASE WHEN case_id%4=0 THEN our_max_bid END) AS price
+      FROM docket_cases WHERE property_address<>'' AND case_id%2=0 GROUP BY property_address""",
     }
 
 

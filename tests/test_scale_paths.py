@@ -167,3 +167,64 @@ def test_misfiled_is_given_every_filing_and_goes_by_name(spark):
     assert len(named) == 23 and None not in named.values()
     got = {r.document_id for r in case_queries.misfiled(SimpleNamespace(filing_texts=texts, docket_cases=cases)).collect()}
     assert got == {12, 13, 17, 19, 20, 22}
+
+
+def test_ranges_as_blocks(spark):
+    """Every whole number lies in just the blocks of its range, and a range gives few of them whatever its bounds."""
+    from docketry.functions.ranges import block_at, dyadic_blocks
+
+    ranges = [(0, 0), (3, 17), (-9, 6), (1, 0), (100, 1_000_000_000_000), (7, 7), (-8, 7), (5, 1 << 61), (None, 4)]
+    got = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(ranges)], "i int, a long, b long").select(
+        "i", dyadic_blocks(F.col("a"), F.col("b")).alias("blocks")).collect()
+    blocks = {r.i: r.blocks for r in got}
+    for i, (a, b) in enumerate(ranges):
+        if a is None:
+            assert blocks[i] is None
+            continue
+        spans = sorted((x.block << x.level, ((x.block + 1) << x.level) - 1) for x in blocks[i])
+        assert all(s[1] + 1 == t[0] for s, t in zip(spans, spans[1:], strict=False))  # side by side, none twice
+        assert (spans[0][0], spans[-1][1]) == (a, b) if a <= b else not spans
+        assert len(spans) <= 2 * max(1, (b - a + 1).bit_length())
+    assert len(blocks[4]) < 100
+    numbers = spark.range(-20, 20).select("id", *[block_at(F.col("id"), F.lit(k)).alias(f"b{k}") for k in range(5)]).collect()
+    for n in numbers:
+        inside = any(n[f"b{x.level}"] == x.block for x in blocks[1] if x.level < 5)
+        assert inside == (3 <= n.id <= 17)
+
+
+def test_huge_street_ranges(spark):
+    streets = spark.createDataFrame([("1", "N", "ELM", 100, 10**12), ("2", "N", "ELM", 5, 99), ("3", "N", "ELM", None, 4), ("4", "", "OAK", 9, 3)],
+                                    "account_id string, prefix string, street_name string, low_num long, high_num long")
+    addresses = spark.createDataFrame([(1, "100", "N", "Elm"), (2, "99", "N", "ELM"), (3, "999999999999", "N", "elm"), (4, "5", "", "OAK"), (5, "1000000000001", "N", "ELM")],
+                                      "case_id long, stnum string, prefix string, name string")
+    got = {r.case_id: r.account_id for r in match_street_ranges(addresses, streets).collect()}
+    assert got == {1: "1", 2: "2", 3: "1", 4: None, 5: "3"}
+
+
+def test_variants_of_any_shape(spark):
+    from docketry.functions.jsontext import as_variant, json_shape, variant_objects
+
+    texts = ['{"a":1}', '"{\\"a\\":2}"', '[{"a":3},4,{"a":5},"x"]', '{"a":', None, "12", "[]", "null", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("v", as_variant(F.col("t")))
+    shapes = {r.i: r.s for r in df.select("i", json_shape(F.col("t"), F.col("v")).alias("s")).collect()}
+    assert shapes == {0: "object", 1: "object", 2: "array", 3: "broken", 4: "absent", 5: "value", 6: "array", 7: "value", 8: "broken"}
+    rows = sorted((r.i, r.a) for r in variant_objects(df, "v").select("i", F.try_variant_get("v", "$.a", "int").alias("a")).where("a IS NOT NULL").collect())
+    assert rows == [(0, 1), (1, 2), (2, 3), (2, 5)]
+
+
+def test_a_policy_is_data(spark):
+    """A source whose policy changes is looked up by it; nothing about a county stands in the code."""
+    from docketry.operators.parcels import county_policies, look_up
+
+    cases = spark.createDataFrame([(1, "x", "lee_re", "0000000007", "100 N Elm St, Cary, NC 27511"), (2, "x", "lee_re", None, None)],
+                                  "case_id long, case_number string, source string, parcel_id string, property_address string")
+    parcels = spark.createDataFrame([("lee_re", "A1", "100", "N", "ELM", "CA"), ("lee_re", "A1", "100", "N", "ELM", "CA")],
+                                    "source string, account_id string, stnum string, prefix string, street_name string, etj string")
+    ids = spark.createDataFrame([("lee_re", "0000000007", "A9")], "source string, parcel_id string, account_id string")
+    policies = county_policies(spark, "2024-01-01")
+    first = {r.case_id: r for r in look_up(cases, parcels, ids, policies).collect()}
+    assert (first[1].status, first[1].message, first[1].matches_found) == ("review", "2 matches found", 2)
+    assert (first[2].status, first[2].message) == ("error", "No property_address available")
+    changed = policies.withColumn("methods", F.array(F.lit("parcel_id"), F.lit("address"))).withColumn("absent_message", F.lit("Nothing"))
+    second = {r.case_id: r for r in look_up(cases, parcels, ids, changed).collect()}
+    assert second[1].url.endswith("pin=A9&jur=000&taxyr=2024") and second[2].message == "Nothing"
