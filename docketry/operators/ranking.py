@@ -36,3 +36,16 @@ def keep_first(df: DataFrame, group: list[str], order: list[Column], count: int
     """The first rows of each group. Spark limits every map task to ``count`` rows per group before the shuffle."""
     ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return ranked.where(F.col("__rank") <= count).drop("__rank")
+
+
+def numbered_rows(df: DataFrame, order: list[Column], folder: str) -> DataFrame:
+    """``df`` with its row number from 0 (``row``) in the order of all rows. Rows are dealt by ranges, sorted in their task and
+    written to ``folder``; only the sizes of the parts are gathered."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed.write.parquet(folder)
+    part = F.shiftright("__at", 33)  # what monotonically_increasing_id() puts above the place in a part
+    written = df.sparkSession.read.schema(placed.schema).parquet(folder).withColumn("__part", part)
+    sizes = written.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))  # one row a part
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__offset"))
+    return written.join(F.broadcast(offsets), "__part").withColumn("row", F.col("__at") + F.col("__offset")).drop("__part", "__at", "__offset")

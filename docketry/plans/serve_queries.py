@@ -13,7 +13,10 @@ from docketry.plans.case_queries import _COPIES, _copies
 from docketry.plans.registry import query
 from docketry.plans.state_queries import CLASSIFY
 from docketry.plans.value_queries import KIND_SQL, TIER_SQL, _urgency_sql
+from docketry.session import shared_folder
 from docketry.sources.sample_views import AS_OF
+from docketry.sources.tables import conformed, read_table, write_table
+from docketry.sources.versions import TableStore
 
 # --- sources ---------------------------------------------------------------------------------------------------------
 
@@ -23,6 +26,21 @@ def scan_cases(t):
     return t.cases
 
 
+@query("typed_scan", """SELECT c.case_id, case_number, file_date, is_finalized, closed_sold_at, coalesce(e.n,0) AS n_events, coalesce(d.n,0) AS n_documents FROM docket_cases c
+    LEFT JOIN (SELECT case_id, count(event_date) AS n FROM case_events GROUP BY case_id) e ON e.case_id=c.case_id LEFT JOIN (SELECT case_id, count(*) AS n FROM docket_documents GROUP BY case_id) d ON d.case_id=c.case_id
+    WHERE county_code='910'""", days="file_date", moments="closed_sold_at")
+def typed_scan(t):
+    """Tables written in their layout and read back by their fixed schemas, one county's folder only."""
+    folder = shared_folder(t.spark, "tables")
+    for name, df in {"cases": t.docket_cases, "case_events": t.case_events, "docket_documents": t.docket_documents}.items():
+        write_table(conformed(df, name), folder, name)
+    cases, events, documents = (read_table(t.spark, folder, n) for n in ("cases", "case_events", "docket_documents"))
+    wake = cases.where(F.col("county_code") == "910").select("case_id", "case_number", "file_date", "is_finalized", "closed_sold_at")
+    own = events.groupBy("case_id").agg(F.count("event_date").alias("n_events"))
+    texts = documents.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_documents"))
+    return wake.join(own, "case_id", "left").join(texts, "case_id", "left").fillna(0, ["n_events", "n_documents"])
+
+
 # --- counts ----------------------------------------------------------------------------------------------------------
 
 
@@ -196,6 +214,18 @@ def case_page(t):
     return page.select("case_id", "case_number", "current_bid_amount", "total", "total_pages")
 
 
+@query("case_page_seek", """SELECT case_id, case_number, current_bid_amount FROM docket_cases ORDER BY current_bid_amount DESC NULLS FIRST, case_id LIMIT 50 OFFSET 2150""", money="current_bid_amount")
+def case_page_seek(t):
+    """The same page found by the row that ends the page before it."""
+    ends = S.page_ends(t.docket_cases, shared_folder(t.spark, "pages"), "current_bid_amount", True, 50)
+    return S.open_page(t.docket_cases, ends, 44, "current_bid_amount", True, 50).select("case_id", "case_number", "current_bid_amount")
+
+
+@query("page_ends", """WITH n AS (SELECT case_id, file_date AS value, row_number() OVER (ORDER BY file_date NULLS LAST, case_id) AS r FROM docket_cases) SELECT r//100 AS page, value, case_id FROM n WHERE r%100=0""", days="value")
+def page_ends(t):
+    return S.page_ends(t.docket_cases, shared_folder(t.spark, "pages"), "file_date", False, 100)
+
+
 @query("topk_queue", """SELECT * FROM (SELECT 'pending analysis' AS queue, case_id, cast(requested_on AS STRING) AS at FROM analyses WHERE status='pending' ORDER BY requested_on, case_id LIMIT 10)
     UNION ALL SELECT * FROM (SELECT 'no documents', case_id, cast(file_date AS STRING) FROM cases c WHERE NOT EXISTS (SELECT 1 FROM docket_documents d WHERE d.case_id=c.case_id) ORDER BY file_date DESC, case_id LIMIT 20)
     UNION ALL SELECT * FROM (SELECT 'upcoming', case_id, cast(file_date AS STRING) FROM docket_cases WHERE classification='upcoming' AND case_url IS NOT NULL ORDER BY file_date DESC, case_id LIMIT 25)""")
@@ -272,15 +302,40 @@ def case_nested(t):
     return _shown_nested(S.case_nested(t.parties, t.case_events, t.hearings))
 
 
-@query("case_detail", f"""WITH {_NESTED}, {_WIDE} SELECT c.case_id, c.case_number, c.current_bid_amount, EXISTS (SELECT 1 FROM watchlist w WHERE w.case_id=c.case_id AND w.user_id=1) AS is_watchlisted,
+_DETAIL = f"""WITH {_NESTED}, {_WIDE} SELECT c.case_id, c.case_number, c.current_bid_amount, EXISTS (SELECT 1 FROM watchlist w WHERE w.case_id=c.case_id AND w.user_id=1) AS is_watchlisted,
       CASE WHEN nullif(estimated_sale_price,0) IS NOT NULL AND nullif(our_max_bid,0) IS NOT NULL THEN estimated_sale_price-our_max_bid-coalesce(estimated_rehab_cost,0) END AS estimated_profit,
-      wake_re, chunk, parties, events, bidders, hearings FROM docket_cases c LEFT JOIN wide ON wide.case_id=c.case_id LEFT JOIN nested ON nested.case_id=c.case_id""", money="current_bid_amount estimated_profit")
+      wake_re, chunk, parties, events, bidders, hearings FROM docket_cases c LEFT JOIN wide ON wide.case_id=c.case_id LEFT JOIN nested ON nested.case_id=c.case_id"""
+
+
+@query("case_detail", _DETAIL, money="current_bid_amount estimated_profit")
 def case_detail(t):
     d = S.case_detail(t.docket_cases, t.parties, t.case_events, t.hearings, t.enrichments_long, t.watchlist, 1)
+    return _shown_detail(d)
+
+
+def _shown_detail(d):
     return _shown_nested(d).select("case_id", "case_number", "current_bid_amount", "is_watchlisted", "estimated_profit", "wake_re", "chunk",
                                    "parties", "events", "bidders", "hearings")
 
 
+def placed_tables(t, buckets: int):
+    """The tables of a case's page in a store, all by case in the same number of buckets."""
+    store = TableStore(t.spark, shared_folder(t.spark, "placed"))
+    tables = {"cases": t.docket_cases, "parties": t.parties, "events": t.case_events, "hearings": t.hearings, "enrichments": t.enrichments_long,
+              "watchlist": t.watchlist}
+    with store.begin() as tx:
+        for name, df in tables.items():
+            tx.write(name, df, buckets)
+        made = tx.commit()
+    return {name: store.read(name, made) for name in tables}
+
+
+@query("case_detail_placed", _DETAIL, money="current_bid_amount estimated_profit")
+def case_detail_placed(t):
+    """Case detail over tables that lie by case: only finished parts of the nested arrays move."""
+    return _shown_detail(S.case_detail(**placed_tables(t, 16), user_id=1, placed=16))
+
+
 @query("daily_review", """WITH n AS (SELECT case_id, case_number FROM docket_cases WHERE CAST(created_at AS DATE)=DATE '1998-06-15' AND reviewed_at IS NULL),
     e AS (SELECT case_id, concat('[', string_agg(concat('{', CASE WHEN event_date IS NULL THEN '' ELSE concat('"event_date":"',event_date,'"', CASE WHEN event_type IS NULL THEN '' ELSE ',' END) END,
       CASE WHEN event_type IS NULL THEN '' ELSE concat('"event_type":"',event_type,'"') END, '}'), ',' ORDER BY event_date DESC NULLS LAST, event_id), ']') AS events FROM case_events GROUP BY case_id)

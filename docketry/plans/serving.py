@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry import rules as R
@@ -13,7 +13,7 @@ from docketry.functions.money import est_profit, present
 from docketry.functions.predicates import case_kind
 from docketry.operators.documents import select_corpus
 from docketry.operators.parcels import wide_enrichments
-from docketry.operators.ranking import group_rank
+from docketry.operators.ranking import group_rank, numbered_rows
 
 MAX_PAGE = 100
 NEST_ROWS = 500
@@ -204,12 +204,53 @@ def case_page(cases: DataFrame, sort_by: str = "file_date", descending: bool = T
     """One page, with total and number of pages on each row. Unknown sort columns fall back to the file date."""
     size = min(size, MAX_PAGE)
     column = F.col(sort_by if sort_by in R.SORT_COLUMNS else "file_date")
-    order = column.desc_nulls_first() if descending else column.asc_nulls_last()
+    order = _page_order(column, descending)
     total = cases.agg(F.count(F.lit(1)))
     rows = cases.orderBy(order, "case_id").offset((page - 1) * size).limit(size)
     return rows.withColumn("total", total.scalar()).withColumn("total_pages", F.ceil(F.col("total") / size).cast("long"))
 
 
+def _beyond(column: Column, value, case_id, descending: bool) -> Column:
+    """Rows that come after (value, case_id) in the order of ``case_page``."""
+    later = F.col("case_id") > F.lit(case_id)
+    if value is None:
+        return column.isNotNull() | later if descending else column.isNull() & later
+    value = F.lit(value).cast("string") if isinstance(value, str) else F.lit(value)
+    further = column < value if descending else (column > value) | column.isNull()
+    return further | ((column == value) & later)
+
+
+def next_page(cases: DataFrame, sort_by: str = "file_date", descending: bool = True, after: tuple | None = None, size: int = 20) -> DataFrame:
+    """The page behind the row (value, case_id) ``after``, or the first one: each task keeps ``size`` rows, whatever the page,
+    and rows before the page are told by a condition the scan can use."""
+    size = min(size, MAX_PAGE)
+    name = sort_by if sort_by in R.SORT_COLUMNS else "file_date"
+    rows = cases if after is None else cases.where(_beyond(F.col(name), *after, descending))
+    return rows.orderBy(_page_order(F.col(name), descending), "case_id").limit(size)
+
+
+def page_ends(cases: DataFrame, folder: str, sort_by: str = "file_date", descending: bool = True, size: int = 20) -> DataFrame:
+    """(page, value, case_id): the last row of every page, from one pass that sorts by ranges; with ``next_page`` any page can
+    be opened at once. ``folder`` takes the sorted keys."""
+    name = sort_by if sort_by in R.SORT_COLUMNS else "file_date"
+    keys = cases.select(F.col(name).alias("value"), "case_id")
+    order = [_page_order(F.col("value"), descending), F.col("case_id")]
+    return numbered_rows(keys, order, folder).where((F.col("row") + 1) % min(size, MAX_PAGE) == 0).select(
+        ((F.col("row") + 1) / min(size, MAX_PAGE)).cast("bigint").alias("page"), "value", "case_id")
+
+
+def open_page(cases: DataFrame, ends: DataFrame, page: int, sort_by: str = "file_date", descending: bool = True, size: int = 20) -> DataFrame:
+    """Page ``page`` by the row before it; past the last page there are no rows."""
+    if page <= 1:
+        return next_page(cases, sort_by, descending, None, size)
+    before = ends.where(F.col("page") == page - 1).select("value", "case_id").first()
+    return cases.limit(0) if before is None else next_page(cases, sort_by, descending, tuple(before), size)
+
+
+def _page_order(column: Column, descending: bool) -> Column:
+    return column.desc_nulls_first() if descending else column.asc_nulls_last()
+
+
 def with_watch_flag(cases: DataFrame, watchlist: DataFrame, user_id: int) -> DataFrame:
     own = watchlist.where(F.col("user_id") == user_id).select("case_id", F.lit(True).alias("__w")).distinct()
     return cases.join(own, "case_id", "left").withColumn("is_watchlisted", F.coalesce("__w", F.lit(False))).drop("__w")
@@ -263,24 +304,31 @@ def _chunk(number: str, rows: int) -> Column:
     return F.floor((F.col(number) - 1) / rows).cast("int")
 
 
-def nested_events(events: DataFrame, rows: int = NEST_ROWS) -> DataFrame:
+def _numbered(rows: DataFrame, bucket: list[str], order: str, placed: bool) -> DataFrame:
+    """Row numbers inside each case. Where the table lies by case a case is in one task anyway, so a plain window does."""
+    if placed:
+        return rows.withColumn("__n", F.row_number().over(Window.partitionBy("case_id").orderBy(*bucket, order)))
+    return group_rank(rows, ["case_id"], bucket, [F.col(order)], "__n")
+
+
+def nested_events(events: DataFrame, rows: int = NEST_ROWS, placed: bool = False) -> DataFrame:
     """Events of a case as arrays, newest first, in chunks of ``rows`` by date and id: (case_id, chunk, ...)."""
     day = F.coalesce(F.unix_date("event_date"), F.lit(-10**8))
     item = F.struct((-day).alias("__o"), F.col("event_id"), F.col("event_date"), F.col("event_type"), F.col("event_description"))
     filed_by = F.col("filed_by") if "filed_by" in events.columns else F.lit(None).cast("string")
     bidder = F.struct((-day).alias("__o"), F.col("event_id"), F.col("event_date"), F.coalesce(filed_by, F.lit("Unknown")).alias("bidder"))
     is_bid = F.lower("event_type").contains("upset")
-    numbered = group_rank(events, ["case_id"], ["event_date"], [F.col("event_id")], "__n")
+    numbered = _numbered(events, ["event_date"], "event_id", placed)
     return numbered.groupBy("case_id", _chunk("__n", rows).alias("chunk")).agg(
         F.array_sort(F.collect_list(item)).alias("events"),
         F.array_sort(F.collect_list(F.when(is_bid, bidder))).alias("bidders"))
 
 
-def nested_parties(parties: DataFrame, rows: int = NEST_ROWS) -> DataFrame:
+def nested_parties(parties: DataFrame, rows: int = NEST_ROWS, placed: bool = False) -> DataFrame:
     """Party names by type as a map, in chunks of at most ``rows`` parties per case."""
     # Names with a common start are told apart by a hash, so a bucket stays a small part of a case.
     lead = parties.withColumn("__lead", F.pmod(F.xxhash64("party_name"), F.lit(1024)))
-    numbered = group_rank(lead, ["case_id"], ["party_type", "__lead"], [F.col("party_name")], "__n")
+    numbered = _numbered(lead, ["party_type", "__lead"], "party_name", placed)
     chunk = F.floor((F.col("__n") - 1) / rows).cast("int")
     per_type = numbered.groupBy("case_id", chunk.alias("chunk"), "party_type").agg(F.array_sort(F.collect_list("party_name")).alias("names"))
     return per_type.groupBy("case_id", "chunk").agg(
@@ -293,18 +341,28 @@ def nested_hearings(hearings: DataFrame, rows: int = NEST_ROWS) -> DataFrame:
     return hearings.groupBy("case_id", chunk.alias("chunk")).agg(F.array_sort(F.collect_list(item)).alias("hearings"))
 
 
-def case_nested(parties: DataFrame, events: DataFrame, hearings: DataFrame) -> DataFrame:
+def case_nested(parties: DataFrame, events: DataFrame, hearings: DataFrame, placed: int = 0) -> DataFrame:
     """(case_id, chunk) with parties, events, bidders and hearings; nearly every case has just chunk 0."""
     key = ["case_id", "chunk"]
-    return nested_parties(parties).join(nested_events(events), key, "full_outer").join(nested_hearings(hearings), key, "full_outer")
+    if placed:  # a full outer join would hide where its rows lie, and move each part on its own
+        parts = nested_parties(parties, placed=True).unionByName(nested_events(events, placed=True), allowMissingColumns=True).unionByName(
+            nested_hearings(hearings), allowMissingColumns=True)
+        return parts.repartition(placed, "case_id").groupBy(*key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts.columns if c not in key])
+    return nested_parties(parties).join(nested_events(events), key, "full_outer").join(
+        nested_hearings(hearings), key, "full_outer")
 
 
 def case_detail(cases: DataFrame, parties: DataFrame, events: DataFrame, hearings: DataFrame, enrichments: DataFrame,
-                watchlist: DataFrame, user_id: int) -> DataFrame:
-    """Everything about a case on one row (per chunk)."""
+                watchlist: DataFrame, user_id: int, placed: int = 0) -> DataFrame:
+    """Everything about a case on one row (per chunk).
+
+    ``placed`` is the number of buckets in which all tables lie by ``case_id`` (``sources.tables.write_placed``), 0 if they do
+    not. Then only the finished parts of the nested arrays move, once, if ``spark.sql.requireAllClusterKeysForCoPartition`` is
+    off (see ``session.RUNTIME_SETTINGS``).
+    """
     rows = with_watch_flag(cases, watchlist, user_id).join(wide_enrichments(enrichments), "case_id", "left")
     profit = est_profit(F.col("estimated_sale_price"), F.col("our_max_bid"), F.col("estimated_rehab_cost"))
-    return rows.withColumn("estimated_profit", profit).join(case_nested(parties, events, hearings), "case_id", "left")
+    return rows.withColumn("estimated_profit", profit).join(case_nested(parties, events, hearings, placed), "case_id", "left")
 
 
 def daily_review(cases: DataFrame, events: DataFrame, quarantined: DataFrame, day: date | str) -> DataFrame:

@@ -13,6 +13,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # tables that lie by case join on the case and further columns where they are
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

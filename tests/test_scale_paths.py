@@ -228,3 +228,28 @@ def test_a_policy_is_data(spark):
     changed = policies.withColumn("methods", F.array(F.lit("parcel_id"), F.lit("address"))).withColumn("absent_message", F.lit("Nothing"))
     second = {r.case_id: r for r in look_up(cases, parcels, ids, changed).collect()}
     assert second[1].url.endswith("pin=A9&jur=000&taxyr=2024") and second[2].message == "Nothing"
+
+
+def test_pages_by_seeking(spark, tmp_path):
+    """All pages together are the table, in order; a far page starts from its boundary and not from the rows before it."""
+    from docketry.plans.serving import next_page, open_page, page_ends
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, *range(12)])) for i in range(530)]
+    cases = spark.createDataFrame([(i, None if v is None else Decimal(v), str(i)) for i, v in rows], "case_id long, current_bid_amount decimal(12,2), case_number string").repartition(7)
+    for descending in (True, False):
+        order = sorted(rows, key=lambda r: ((r[1] is not None, -(r[1] or 0)) if descending else (r[1] is None, r[1] or 0), r[0]))
+        ends = page_ends(cases, str(tmp_path / f"ends-{descending}"), "current_bid_amount", descending, 20)
+        assert ends.count() == 530 // 20
+        assert [r.case_id for r in open_page(cases, ends, 25, "current_bid_amount", descending, 20).collect()] == [i for i, _ in order[480:500]]
+        assert open_page(cases, ends, 40, "current_bid_amount", descending, 20).count() == 0
+        met, after = [], None
+        while page := next_page(cases, "current_bid_amount", descending, after, 100).collect():
+            met += [r.case_id for r in page]
+            after = page[-1].current_bid_amount, page[-1].case_id
+        assert met == [i for i, _ in order]
+    path = str(tmp_path / "cases")
+    cases.where("current_bid_amount IS NOT NULL").write.parquet(path)
+    plan = next_page(spark.read.parquet(path), "current_bid_amount", False, (Decimal(11), 3), 20)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(" in plan or "GreaterThan(current_bid_amount" in plan  # the scan skips what lies before
+    assert "TakeOrderedAndProject" in plan

@@ -99,3 +99,20 @@ def test_cascades(spark):
     assert {r.document_id: r.event_id for r in less["docket_documents"].collect()} == {5: 11, 6: None, 7: None}
     assert {r.case_id: r.finalized_event_id for r in less["cases"].collect()} == {1: 11, 2: None, 3: None}
     assert {r.event_id for r in less["case_events"].collect()} == {11, 22, 31}
+
+
+def test_case_detail_moves_once_over_placed_tables(spark):
+    from docketry.plans import serving
+    from docketry.plans.serve_queries import placed_tables
+    from docketry.sources.sample_views import SampleTables
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        detail = serving.case_detail(**placed_tables(SampleTables(spark, "/root/testdata/sf0.001"), 8), user_id=1, placed=8)
+        detail.collect()
+        plan = detail._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning") + final.count("Exchange rangepartitioning") <= 1
