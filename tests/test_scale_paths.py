@@ -253,3 +253,47 @@ def test_pages_by_seeking(spark, tmp_path):
     plan = next_page(spark.read.parquet(path), "current_bid_amount", False, (Decimal(11), 3), 20)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(" in plan or "GreaterThan(current_bid_amount" in plan  # the scan skips what lies before
     assert "TakeOrderedAndProject" in plan
+
+
+def stream_batches(spark, seed, batches, cases):
+    rng, out, n = random.Random(seed), [], 0
+    for _ in range(batches):
+        rows = []
+        for _ in range(rng.randint(3, 9)):
+            n += 1
+            rows.append((n, rng.randrange(cases), n, date(2024, rng.randint(1, 6), rng.randint(1, 28)), rng.choice(["Report of Sale", "Upset Bid Filed", "Petition", "Order Confirming Sale"]), None))
+        out.append(spark.createDataFrame(rows, "event_id bigint, case_id bigint, event_index int, event_date date, event_type string, event_description string"))
+    return out
+
+
+def test_a_store_grows_without_a_rewrite(spark, tmp_path, monkeypatch):
+    """Two buckets first, then 256: old files stay as they are, small ones are merged by level, and the states are those of a
+    store that had 256 from the start."""
+    from docketry.streaming import intake
+
+    monkeypatch.setattr(intake, "RUNS", 2)
+    fields = "case_id bigint, case_number string, case_type string, classification string, sale_date date, current_bid_amount decimal(12,2), minimum_next_bid decimal(12,2), next_bid_deadline timestamp_ntz, closed_sold_at timestamp_ntz"
+    cases = spark.createDataFrame([(n, f"24SP{n:06d}-910", "Foreclosure", "upcoming", None, None, None, None, None) for n in range(12)], fields)
+    batches = stream_batches(spark, 5, 5, 12)
+    small = EventIntake(cases, str(tmp_path / "grown"), "2024-06-14 12:00:00", buckets=2)
+    for i in range(2):
+        small.take_batch(batches[i], i)
+    old = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "grown" / "states").rglob("*.parquet")}
+    grown = EventIntake(cases, str(tmp_path / "grown"), "2024-06-14 12:00:00", buckets=256)
+    for i in range(2, 5):
+        grown.take_batch(batches[i], i)
+    grown.take_batch(batches[4], 4)  # once more
+    assert {p: m for p, m in old.items() if (tmp_path / p).stat().st_mtime_ns != m} == {}
+    whole = EventIntake(cases, str(tmp_path / "whole"), "2024-06-14 12:00:00", buckets=256)
+    for i, batch in enumerate(batches):
+        whole.take_batch(batch, i)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(grown.states()) == rows(whole.states())
+    ids = lambda taken: sorted(r.event_id for r in taken.stored_events().collect())
+    assert ids(grown) == ids(whole)
+    assert grown._live_runs() == [(0, 4, 4), (2, 0, 3)]
+    # a bucket of today reads only what may hold its cases
+    one = grown.stored_events(buckets=[5])
+    assert {r.case_bucket for r in one.where("depth = 8").select("case_bucket").distinct().collect()} <= {5}
+    assert grown.compact(keep=2) >= 0 and rows(grown.states()) == rows(whole.states())
+    assert grown.compact() >= 1 and rows(grown.states()) == rows(whole.states())
