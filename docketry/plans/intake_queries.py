@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry import rules as R
 
+from docketry.operators import maintenance as M
 from docketry.plans.extract_queries import read_steps
 from docketry.plans.registry import SQL_CALENDAR, query
 from docketry.plans.state_queries import _APPLY, _CLASSIFY
@@ -70,6 +71,40 @@ def case_page_hearings(t):
         F.floor(F.col("page_id") / 1000).alias("case_id"), "hearing_date", "hearing_time", "hearing_type")
 
 
+_PAGES = "(SELECT case_id, (event_index-1)//500 AS chunk FROM case_events GROUP BY ALL)"
+
+
+@query("page_store", f"""SELECT 'first day' AS day, count(*) AS pages, count(*) AS pages_read, (SELECT count(*) FROM case_events WHERE event_date IS NOT NULL OR event_type IS NOT NULL) AS events FROM {_PAGES}
+    UNION ALL SELECT 'second day', count(*), count(*) FILTER (case_id%50=0), (SELECT count(*) FROM case_events WHERE event_date IS NOT NULL OR event_type IS NOT NULL) FROM {_PAGES}
+    UNION ALL SELECT 'again', count(*), 0, (SELECT count(*) FROM case_events WHERE event_date IS NOT NULL OR event_type IS NOT NULL) FROM {_PAGES}""")
+def page_store(t):
+    """Pages of two days through the store: the second day one case in fifty has another page, then nothing has."""
+    store = PG.MarkupStore(t.spark, shared_folder(t.spark, "markup"))
+    first = case_pages(t)
+    second = first.withColumn("html", F.when(F.floor(F.col("page_id") / 1000) % 50 == 0, F.concat("html", F.lit("<p>Seen</p>"))).otherwise(F.col("html")))
+    rows = []
+    for day, pages in (("first day", first), ("second day", second), ("again", second)):
+        m = store.of(pages)
+        rows.append((day, m.count(), store.read, PG.ingest_case_pages(m)["events"].count()))
+    return t.spark.createDataFrame(rows, "day string, pages bigint, pages_read bigint, events bigint")
+
+
+@query("reconcile_pages", """SELECT county_code, max(n) + CASE WHEN county_code='310' THEN 1 ELSE 0 END AS stated, max(n) AS ingested, county_code<>'310' AS is_complete FROM (SELECT county_code, count(*) AS n FROM docket_cases GROUP BY county_code) g GROUP BY county_code""")
+def reconcile_pages(t):
+    """The count each county's result pages state in their pager against the rows taken from them; Durham states one more than there are."""
+    row = F.concat(F.lit('<tr><td><a class="caseLink" data-url="/Portal/Case/'), F.col("case_id").cast("string"), F.lit('" href="#"> '), F.col("case_number"), F.lit("</a></td><td>"),
+                   F.col("style"), F.lit("</td><td>Pending</td><td>"), F.col("county_name"), F.lit("</td></tr>"))
+    listed = t.docket_cases.select("county_code", "case_id", row.alias("row")).join(
+        t.docket_cases.groupBy("county_code").agg(F.count(F.lit(1)).alias("n")), "county_code")
+    pager = F.concat(F.lit('<span class="k-pager-info">1 - 10 of '), (F.col("n") + F.when(F.col("county_code") == "310", 1).otherwise(0)).cast("string"), F.lit(" items</span>"))
+    pages = listed.groupBy("county_code", "n", F.floor(F.col("case_id") / CHUNK).alias("page")).agg(F.array_join(F.collect_list("row"), "").alias("r")).select(
+        (F.col("county_code").cast("bigint") * 1_000_000_000 + F.col("page")).alias("page_id"),
+        F.concat(F.lit("<table><tr><th>Case Number</th><th>Style</th></tr>"), "r", F.lit("</table>"), pager).alias("html"))
+    m = PG.MarkupStore(t.spark, shared_folder(t.spark, "markup")).of(pages)
+    county = F.floor(F.col("page_id") / 1_000_000_000).cast("string").alias("county_code")
+    return M.reconcile(PG.stated_counts(m).withColumn("county_code", county), PG.ingest_search_pages(m).withColumn("county_code", county), "county_code")
+
+
 @query("search_pages", """SELECT case_number, 'https://portal-nc.tylertech.cloud/Portal/Case/'||case_id AS case_url, style, 'Pending' AS status, county_name AS location FROM docket_cases""")
 def search_pages(t):
     row = F.concat(F.lit('<tr><td><a class="caseLink" data-url="/Portal/Case/'), F.col("case_id").cast("string"), F.lit('" href="#"> '), F.col("case_number"), F.lit("</a></td><td>"),

@@ -6,11 +6,12 @@ is a party, which line is the event type, where a description ends) is decided b
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry import rules as R
@@ -24,6 +25,7 @@ _SILENT = {"script", "style", "template"}
 _DATE_LINE = r"^\d{2}/\d{2}/\d{4}$"
 _META_WORDS = ["Index", "Created", "Filed By", "Against", "A document is available", "Click here", "Receipt #"]
 _STOP_WORDS = ["Index", "Created", "Filed By", "Against"]
+_FALLBACK = "text of the page"
 _SKIP_WORDS = ["A document is available", "Click here", "document"]
 
 LINK = "struct<text:string,href:string,data_url:string,css:string>"
@@ -146,9 +148,53 @@ def read_markup(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def markup(pages: DataFrame) -> DataFrame:
+    """What pages (page_id, html) say; rows that come with their markup already (``MarkupStore.of``) are taken as they are."""
+    if {"text", "pager", "rows", "blocks"} <= set(pages.columns):
+        return pages.select("page_id", "text", "pager", "rows", "blocks")
     return pages.select("page_id", "html").mapInPandas(read_markup, MARKUP)
 
 
+class MarkupStore:
+    """Markup of pages by the hash of their contents, in a folder all executors see: a page is read once, however often it
+    comes and whatever its id, and an unchanged page of a later day is not read again.
+
+    New markup is written beside the old and appears by one rename, so a run that dies adds nothing and a repeated one reads
+    only what is missing. ``read`` counts the pages the last call had to read.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.read = spark, root.rstrip("/"), 0
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._files.mkdirs(self._path(f"{self.root}/parts"))
+
+    def _known(self) -> DataFrame:
+        parts = [s.getPath().getName() for s in self._files.listStatus(self._path(f"{self.root}/parts"))]
+        schema = MARKUP.replace("page_id bigint", "digest string")
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/parts/{p}" for p in sorted(parts)])
+
+    def of(self, pages: DataFrame) -> DataFrame:
+        """(page_id, text, pager, rows, blocks) of the pages, those not known yet read first. A NULL page is an empty one."""
+        html = F.coalesce("html", F.lit(""))
+        keyed = pages.select("page_id", F.sha2(html.cast("binary"), 256).alias("digest"), html.alias("html"))
+        new = keyed.join(self._known().select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("html").alias("html"))
+        name = uuid.uuid4().hex
+        read = new.withColumnRenamed("digest", "page_id").mapInPandas(read_markup, MARKUP.replace("page_id bigint", "page_id string"))
+        read.withColumnRenamed("page_id", "digest").write.parquet(f"{self.root}/drafts/{name}")
+        self.read = self.spark.read.parquet(f"{self.root}/drafts/{name}").count()
+        if self.read:
+            self._files.rename(self._path(f"{self.root}/drafts/{name}"), self._path(f"{self.root}/parts/{name}"))
+        # two runs at a time may both have read a page
+        known = self._known().dropDuplicates(["digest"]) if self._many() else self._known()
+        return keyed.select("page_id", "digest").join(known, "digest").drop("digest")
+
+    def _many(self) -> bool:
+        known = self._known().select("digest")
+        return not known.groupBy("digest").count().where("count > 1").isEmpty()
+
+
 # --- search results --------------------------------------------------------------------------------------------------
 
 
@@ -231,7 +277,13 @@ def _description(rest: Column) -> Column:
 
 
 def _events(m: DataFrame) -> DataFrame:
-    e = m.select("page_id", F.posexplode(F.filter("blocks", lambda b: F.contains(b["repeat"], F.lit("event")))).alias("event_no", "b")).select(
+    """Event blocks of a page; a page without any gives an undated event for each indicator phrase of its text."""
+    own = F.filter("blocks", lambda b: F.contains(b["repeat"], F.lit("event")))
+    none = F.lit(None).cast("string")
+    found_in_text = F.transform(fallback_phrases(F.col("text")), lambda p: F.struct(
+        F.lit(_FALLBACK).alias("repeat"), p.alias("text"), none.alias("label"), none.alias("link_text"), none.alias("near_link"),
+        F.lit(False).alias("has_document")))
+    e = m.select("page_id", F.posexplode(F.when(F.size(own) > 0, own).otherwise(found_in_text)).alias("event_no", "b")).select(
         "page_id", "event_no", "b.*")
     e = e.withColumn("lines", _lines(F.col("text")))
     labelled = F.when(~_has(F.col("label"), [":", "Filed", "Against", "Created", "Index"]), F.nullif(F.col("label"), F.lit("")))
@@ -249,24 +301,18 @@ def _events(m: DataFrame) -> DataFrame:
         & (F.length(x) > 5) & (F.length(x) < 200) & ~F.startswith(x, F.lit("Index")) & ~F.startswith(x, F.lit("Created")))), F.lit(0))
     ).otherwise(F.col("link_text"))
     hearing = r"(\d{2}/\d{2}/\d{4})\s+(\d{1,2}:\d{2})"
+    phrase = F.col("repeat") == _FALLBACK
+    told = lambda value, name, instead=None: F.when(phrase, instead).otherwise(value).alias(name)
     found = e.select(
-        "page_id", "event_no", F.try_to_date(group_of(text, r"(\d{2}/\d{2}/\d{4})"), "MM/dd/yyyy").alias("event_date"), "event_type",
-        group_of(text, r"Index\s*#\s*(\d+)", flags="").cast("int").alias("event_index"),
-        F.when(F.col("event_type").isNotNull(), _description(rest)).alias("event_description"), shown.alias("document_title"),
-        F.trim(group_of(text, r"Filed By:\s*([^§\n]+)", flags="")).alias("filed_by"),
-        F.trim(group_of(text, r"Against:\s*([^§\n]+)", flags="")).alias("filed_against"),
-        F.concat(group_of(text, hearing), F.lit(" "), group_of(text, hearing, 2)).alias("hearing_date"), "has_document")
+        "page_id", "event_no", told(F.try_to_date(group_of(text, r"(\d{2}/\d{2}/\d{4})"), "MM/dd/yyyy"), "event_date"),
+        told(F.col("event_type"), "event_type", text), told(group_of(text, r"Index\s*#\s*(\d+)", flags="").cast("int"), "event_index"),
+        told(F.when(F.col("event_type").isNotNull(), _description(rest)), "event_description", F.concat(F.lit("Found in page text: "), text)),
+        told(shown, "document_title"), told(F.trim(group_of(text, r"Filed By:\s*([^§\n]+)", flags="")), "filed_by"),
+        told(F.trim(group_of(text, r"Against:\s*([^§\n]+)", flags="")), "filed_against"),
+        told(F.concat(group_of(text, hearing), F.lit(" "), group_of(text, hearing, 2)), "hearing_date"), "has_document")
     return found.where(F.col("event_date").isNotNull() | F.col("event_type").isNotNull())
 
 
-def _fallback_events(m: DataFrame) -> DataFrame:
-    """Pages without any event block: each indicator phrase of the page text becomes an undated event."""
-    phrases = fallback_phrases(F.col("text"))
-    bare = m.where(~F.exists("blocks", lambda b: F.contains(b["repeat"], F.lit("event"))))
-    return bare.select("page_id", F.posexplode(phrases).alias("event_no", "event_type")).withColumn(
-        "event_description", F.concat(F.lit("Found in page text: "), "event_type")).withColumn("has_document", F.lit(False))
-
-
 def fallback_phrases(text: Column) -> Column:
     """Indicator phrases found in a text, in list order."""
     low = F.lower(text)
@@ -279,7 +325,10 @@ def is_party_type(text: Column) -> Column:
 
 
 def ingest_case_pages(pages: DataFrame) -> dict[str, DataFrame]:
-    """Case pages to four tables: cases, parties, events, hearings, all keyed by page_id."""
+    """Case pages to four tables: cases, parties, events, hearings, all keyed by page_id.
+
+    Each table reads the pages when it is asked for; give the result of ``MarkupStore.of`` to have them read once.
+    """
     m = markup(pages)
 
     def rows_of(*classes: str) -> Column:
@@ -300,7 +349,6 @@ def ingest_case_pages(pages: DataFrame) -> dict[str, DataFrame]:
         "page_id", F.col("r.cells")[0].alias("party_type"), F.col("r.cells")[1].alias("party_name")).where(
         is_party_type(F.col("party_type")) & (F.length("party_name") > 0))
     events = _events(m)
-    events = events.unionByName(_fallback_events(m), allowMissingColumns=True)
     h = m.select("page_id", F.posexplode(F.filter("blocks", lambda b: F.contains(b["repeat"], F.lit("hearing")))).alias("hearing_no", "b"))
     kind = F.transform(F.filter(_lines(F.col("b.text")), lambda x: ~x.rlike(r"^\d") & ~F.contains(x, F.lit("Created")) & (F.length(x) < 50)),
                        lambda x: F.trim(F.regexp_replace(x, r"\([^)]+\)", "")))

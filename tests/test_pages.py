@@ -79,3 +79,24 @@ def test_parcel_page(spark):
     a, s = t["accounts"].first(), t["streets"].first()
     assert (a["account_id"], a["stnum"], a["prefix"], a["street_name"], a["etj"], a["owner"]) == ("0379481", "414", "S", "SALEM", "AP", "Owner")
     assert (s["locid"], s["prefix"], s["low_num"], s["high_num"]) == ("77", "SE", 100, 900)
+
+
+def test_pages_are_read_once(spark, tmp_path):
+    """One reader in the plan of the events; through the store the second day reads only what has changed."""
+    from docketry.sources.pages import MarkupStore, ingest_case_pages, stated_counts
+
+    html = lambda n: f'<span class="k-pager-info">1 - 1 of {n} items</span><div ng-repeat="event in events">\n01/0{n}/2024\nReport of Sale\nIndex # {n}</div>'
+    rows = [(1, html(1)), (2, html(2)), (3, html(2)), (4, None), (5, "plain text: notice of sale")]
+    pages = spark.createDataFrame(rows, "page_id bigint, html string")
+    plan = ingest_case_pages(pages)["events"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+    store = MarkupStore(spark, str(tmp_path / "markup"))
+    stored = ingest_case_pages(store.of(pages))
+    assert store.read == 4  # equal pages count once
+    for name, table in ingest_case_pages(pages).items():
+        assert sorted(map(str, stored[name].collect())) == sorted(map(str, table.collect())), name
+    again = store.of(pages.where("page_id < 4").unionByName(spark.createDataFrame([(9, html(7))], "page_id bigint, html string")))
+    assert store.read == 1 and again.count() == 4
+    store.of(pages)
+    assert store.read == 0
+    assert sorted((r.page_id, r.pager_text) for r in stated_counts(again).collect()) == [(n, f"1 - 1 of {k} items") for n, k in ((1, 1), (2, 2), (3, 2), (9, 7))]
