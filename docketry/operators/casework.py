@@ -145,6 +145,40 @@ def heal_report(cases: DataFrame, events: DataFrame, documents: DataFrame) -> Da
     return before.join(after, "case_id").withColumn("is_healed", F.size("missing_after") == 0)
 
 
+#: The steps of the healing ladder, in order.
+HEAL_STEPS = ("extract", "second_text", "re_read")
+HEAL_LEDGER = "case_id bigint, step string, attempted_at timestamp_ntz"
+
+
+def heal_due(cases: DataFrame, documents: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Incomplete upset_bid cases with the step that is next: the first the ledger (case_id, step) does not have yet.
+
+    A case without documents has no text to read a second time and goes on to ``re_read``; one that went through all steps is
+    ``exhausted``. ``attempts`` counts the steps taken. Steps the ladder does not know are left out of account.
+    """
+    upset = cases.where(F.col("classification") == R.UPSET_BID)
+    ailing = upset.select("case_id", "case_number", missing_fields(upset).alias("missing")).where(F.size("missing") > 0)
+    taken = ledger.where(F.col("step").isin(*HEAL_STEPS)).groupBy("case_id").agg(F.collect_set("step").alias("__taken"))
+    texts = documents.where("case_id IS NOT NULL").groupBy("case_id").agg(F.lit(True).alias("__has"))
+    t = ailing.join(taken, "case_id", "left").join(texts, "case_id", "left")
+    done = F.coalesce("__taken", F.array().cast("array<string>"))
+    steps = F.array(F.lit(HEAL_STEPS[0]), F.when(F.col("__has"), F.lit(HEAL_STEPS[1])), F.lit(HEAL_STEPS[2]))
+    left = F.array_except(F.array_compact(steps), done)
+    return t.select("case_id", "case_number", "missing", F.coalesce(F.get(left, F.lit(0)), F.lit("exhausted")).alias("step"),
+                    F.size(done).alias("attempts"))
+
+
+def heal_recorded(ledger: DataFrame, due: DataFrame, moment: Column) -> DataFrame:
+    """The ledger with the steps now taken; a step a case has taken already is not entered again."""
+    new = due.where(F.col("step") != "exhausted").select("case_id", "step").distinct().join(ledger.select("case_id", "step"), ["case_id", "step"], "left_anti")
+    return ledger.select("case_id", "step", "attempted_at").unionByName(new.withColumn("attempted_at", moment))
+
+
+def heal_counters(due: DataFrame) -> DataFrame:
+    """Cases by the step that is next for them."""
+    return due.groupBy("step").agg(F.count(F.lit(1)).alias("cases"), F.sum("attempts").cast("bigint").alias("attempts"))
+
+
 def missing_bid_diagnosis(cases: DataFrame, events: DataFrame, documents: DataFrame) -> DataFrame:
     """Why an upset_bid case has no bid."""
     lacking = cases.where((F.col("classification") == R.UPSET_BID) & F.col("current_bid_amount").isNull())

@@ -238,6 +238,38 @@ def heal_report(t):
         "missing_before": F.array_join("missing_before", ","), "missing_after": F.array_join("missing_after", ",")})
 
 
+_LEDGER = """ledger AS (SELECT case_id, 'extract' AS step FROM cases WHERE case_id%5>=1 UNION ALL SELECT case_id, 'second_text' FROM cases WHERE case_id%5 IN (2,4)
+    UNION ALL SELECT case_id, 're_read' FROM cases WHERE case_id%5>=3 UNION ALL SELECT case_id, 'by hand' FROM cases WHERE case_id%5=0)"""
+_DUE = f"""{_LEDGER}, a AS (SELECT case_id, case_number, {_missing()} AS missing FROM docket_cases WHERE classification='upset_bid' AND {_missing()}<>''),
+    w AS (SELECT a.*, case_id IN (SELECT case_id FROM docket_documents WHERE case_id IS NOT NULL) AS has, coalesce((SELECT list(DISTINCT step) FROM ledger l WHERE l.case_id=a.case_id AND step<>'by hand'), []) AS done FROM a),
+    due AS (SELECT case_id, case_number, missing, CASE WHEN NOT list_contains(done,'extract') THEN 'extract' WHEN has AND NOT list_contains(done,'second_text') THEN 'second_text'
+      WHEN NOT list_contains(done,'re_read') THEN 're_read' ELSE 'exhausted' END AS step, len(done) AS attempts FROM w)"""
+
+
+def _ledger(t):
+    step = lambda name, rule: t.cases.where(rule).select("case_id", F.lit(name).alias("step"), F.lit(None).cast("timestamp_ntz").alias("attempted_at"))
+    return step("extract", "case_id % 5 >= 1").unionByName(step("second_text", "case_id % 5 IN (2, 4)")).unionByName(step("re_read", "case_id % 5 >= 3")).unionByName(
+        step("by hand", "case_id % 5 = 0"))
+
+
+@query("heal_ladder", f"WITH {_DUE} SELECT * FROM due")
+def heal_ladder(t):
+    """The step of the healing ladder that is next for each incomplete case."""
+    return K.heal_due(t.docket_cases, t.docket_documents, _ledger(t)).withColumn("missing", F.array_join("missing", ","))
+
+
+@query("heal_counters", f"WITH {_DUE} SELECT step, count(*) AS cases, CAST(sum(attempts) AS BIGINT) AS attempts FROM due GROUP BY step")
+def heal_counters(t):
+    return K.heal_counters(K.heal_due(t.docket_cases, t.docket_documents, _ledger(t)))
+
+
+@query("heal_attempts", f"WITH {_DUE} SELECT case_id, step, CASE WHEN n THEN TIMESTAMP '1998-06-15 12:00:00' END AS attempted_at FROM (SELECT case_id, step, false AS n FROM ledger UNION ALL SELECT case_id, step, true FROM due WHERE step<>'exhausted') x", moments="attempted_at")
+def heal_attempts(t):
+    """The attempt ledger after today's steps."""
+    ledger = _ledger(t)
+    return K.heal_recorded(ledger, K.heal_due(t.docket_cases, t.docket_documents, ledger), as_moment(AS_OF).cast("timestamp_ntz"))
+
+
 @query("missing_bid_diag", """WITH l AS (SELECT * FROM docket_cases WHERE classification='upset_bid' AND current_bid_amount IS NULL),
     e AS (SELECT case_id, count(*) FILTER (event_type ILIKE '%report%sale%') AS s, count(*) FILTER (event_type ILIKE '%upset%bid%') AS u FROM case_events GROUP BY case_id),
     d AS (SELECT case_id, count(*) AS n, count(DISTINCT document_name) AS names FROM docket_documents WHERE ocr_text IS NOT NULL GROUP BY case_id)

@@ -18,9 +18,13 @@ from pyspark.sql import functions as F
 from docketry import rules as R
 from docketry.functions.dates import as_moment, midnight
 from docketry.operators.casework import (
+    HEAL_LEDGER,
+    HEAL_STEPS,
     bid_update,
     extract_cases,
     extraction_todo,
+    heal_due,
+    heal_recorded,
     heal_report,
     mark_attempted,
     merge_second_source,
@@ -202,13 +206,17 @@ class DailyRun:
         return late.count()
 
     def heal(self, t: Transaction) -> int:
-        """Incomplete upset_bid cases read again: fields that were missing are written into the cases."""
+        """Incomplete upset_bid cases go up the healing ladder, a step a day and each step once: read again (what was missing
+        is written into the cases), then the list of texts to be read a second time, then that of pages to be fetched."""
         cases, events, documents = t.read("cases"), t.read("case_events"), t.read("docket_documents")
-        healed = t.write("healed", heal_report(cases, events, documents))
-        ailing = cases.join(healed.select("case_id"), "case_id", "left_semi")
+        ledger = t.read("heal_attempts") if t.has("heal_attempts") else self.spark.createDataFrame([], HEAL_LEDGER)
+        due = t.write("heal_due", heal_due(cases, documents, ledger))
+        ailing = cases.join(due.where(F.col("step") == HEAL_STEPS[0]).select("case_id"), "case_id", "left_semi")
+        healed = t.write("healed", heal_report(ailing, events, documents))
         read = sticky_apply(ailing, extract_cases(ailing, _own(events, ailing), _own(documents, ailing)))
-        whole = read.unionByName(cases.join(healed.select("case_id"), "case_id", "left_anti"), allowMissingColumns=True)
+        whole = read.unionByName(cases.join(ailing.select("case_id"), "case_id", "left_anti"), allowMissingColumns=True)
         t.write("cases", merged(whole, missing_bid_repair(ailing, documents), ["current_bid_amount", "minimum_next_bid"], missing_only=True))
+        t.write("heal_attempts", heal_recorded(ledger, due, as_moment(self.as_of).cast("timestamp_ntz")))
         return healed.count()
 
     def queue(self, t: Transaction) -> int:
@@ -272,6 +280,6 @@ TASKS = (
     Task("second_source", ("cases", "docket_documents", "second_source"), DailyRun.second_source),
     Task("validate", ("cases",), DailyRun.validate),
     Task("stale", ("cases", "case_events"), DailyRun.stale),
-    Task("heal", ("cases", "case_events", "docket_documents"), DailyRun.heal),
+    Task("heal", ("cases", "case_events", "docket_documents", "heal_attempts"), DailyRun.heal),
     Task("queue", ("cases", "analyses"), DailyRun.queue),
 )

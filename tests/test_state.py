@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from docketry.operators import timeline as TL
 from docketry.operators.calendar import with_deadline
@@ -89,3 +90,21 @@ def test_deadline_skips_christmas(spark):
     assert got[D(2024, 12, 14)] == D(2024, 12, 27)
     # New Year's Day kept on the 31st belongs to the next year's rules and is not seen.
     assert got[D(2021, 12, 22)] == D(2022, 1, 3)
+
+
+def test_the_healing_ladder_takes_each_step_once(spark):
+    from docketry.operators.casework import HEAL_LEDGER, heal_due, heal_recorded
+
+    cases = spark.createDataFrame([(1, "A", "upset_bid"), (2, "B", "upset_bid"), (3, "C", "upcoming")], "case_id bigint, case_number string, classification string").selectExpr(
+        "*", "CAST(NULL AS STRING) AS property_address", "CAST(NULL AS DECIMAL(12,2)) AS current_bid_amount", "CAST(NULL AS DECIMAL(12,2)) AS minimum_next_bid",
+        "CAST(NULL AS TIMESTAMP_NTZ) AS next_bid_deadline", "CAST(NULL AS DATE) AS sale_date")
+    documents = spark.createDataFrame([(7, 1)], "document_id bigint, case_id bigint")
+    ledger, seen = spark.createDataFrame([], HEAL_LEDGER), []
+    for day in range(5):
+        due = heal_due(cases, documents, ledger)
+        seen.append({r.case_id: (r.step, r.attempts) for r in due.collect()})
+        ledger = spark.createDataFrame(heal_recorded(ledger, due, F.lit(f"2024-06-0{day + 1} 00:00:00").cast("timestamp_ntz")).collect(), HEAL_LEDGER)
+    assert [s[1] for s in seen] == [("extract", 0), ("second_text", 1), ("re_read", 2), ("exhausted", 3), ("exhausted", 3)]
+    assert [s[2][0] for s in seen] == ["extract", "re_read", "exhausted", "exhausted", "exhausted"]  # no text to read again
+    steps = [(r.case_id, r.step) for r in ledger.collect()]
+    assert len(steps) == len(set(steps)) == 5 and 3 not in {c for c, _ in steps}
