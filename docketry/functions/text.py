@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
-from re import _constants as _sre
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,34 +61,54 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
 
 
+#: A pattern's parts: an escape, a class, the start of a group, a repeat, a sign of its own.
+_PARTS = re.compile(r"(?P<escape>\\.)|(?P<set>\[\^?\]?(?:\\.|[^\]\\])*\])|(?P<open>\((?:\?(?:<?[=!]|[a-zA-Z]*:|P?<\w+>))?)|(?P<repeat>[*+?]|\{\d*,?\d*\})|(?P<sign>.)", re.S)
+
+
 def needle(pattern: str) -> str | None:
     """Longest run of plain characters every match of a pattern must contain, in lower case; None if too short.
 
     Looking for it first spares most texts the pattern itself.
     """
-    runs = [""]
-
-    def visit(parts) -> None:
-        for op, arg in parts:
-            if op is _sre.LITERAL:
-                runs[-1] += chr(arg).lower()
-            elif op is _sre.IN and len({chr(v).lower() for o, v in arg if o is _sre.LITERAL}) == 1 and all(
-                    o is _sre.LITERAL for o, _ in arg):
-                runs[-1] += chr(arg[0][1]).lower()
-            elif op is _sre.SUBPATTERN:
-                visit(arg[3])
-            elif op in (_sre.MAX_REPEAT, _sre.MIN_REPEAT) and arg[0] >= 1:
-                runs.append("")
-                visit(arg[2])
-                runs.append("")
-            else:
-                runs.append("")
-
-    visit(re._parser.parse(pattern, re.IGNORECASE))
-    best = max(runs, key=len)
+    parts = [(m.lastgroup, m.group()) for m in _PARTS.finditer(pattern)]
+    best = max(_runs(parts, 0)[0], key=len)
     return best if len(best) >= 3 else None
 
 
+def _runs(parts: list[tuple[str, str]], at: int) -> tuple[list[str], int]:
+    """Runs of characters that one group (or the whole pattern) must have, and the place behind it. Neighbouring runs are
+    parted wherever anything else may stand between them."""
+    runs, choice = [""], False
+    while at < len(parts):
+        kind, text = parts[at]
+        at += 1
+        if (kind, text) == ("sign", ")"):
+            break
+        inner = [""]
+        if (kind, text) == ("sign", "|"):
+            choice = True
+        elif kind == "open":
+            inner, at = _runs(parts, at)
+            if "=" in text or "!" in text:  # looks around and takes nothing
+                inner = ["", ""]
+        elif kind == "set":
+            only = set(text[1:-1].lower())
+            inner = [only.pop()] if len(only) == 1 and text[1] != "^" else ["", ""]
+        elif kind == "escape":
+            inner = ["", ""] if text[1].isalnum() else [text[1].lower()]
+        else:
+            inner = ["", ""] if text in ".^$" else [text.lower()]
+        repeats = at < len(parts) and parts[at][0] == "repeat"
+        if repeats:
+            some = parts[at][1] == "+" or parts[at][1][:1] == "{" and not parts[at][1].startswith(("{0", "{,"))
+            inner = ["", *inner, ""] if some else ["", ""]
+            at += 1
+            if at < len(parts) and parts[at] in (("repeat", "?"), ("repeat", "+")):  # as few, or never given back
+                at += 1
+        runs = [*runs[:-1], runs[-1] + inner[0], *inner[1:]]
+    return (["", ""] if choice else runs), at
+
+
 def when_possible(low: Column, pattern: str, value: Column) -> Column:
     """``value`` for the texts that contain the pattern's needle; ``low`` is the text in lower case."""
     found = needle(pattern)
