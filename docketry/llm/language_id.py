@@ -1,10 +1,14 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-Every language has a model of order ``ORDER`` over letters and single spaces, learned from all training texts: tasks count
-their n-grams, Spark adds the counts up. A model is kept as sorted arrays of packed n-grams with their log probability and
-of contexts with their back-off weight, at most ``MOST_GRAMS`` n-grams over all languages (the rarest counts are left out
-when there are more), so what is sent to the tasks is bounded. A text goes to the language of lowest cross-entropy per
-character. It is rejected when that exceeds what training texts of this language have, by a calibrated margin.
+Every language has a model of order ``ORDER`` over letters and single spaces, learned from all its training texts: tasks
+count their n-grams; counts, continuation counts, discounts and probabilities are made in Spark over all of them. Only then is
+a model cut to size, each language for itself: the n-grams that change its probabilities least go, the back-off weights are
+taken anew, and single signs always stay. What is sent to the tasks are sorted arrays of packed n-grams, at most ``MOST_GRAMS``
+over all languages (``LEAST_GRAMS`` a language at least).
+
+A text goes to the language of lowest cross-entropy per sign. It is rejected when that exceeds what texts of the language and
+of its length have: models that were not shown a tenth of the training texts score the pieces of that tenth, and the limit of
+a language and length is ``MARGIN`` times the ``QUANTILE`` of its pieces.
 """
 
 from __future__ import annotations
@@ -13,17 +17,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import cut, sample_by_hash, worker_cache
+from docketry.llm.common import cut, worker_cache
+from docketry.llm.ranks import ranked
 
 ORDER = 4
 MOST_GRAMS = 2_000_000
-CALIBRATION = 4_000  # training documents that set the rejection limits, first by hash of their id
-MARGIN = 10.0  # standard deviations above the mean of training texts
+LEAST_GRAMS = 5_000
+HELD = 10  # one training text in so many, by hash of its id, sets the rejection limits
+BANDS = tuple(2**k for k in range(2, 13))  # signs of the pieces that stand for texts of that length and more
+QUANTILE = 0.9995
+MARGIN = 1.15
+PIECES = 200  # a band with fewer takes the limit of the next shorter one
+BIN = 0.01  # nats
 SHARPNESS = 40.0  # characters that a text counts for in the score at most
 CHARS = 250_000  # read at once: their n-grams take some 150 bytes a character for a moment
 SPACE = 32
@@ -43,9 +52,9 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def letters(texts: list[str | None], within_word: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts as folded letters with one space before each text's first letter and for each stretch of other signs;
-    the text each belongs to; the letters of each text."""
+    the text each belongs to; the letters of each text. ``within_word``: the first text goes on with a word."""
     codes = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(t or "") for t in texts], np.int64)
     owner = np.repeat(np.arange(len(texts)), sizes)
@@ -56,6 +65,8 @@ def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     starts = (np.cumsum(sizes) - sizes)[sizes > 0]
     first[starts] = True
     before = np.concatenate(([False], is_letter[:-1])) & ~first
+    if within_word and len(before):
+        before[0] = True
     begins = is_letter & ~before  # a space goes in front of each word
     out = np.zeros(int(is_letter.sum() + begins.sum()), np.uint64)
     at = np.cumsum(is_letter.astype(np.int64) + begins) - 1
@@ -99,20 +110,40 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
         yield first, group
 
 
+def stretches(texts: list[str | None], order: int = ORDER) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, number of texts, the n-gram that ends at each sign, the text each belongs to, letters of each text), in
+    slices. A slice that goes on with a long text knows the signs before it, so the cuts do not show."""
+    last, tail, in_word = -1, np.zeros(0, np.uint64), False
+    for first, some in _slices(texts):
+        goes_on = first == last and len(some) == 1
+        signs, owners, count = letters(some, goes_on and in_word)
+        if not goes_on:
+            tail = np.zeros(0, np.uint64)
+        whole = np.concatenate((tail, signs))
+        found = grams(whole, np.concatenate((np.zeros(len(tail), np.int64), owners)), order)[len(tail) :]
+        yield first, len(some), found, owners, count
+        last, tail = first, whole[-(order - 1) :] if len(some) == 1 else np.zeros(0, np.uint64)
+        in_word = len(some) == 1 and bool(some[0]) and bool(_letters()[ord(some[0][-1])])
+
+
 def gram_counts(training: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, n) over all texts of ``training`` (text, lang), rows with a NULL language left out."""
+    """(lang, gram, n, n_shown) over all texts of ``training`` (text, lang, held), rows with a NULL language left out;
+    ``n_shown`` does without the texts that are held back."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("language")
         for batch in batches:
-            langs, texts = np.array(batch.column(1).to_pylist(), object), batch.column(0).to_pylist()
-            for lang in sorted(set(langs.tolist())):
-                for _, some in _slices([t for t, of in zip(texts, langs, strict=True) if of == lang]):
-                    signs, owners, _ = letters(some)
-                    found, n = np.unique(grams(signs, owners, order).view(np.int64), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n)], ["lang", "gram", "n"])
+            texts, langs, held = (np.array(batch.column(i).to_pylist(), object) for i in range(3))
+            for lang, back in sorted(set(zip(langs.tolist(), held.tolist(), strict=True))):
+                own = texts[(langs == lang) & (held == back)].tolist()
+                for _, _, wanted, _, _ in stretches(own, order):
+                    found, n = np.unique(wanted.view(np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n),
+                                                      pa.array(n * (not back))], ["lang", "gram", "n", "n_shown"])
 
-    rows = training.where(F.col("lang").isNotNull()).select("text", "lang").mapInArrow(read, "lang string, gram long, n long")
-    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = training.where(F.col("lang").isNotNull()).select("text", "lang", "held")
+    counted = rows.mapInArrow(read, "lang string, gram long, n long, n_shown long")
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_shown").alias("n_shown"))
 
 
 @dataclass
@@ -177,83 +208,182 @@ def kneser_ney(found: np.ndarray, n: np.ndarray, order: int = ORDER) -> Model:
     return Model(levels, float(np.log(1 / signs)))
 
 
+def _suffix(gram: Column, order: int) -> Column:
+    return gram.bitwiseAND(F.lit((1 << (_BITS * order)) - 1).cast("bigint"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """Sent to all tasks if it has a row a language and languages are few, as they are."""
+    return F.broadcast(df) if df.limit(10_001).count() <= 10_000 else df
+
+
+def probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, size, gram, p, gain) of the n-grams of all orders, interpolated Kneser-Ney over (lang, gram, n) of the highest.
+
+    ``gain``: by how much the n-gram raises the log probability of what it was counted in, over backing off.
+    """
+    levels = {order: cut(counts)}
+    for k in range(order - 1, 0, -1):  # lower orders count the different signs before an n-gram
+        levels[k] = cut(levels[k + 1].groupBy("lang", _suffix(F.col("gram"), k).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    signs = _few(levels[1].groupBy("lang").agg((1 / (F.count(F.lit(1)) + 1)).alias("lower")))
+    out, below = None, None
+    for k in range(1, order + 1):
+        context = F.shiftrightunsigned("gram", _BITS).alias("context")
+        once, twice = F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))
+        share = F.when(once > 0, F.least(F.lit(0.95), F.greatest(F.lit(0.1), once / (once + 2 * twice)))).otherwise(0.5)
+        discounts = _few(levels[k].groupBy("lang").agg(share.alias("d")))
+        contexts = levels[k].groupBy("lang", context).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        t = levels[k].select("lang", "gram", "n", context).join(contexts, ["lang", "context"]).join(discounts, "lang")
+        t = t.join(signs, "lang") if k == 1 else t.withColumn("shorter", _suffix(F.col("gram"), k - 1)).join(
+            below.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("lower")), ["lang", "shorter"])
+        back = F.col("d") * F.col("kinds") / F.col("total") * F.col("lower")
+        p = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + back
+        below = cut(t.select("lang", F.lit(k).alias("size"), "gram", p.alias("p"), (F.col("n") * (F.log(p) - F.log(back))).alias("gain")))
+        out = below if out is None else out.unionByName(below)
+    return out
+
+
+def cut_to_size(grams_: DataFrame, most: int, least: int) -> DataFrame:
+    """The single signs of every language and its most telling longer n-grams: ``most`` split evenly, ``least`` at the least."""
+    sizes = grams_.where("size > 1").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs, largest = grams_.select("lang").distinct().count(), sizes.agg(F.max("n")).first()[0] or 0
+    each = max(least, most // max(1, langs))
+    if largest <= each:
+        return grams_
+    longer = cut(grams_.where("size > 1").withColumn("loss", -F.col("gain")))
+    kept = ranked(longer, ["lang"], ["loss", "size", "gram"], size="among").where(F.col("rank") < each)
+    return grams_.where("size = 1").unionByName(kept.select(*grams_.columns))
+
+
+def assembled(sizes: dict[int, tuple[np.ndarray, np.ndarray]]) -> Model:
+    """A model from the n-grams that are left and their probabilities, by order. A context's back-off weight spreads what its
+    n-grams leave over the signs they do not name."""
+    signs = len(sizes[1][0]) + 1
+    levels: list[Level] = []
+    for k in sorted(sizes):
+        keys, p = sizes[k]
+        shorter = keys & ((np.uint64(1) << np.uint64(_BITS * (k - 1))) - np.uint64(1))
+        lower = np.full(len(keys), 1 / signs) if k == 1 else np.exp(Model(levels, -np.log(signs)).log_p(shorter))
+        contexts, where = np.unique(keys >> np.uint64(_BITS), return_inverse=True)
+        rest = np.maximum(1 - np.bincount(where, p, len(contexts)), 1e-9) / np.maximum(1 - np.bincount(where, lower, len(contexts)), 1e-9)
+        levels.append(Level(keys, np.log(p), contexts, np.log(rest)))
+    return Model(levels, float(-np.log(signs)))
+
+
+def models_of(counts: DataFrame) -> tuple[list[str], list[Model]]:
+    """Languages by name and their models."""
+    kept = cut_to_size(probabilities(counts), MOST_GRAMS, LEAST_GRAMS).select("lang", "size", "gram", "p").toPandas()
+    names, models = sorted(set(kept["lang"])), []
+    for name in names:
+        own, sizes = kept[kept["lang"] == name], {}
+        for k in range(1, ORDER + 1):
+            part = own[own["size"] == k]
+            keys = part["gram"].to_numpy(np.int64).view(np.uint64)
+            by = np.argsort(keys)
+            sizes[k] = keys[by], part["p"].to_numpy(np.float64)[by]
+        models.append(assembled(sizes))
+    return names, models
+
+
 @dataclass
 class Identifier:
     names: list[str]
     models: list[Model]
-    mean: np.ndarray  # nats a character of training texts, by language
-    spread: np.ndarray  # variance is spread[0] + spread[1] / characters, by language
-
-    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Nats a character by text and language; letters by text."""
-        nats, signs, count = np.zeros((len(texts), len(self.names))), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for first, some in _slices(texts):
-            chars, owners, n = letters(some)
-            count[first : first + len(some)] += n
-            signs[first : first + len(some)] += np.bincount(owners, minlength=len(some))
-            wanted, where = np.unique(grams(chars, owners), return_inverse=True)
+    limits: np.ndarray  # nats a sign by language and band
+
+    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nats a sign by text and language; letters and signs by text."""
+        nats, signs, count = np.zeros((len(texts), len(self.names))), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for first, number, found, owners, n in stretches(texts):
+            rows = slice(first, first + number)
+            count[rows] += n
+            signs[rows] += np.bincount(owners, minlength=number)
+            wanted, where = np.unique(found, return_inverse=True)
             for k, model in enumerate(self.models):
-                nats[first : first + len(some), k] -= np.bincount(owners, model.log_p(wanted)[where], minlength=len(some))
-        return nats / np.maximum(signs, 1)[:, None], count
+                nats[rows, k] -= np.bincount(owners, model.log_p(wanted)[where], minlength=number)
+        return nats / np.maximum(signs, 1)[:, None], count, signs
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy, whether accepted."""
         if not self.names or not texts:
             none = np.zeros(len(texts))
             return ["und"] * len(texts), none, none, none.astype(bool)
-        entropy, count = self.entropies(texts)
+        entropy, count, signs = self.entropies(texts)
         best = entropy.argmin(axis=1)
         weight = np.minimum(count, SHARPNESS)[:, None]
         score = 1 / np.exp((entropy.min(axis=1, keepdims=True) - entropy) * weight).sum(axis=1)
         lowest = entropy[np.arange(len(texts)), best]
-        limit = self.mean[best] + MARGIN * np.sqrt(self.spread[best, 0] + self.spread[best, 1] / np.maximum(count, 1))
+        band = np.searchsorted(BANDS, signs, side="right") - 1  # below the shortest there is no limit
+        limit = np.where(band < 0, np.inf, self.limits[best, np.maximum(band, 0)])
         known = count > 0
         names = [self.names[b] if ok else "und" for b, ok in zip(best, known, strict=True)]
         return names, np.where(known, score, 0.0), np.where(known, lowest, 0.0), known & (lowest <= limit)
 
-    def own_entropies(self, texts: list[str | None], langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text in its own language: nats a character, and its letters (0 if the language was not learned)."""
-        entropy, count = self.entropies(texts)
-        at = np.array([self.names.index(x) if x in self.names else -1 for x in langs], np.int64)
-        return entropy[np.arange(len(texts)), at], np.where(at < 0, 0, count)
 
-    def calibrate(self, langs: np.ndarray, h: np.ndarray, chars: np.ndarray) -> None:
-        for k, name in enumerate(self.names):
-            own = (langs == name) & (chars > 0)
-            if own.any():
-                self.mean[k] = np.average(h[own], weights=chars[own])
-                off = (h[own] - self.mean[k]) ** 2
-                self.spread[k] = max(1e-4, np.average(off, weights=chars[own])), max(1.0, np.average(off * chars[own]))
+def piece_entropies(texts: list[str | None], model: Model) -> Iterator[tuple[int, np.ndarray]]:
+    """(band, nats a sign) of the consecutive pieces of each band's length."""
+    parts: dict[int, list[np.ndarray]] = {}
+    for first, number, found, owners, _ in stretches(texts):
+        wanted, where = np.unique(found, return_inverse=True)
+        nats = -model.log_p(wanted)[where]
+        for i in range(number):
+            parts.setdefault(first + i, []).append(nats[owners == i] if number > 1 else nats)
+    for some in parts.values():
+        sums = np.concatenate(([0.0], np.cumsum(np.concatenate(some))))
+        for band, size in enumerate(BANDS):
+            ends = sums[::size]
+            if len(ends) > 1:
+                yield band, np.diff(ends) / size
 
 
-def learn(training: DataFrame) -> Identifier:
-    """From ``training`` (doc_id, text, lang): models from all texts, limits from a bounded sample of them."""
-    counts = cut(gram_counts(training))
-    sizes = counts.groupBy("n").count().orderBy(F.col("n").desc()).limit(100_000).toPandas() if not counts.isEmpty() else pd.DataFrame({"n": [], "count": []})
-    fits = sizes["count"].cumsum() <= MOST_GRAMS
-    least = int(sizes["n"][fits].min()) if fits.any() else 1
-    kept = counts.where(F.col("n") >= least).toPandas()
-    names = sorted(set(kept["lang"]))
-    models = []
-    for name in names:
-        own = kept[kept["lang"] == name]
-        keys = own["gram"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        models.append(kneser_ney(keys[order], own["n"].to_numpy()[order]))
-    found = Identifier(names, models, np.zeros(len(names)), np.ones((len(names), 2)))
-    if not names:
-        return found
-    sent = training.sparkSession.sparkContext.broadcast(found)
+def rejection_limits(training: DataFrame, names: list[str], shown: tuple[list[str], list[Model]]) -> np.ndarray:
+    """Nats a sign by language and band, from the pieces of the texts that ``shown`` models were not shown. A band with few
+    pieces has the limit of the next shorter one, a language without pieces that of all together."""
+    sent = training.sparkSession.sparkContext.broadcast(dict(zip(*shown, strict=True)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("language")
         for batch in batches:
-            langs = batch.column(1)
-            h, chars = sent.value.own_entropies(batch.column(0).to_pylist(), langs.to_pylist()) if len(langs) else (np.zeros(0), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([langs, pa.array(h), pa.array(chars, pa.int64())], ["lang", "h", "chars"])
+            langs = np.array(batch.column(1).to_pylist(), object)
+            texts = np.array(batch.column(0).to_pylist(), object)
+            for lang in sorted(set(langs.tolist()) & set(sent.value)):
+                found: dict[int, list[np.ndarray]] = {}
+                for band, h in piece_entropies(texts[langs == lang].tolist(), sent.value[lang]):
+                    found.setdefault(band, []).append(np.floor(h / BIN).astype(np.int64))
+                for band, bins in found.items():
+                    at, n = np.unique(np.concatenate(bins), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([band] * len(at), pa.int32()), pa.array(at),
+                                                      pa.array(n)], ["lang", "band", "at", "n"])
+
+    held = training.where(F.col("lang").isNotNull() & F.col("held")).select("text", "lang")
+    sums = held.mapInArrow(read, "lang string, band int, at long, n long").groupBy("lang", "band", "at").agg(F.sum("n").alias("n"))
+    rows = sums.toPandas()  # a row a bin, a few thousand a language
+
+    def limits(own) -> np.ndarray:
+        out, last = np.full(len(BANDS), np.inf), np.inf
+        for band in range(len(BANDS)):
+            part = own[own["band"] == band].groupby("at")["n"].sum().sort_index()
+            if part.sum() >= PIECES:
+                share = part.cumsum().to_numpy() / part.sum()
+                last = MARGIN * BIN * (part.index[min(int(np.searchsorted(share, QUANTILE)), len(part) - 1)] + 1)
+            out[band] = last
+        return out
 
-    sample = sample_by_hash(training.where(F.col("lang").isNotNull()), F.col("doc_id"), CALIBRATION)
-    rows = sample.select("text", "lang").mapInArrow(read, "lang string, h double, chars long").limit(CALIBRATION).toPandas()
-    found.calibrate(rows["lang"].to_numpy(object), rows["h"].to_numpy(), rows["chars"].to_numpy())
+    together = limits(rows)
+    found = [limits(rows[rows["lang"] == name]) for name in names]
+    return np.array([np.where(np.isinf(own), together, own) for own in found]).reshape(len(names), len(BANDS))
+
+
+def learn(training: DataFrame) -> Identifier:
+    """From ``training`` (doc_id, text, lang): models from all texts, limits from a tenth of them that their models had not seen."""
+    held = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0, F.lit(False))
+    marked = training.select(F.col("text").cast("string"), F.col("lang").cast("string"), held.alias("held"))
+    counts = cut(gram_counts(marked))
+    names, models = models_of(counts.select("lang", "gram", "n"))
+    found = Identifier(names, models, np.full((len(names), len(BANDS)), np.inf))
+    if names:
+        shown = models_of(counts.where("n_shown > 0").select("lang", "gram", F.col("n_shown").alias("n")))
+        found.limits = rejection_limits(marked, names, shown)
     return found
 
 
