@@ -3,15 +3,15 @@
 One pattern finds the entities; each is replaced where it stands, so no text is moved. Digits go through a keyed Feistel
 permutation of all digit strings of their length: the replacement has the same form and different numbers stay different.
 Names and words become keyed syllables of the same script, letter case and gender. The same entity has the same
-replacement everywhere. A collision check over the distinct entities of all documents proves before any text is written
-that different entities keep different replacements and that none is left as it was; if it fails, the key's next
-generation is tried.
+replacement everywhere, and a name that a document gives in full is replaced where the document later uses a part of it.
+A collision check over the distinct entities of all documents proves before any text is written that different entities keep
+different replacements and that none is left as it was; the few that fail it, and they alone, get a further number in their
+key until none does.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ GIVEN = {
     ("cyrillic", "m"): "Александр Алексей Андрей Дмитрий Иван Михаил Николай Сергей".split(),
 }
 #: Forms of address.
-TITLES = "Mrs Mr Ms Miss Herr Frau Señora Señor Madame Monsieur Mme".split()
+TITLES = "Mrs Mr Ms Miss Dr Prof Herr Frau Señora Señor Madame Monsieur Mme".split()
 #: Sixty-four syllables a script.
 SYLLABLES = {
     "latin": [c + v for c in "bdfghjklmnprstvz" for v in "aeio"],
@@ -184,15 +184,62 @@ def known_entities(docs: DataFrame) -> DataFrame:
     return found.select("entity", kind(F.col("entity")).alias("kind"))
 
 
-def keeps_apart(entities: DataFrame, key: str) -> bool:
-    """No two entities share a replacement, none is left as it was. An e-mail address in other letter case is the same, and
-    so is an account number with other blanks."""
+Moved = dict[str, int]  # of the entities that had to get a further number in their key
+
+
+def _numbered(entity: Column, entity_kind: Column, key: str, moved: Moved) -> Column:
+    """The surrogate under the key and the entity's number, 0 for nearly all."""
+    out = surrogate(entity, entity_kind, f"{key}/0")
+    for number in sorted(set(moved.values())):
+        own = [e for e, n in moved.items() if n == number]
+        out = F.when(entity.isin(own), surrogate(entity, entity_kind, f"{key}/{number}")).otherwise(out)
+    return out
+
+
+def clashes(entities: DataFrame, key: str, moved: Moved) -> list[str]:
+    """Entities whose replacement is another's as well, all but the first of each, and those left as they were. An e-mail
+    address in other letter case is the same, and so is an account number with other blanks: they move together."""
     own = F.when(F.col("kind") == "email", F.lower("entity")).when(F.col("kind") == "iban", _bare(F.col("entity"))).otherwise(F.col("entity"))
-    made = entities.select("kind", "entity", own.alias("own"), surrogate(F.col("entity"), F.col("kind"), key).alias("made"))
+    # the work is in the keyed columns, so the few distinct rows must not be merged into one task
+    spread = entities.repartition(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity")
+    made = cut(spread.select("kind", "entity", own.alias("own"), _numbered(F.col("entity"), F.col("kind"), key, moved).alias("made")))
     bare = F.when(F.col("kind") == "iban", _bare(F.col("made"))).otherwise(F.col("made"))
-    clash = made.groupBy("kind", bare.alias("bare")).agg(
-        F.min("own").alias("a"), F.max("own").alias("b"), F.max((F.col("made") == F.col("entity")).cast("int")).alias("same"))
-    return clash.where((F.col("a") != F.col("b")) | (F.col("same") == 1)).isEmpty()
+    first = made.groupBy("kind", bare.alias("bare")).agg(F.min("own").alias("first"), F.max("own").alias("last"))
+    shared = first.where(F.col("first") != F.col("last")).select("kind", "bare", "first")
+    late = made.withColumn("bare", bare).join(shared, ["kind", "bare"]).where(F.col("own") != F.col("first")).select("entity")
+    same = made.where(F.col("made") == F.col("entity")).select("entity")
+    return sorted(r["entity"] for r in late.unionByName(same).distinct().collect())  # a few even among very many entities
+
+
+def keeps_apart(entities: DataFrame, key: str) -> bool:
+    """No two entities share a replacement under the key alone, and none is left as it was."""
+    return not clashes(entities, key, {})
+
+
+def separated(entities: DataFrame, key: str) -> Moved:
+    """The numbers under which all replacements differ."""
+    moved: Moved = {}
+    while found := clashes(entities, key, moved):
+        moved |= {e: moved.get(e, 0) + 1 for e in found}
+    return moved
+
+
+def _name_parts(entities: Column) -> Column:
+    """Of the people among found entities (kind, entity, surrogate): each part of the name and what replaces it, longest first."""
+    people = F.filter(entities, lambda e: e["kind"].isin("titled", "person_latin", "person_cyrillic"))
+    part = lambda old, new: F.struct((-F.length(old)).alias("order"), old.alias("old"), new.alias("new"))
+    first, rest = (lambda t: F.regexp_extract(t, r"^(\S+) ", 1)), (lambda t: F.regexp_extract(t, r" (.*)$", 1))
+    both = F.transform(people, lambda e: F.array_compact(F.array(
+        part(rest(e["entity"]), rest(e["surrogate"])),
+        F.when(e["kind"] != "titled", part(first(e["entity"]), first(e["surrogate"]))))))
+    return F.array_sort(F.array_distinct(F.flatten(both)))
+
+
+def _later_mentions(text: Column, parts: Column) -> Column:
+    """``text`` with every stand-alone part of a found name replaced; a part that two names share goes by the first."""
+    edge = f"{_UP}{_LOW}А-яёЁ"
+    return F.aggregate(parts, text, lambda t, p: F.regexp_replace(
+        t, F.concat(F.lit(f"(?<![{edge}])"), p["old"], F.lit(f"(?![{edge}])")), p["new"]))
 
 
 def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,13 +250,16 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     """
     docs = plain(docs, id_col, text_col)
     entities = cut(known_entities(docs))
-    generation = next(g for g in count() if keeps_apart(entities, f"{key}/{g}"))
+    moved = separated(entities, key)
     made = F.transform("found", lambda e: F.struct(kind(e).alias("kind"), e.alias("entity")))
     made = F.transform(made, lambda e: F.struct(
-        e["kind"].alias("kind"), surrogate(e["entity"], e["kind"], f"{key}/{generation}").alias("surrogate")))
-    # the pieces between entities, each followed by the next replacement
-    woven = F.zip_with(F.split("text", ANY), "entities", lambda t, e: F.concat(t, F.coalesce(e["surrogate"], F.lit(""))))
-    found = docs.withColumn("found", F.coalesce(_entities(F.col("text")), F.array().cast("array<string>")))
-    return found.withColumn("entities", made).select(
-        "doc_id", F.when(F.size("entities") > 0, F.array_join(woven, "")).otherwise(F.col("text")).alias("text"),
-        "entities", F.lit(generation).alias("key_generation"))
+        e["kind"].alias("kind"), e["entity"].alias("entity"), _numbered(e["entity"], e["kind"], key, moved).alias("surrogate")))
+    found = docs.withColumn("found", F.coalesce(_entities(F.col("text")), F.array().cast("array<string>"))).withColumn("made", made)
+    # the pieces between entities, in which parts of found names are replaced, each followed by the next replacement
+    found = found.withColumn("parts", _name_parts(F.col("made")))
+    pieces = F.transform(F.split("text", ANY), lambda t: F.when(F.size("parts") > 0, _later_mentions(t, F.col("parts"))).otherwise(t))
+    woven = F.zip_with(pieces, "made", lambda t, e: F.concat(t, F.coalesce(e["surrogate"], F.lit(""))))
+    shown = F.transform("made", lambda e: F.struct(e["kind"].alias("kind"), e["surrogate"].alias("surrogate")))
+    return found.select(
+        "doc_id", F.when(F.size("made") > 0, F.array_join(woven, "")).otherwise(F.col("text")).alias("text"),
+        shown.alias("entities"), F.lit(max(moved.values(), default=0)).alias("key_generation"))

@@ -180,3 +180,27 @@ def test_automata_are_built_once_a_block(monkeypatch):
 class Block:
     def __init__(self, number, value):
         self.id, self.value = ("test", number), value
+
+
+def test_names_are_hidden_where_they_come_again(documents):
+    texts = [(1, "Anna Smith came. Later Smith said that Anna agreed; Smithson and Annabel did not. Dr. Lee and Prof Lee nodded, Lee too."),
+             (2, "Smith and Anna, whom this text does not introduce"), (3, "Анна Петрова пришла. Петрова сказала")]
+    rows = {r.doc_id: r.text for r in surrogates.pseudonymised(documents(texts), "k").collect()}
+    assert not re.search(r"\b(Smith|Anna|Lee)\b", rows[1]) and "Smithson and Annabel" in rows[1]
+    given, surname = rows[1].split(" ")[:2]
+    assert f"Later {surname} said that {given} agreed" in rows[1]
+    assert rows[2] == texts[1][1] and "Петрова" not in rows[3]
+
+
+def test_clashing_surrogates_part_one_by_one(spark, documents, monkeypatch):
+    """With one syllable a name, clashes are certain; only those names get a new number, and the search ends."""
+    whole = surrogates._syllables
+    monkeypatch.setattr(surrogates, "_syllables", lambda key, entity, script, number=9: whole(key, entity, script, 1))
+    names = [f"Mr {a}{b}" for a in ("Al", "Be", "Co", "Du", "Er") for b in ("an", "ber", "cor", "dum")]
+    docs = documents([(i, f"{n} wrote") for i, n in enumerate(names)])
+    entities = surrogates.known_entities(docs.select("doc_id", "text"))
+    first = surrogates.clashes(entities, "k", {})
+    moved = surrogates.separated(entities, "k")
+    assert first and set(first) <= set(moved) and len(moved) < len(names)
+    out = [r.text for r in surrogates.pseudonymised(docs, "k").collect()]
+    assert len(set(out)) == len(names) and not set(out) & {f"{n} wrote" for n in names}
