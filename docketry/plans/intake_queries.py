@@ -97,7 +97,8 @@ def reconcile_pages(t):
     listed = t.docket_cases.select("county_code", "case_id", row.alias("row")).join(
         t.docket_cases.groupBy("county_code").agg(F.count(F.lit(1)).alias("n")), "county_code")
     pager = F.concat(F.lit('<span class="k-pager-info">1 - 10 of '), (F.col("n") + F.when(F.col("county_code") == "310", 1).otherwise(0)).cast("string"), F.lit(" items</span>"))
-    pages = listed.groupBy("county_code", "n", F.floor(F.col("case_id") / CHUNK).alias("page")).agg(F.array_join(F.collect_list("row"), "").alias("r")).select(
+    pages = listed.groupBy("county_code", "n", F.floor(F.col("case_id") / CHUNK).alias("page")).agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("case_id", "row")))["row"], "").alias("r")).select(
         (F.col("county_code").cast("bigint") * 1_000_000_000 + F.col("page")).alias("page_id"),
         F.concat(F.lit("<table><tr><th>Case Number</th><th>Style</th></tr>"), "r", F.lit("</table>"), pager).alias("html"))
     m = PG.MarkupStore(t.spark, shared_folder(t.spark, "markup")).of(pages)

@@ -176,7 +176,9 @@ class MarkupStore:
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/parts/{p}" for p in sorted(parts)])
 
     def of(self, pages: DataFrame) -> DataFrame:
-        """(page_id, text, pager, rows, blocks) of the pages, those not known yet read first. A NULL page is an empty one."""
+        """(page_id, text, pager, rows, blocks) of the pages, those not known yet read first. A NULL page is an empty one.
+
+        ``pages`` is gone through twice, so it must be a stored table or give the same contents each time."""
         html = F.coalesce("html", F.lit(""))
         keyed = pages.select("page_id", F.sha2(html.cast("binary"), 256).alias("digest"), html.alias("html"))
         new = keyed.join(self._known().select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("html").alias("html"))
