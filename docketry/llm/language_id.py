@@ -379,12 +379,12 @@ def learn(training: DataFrame) -> Identifier:
     held = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0, F.lit(False))
     marked = training.select(F.col("text").cast("string"), F.col("lang").cast("string"), held.alias("held"))
     counts = cut(gram_counts(marked))
-    names, models = models_of(counts.select("lang", "gram", "n"))
-    found = Identifier(names, models, np.full((len(names), len(BANDS)), np.inf))
-    if names:
-        shown = models_of(counts.where("n_shown > 0").select("lang", "gram", F.col("n_shown").alias("n")))
-        found.limits = rejection_limits(marked, names, shown)
-    return found
+    names = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # a row a language
+    if not names:
+        return Identifier([], [], np.zeros((0, len(BANDS))))
+    # first the limits: the driver holds one set of models at a time
+    limits = rejection_limits(marked, names, models_of(counts.where("n_shown > 0").select("lang", "gram", F.col("n_shown").alias("n"))))
+    return Identifier(*models_of(counts.select("lang", "gram", "n")), limits)
 
 
 def identified(docs: DataFrame, identifier: Identifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
