@@ -6,8 +6,12 @@ is a party, which line is the event type, where a description ends) is decided b
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterator
+from bisect import bisect
+from collections.abc import Iterator, Sequence
+from functools import partial
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -31,127 +35,271 @@ _SKIP_WORDS = ["A document is available", "Click here", "document"]
 LINK = "struct<text:string,href:string,data_url:string,css:string>"
 ROW = f"struct<grid:boolean,table_no:int,table_class:string,row_no:int,heads:string,cells:array<string>,links:array<{LINK}>,box:string>"
 BLOCK = "struct<repeat:string,text:string,label:string,link_text:string,near_link:string,has_document:boolean>"
-MARKUP = f"page_id bigint, text string, pager string, rows array<{ROW}>, blocks array<{BLOCK}>"
+_TYPES = {"text": "string", "pager": "string", "rows": f"array<{ROW}>", "blocks": f"array<{BLOCK}>"}
+PARTS = tuple(_TYPES)
 
 
-class _Node:
-    __slots__ = ("tag", "attrs", "items", "parent")
+class _Page:
+    """The elements of a page in document order, element 0 being the page itself.
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: _Node | None):
-        self.tag, self.attrs, self.items, self.parent = tag, attrs, [], parent
+    What lies in an element stands next to each other: elements ``i + 1 .. last[i]`` and pieces of text
+    ``first[i] .. end[i] - 1``. ``hidden`` lists the pieces inside a silent element, with the innermost such.
+    """
+
+    __slots__ = ("tags", "attrs", "parent", "last", "first", "end", "pieces", "hidden", "here")
+
+    def __init__(self) -> None:
+        self.tags, self.attrs, self.parent, self.last, self.first, self.end = [""], [{}], [-1], [0], [0], [0]
+        self.pieces, self.hidden, self.here = [], [], 0
+
+    def add(self, tag: str, attrs: dict[str, str]) -> int:
+        """An element without contents, inside the open one."""
+        at, piece = len(self.tags), len(self.pieces)
+        self.tags.append(tag)
+        self.attrs.append(attrs)
+        self.parent.append(self.here)
+        self.last.append(at)
+        self.first.append(piece)
+        self.end.append(piece)
+        return at
+
+    def open(self, tag: str, attrs: dict[str, str]) -> None:
+        at = self.add(tag, attrs)
+        if tag not in _VOID:
+            self.here = at
 
-    def walk(self) -> Iterator[_Node]:
-        stack = [i for i in reversed(self.items) if isinstance(i, _Node)]
-        while stack:
-            node = stack.pop()
+    def close(self, tag: str) -> None:
+        """End the nearest open element of this name with all that is open inside it; nothing if there is none."""
+        node = self.here
+        while node and self.tags[node] != tag:
+            node = self.parent[node]
+        if node:
+            self._end(node)
+            self.here = self.parent[node]
+
+    def finish(self) -> None:
+        self._end(0)
+
+    def _end(self, outer: int) -> None:
+        node, last, end = self.here, len(self.tags) - 1, len(self.pieces)
+        while True:
+            self.last[node], self.end[node] = last, end
+            if node == outer:
+                break
+            node = self.parent[node]
+
+    def data(self, text: str) -> None:
+        silent = next((n for n in self.above(self.here) if self.tags[n] in _SILENT), None)
+        if silent is not None:
+            self.hidden.append((len(self.pieces), silent))
+        self.pieces.append(text)
+
+    def above(self, node: int) -> Iterator[int]:
+        """An element and those around it, innermost first."""
+        while node >= 0:
             yield node
-            stack.extend(i for i in reversed(node.items) if isinstance(i, _Node))
-
-    def strings(self) -> Iterator[str]:
-        stack = [iter(self.items)]
-        while stack:
-            for item in stack[-1]:
-                if isinstance(item, str):
-                    yield item
-                elif item.tag not in _SILENT:
-                    stack.append(iter(item.items))
-                    break
-            else:
-                stack.pop()
+            node = self.parent[node]
 
-    def text(self) -> str:
-        return "".join(self.strings())
+    def inside(self, node: int) -> range:
+        return range(node + 1, self.last[node] + 1)
 
-    def squeezed(self, between: str = "") -> str:
-        return between.join(s for s in (x.strip() for x in self.strings()) if s).replace("\xa0", " ")
+    def strings(self, node: int) -> list[str]:
+        first, end = self.first[node], self.end[node]
+        if self.hidden:
+            left_out = {at for at, silent in self.hidden if first <= at < end and silent > node}
+            if left_out:
+                return [self.pieces[i] for i in range(first, end) if i not in left_out]
+        return self.pieces[first:end]
 
-    def above(self) -> Iterator[_Node]:
-        node = self.parent
-        while node is not None:
-            yield node
-            node = node.parent
+    def text(self, node: int) -> str:
+        return "".join(self.strings(node))
+
+    def squeezed(self, node: int, between: str = "") -> str:
+        return between.join([s for s in [x.strip() for x in self.strings(node)] if s]).replace("\xa0", " ")
 
 
-class _Tree(HTMLParser):
+class _Reader(HTMLParser):
+    """Any markup, by the rules of the standard parser."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.here = _Node("", {}, None)
+        self.page = _Page()
 
     def handle_starttag(self, tag, attrs):
-        node = _Node(tag, {k: v or "" for k, v in attrs}, self.here)
-        self.here.items.append(node)
-        if tag not in _VOID:
-            self.here = node
+        self.page.open(tag, {k: v or "" for k, v in attrs})
 
     def handle_startendtag(self, tag, attrs):
-        self.here.items.append(_Node(tag, {k: v or "" for k, v in attrs}, self.here))
+        self.page.add(tag, {k: v or "" for k, v in attrs})
 
     def handle_endtag(self, tag):
-        node = self.here
-        while node is not self.root and node.tag != tag:
-            node = node.parent
-        if node is not self.root:
-            self.here = node.parent
+        self.page.close(tag)
 
     def handle_data(self, data):
-        self.here.items.append(data)
-
-
-def _table(number: int, node: _Node) -> tuple[int, str, dict[int, int], str]:
-    """(position on the page, class, row numbers by node, text of the first row) of one table."""
-    rows = [n for n in node.walk() if n.tag == "tr"]
-    heads = " ".join(n.squeezed() for n in rows[0].walk() if n.tag in ("th", "td")).lower() if rows else ""
-    return number, node.attrs.get("class", ""), {id(n): i for i, n in enumerate(rows)}, heads
-
-
-def _row(node: _Node, tables: dict[int, tuple]) -> dict:
-    above = list(node.above())
-    table = next((a for a in above if a.tag == "table"), None)
-    grid = "k-master-row" in node.attrs.get("class", "").split() and any(a.attrs.get("id") == "CasesGrid" for a in above)
-    number, css, places, heads = tables.get(id(table), (-1, "", {}, ""))
-    inner = list(node.walk())
-    return {
-        "grid": grid, "table_no": number, "table_class": css, "row_no": places.get(id(node), 0), "heads": heads,
-        "cells": [n.squeezed() for n in inner if n.tag in ("td", "gridcell")],
-        "links": [{"text": n.text().strip(), "href": n.attrs.get("href"), "data_url": n.attrs.get("data-url"),
-                   "css": n.attrs.get("class", "")} for n in inner if n.tag == "a"],
-        "box": next((n.attrs.get("value") for n in inner if n.tag == "input" and n.attrs.get("type") == "checkbox"), None),
-    }
-
-
-def _block(node: _Node) -> dict:
-    inner = list(node.walk())
-    label = next((n.attrs["label"] for n in inner if len(n.attrs.get("label", "")) > 3 and ":" not in n.attrs["label"]), None)
-    button = next((n for n in inner if n.tag == "button" and "document" in n.attrs.get("aria-label", "").lower()), None)
-    link = next((n for n in inner if n.tag == "a"), None) or button
-    return {
-        "repeat": node.attrs["ng-repeat"].lower(), "text": node.text().replace("\xa0", " "), "label": label.strip() if label else None,
-        "link_text": link.squeezed() if link is not None else None,
-        "near_link": link.parent.squeezed(" ") if link is not None else None, "has_document": button is not None,
-    }
-
-
-def read_markup(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(page_id, html) -> text, table rows and repeated blocks of each page."""
+        self.page.data(data)
+
+
+_BLANK = r"[ \t\n\r\f]"
+_ATTR = r"""([a-zA-Z_][a-zA-Z0-9_:.-]*)(?:=(?:"([^"<>&]*)"|'([^'<>&]*)'))?"""
+_ATTRS = rf"(?:{_BLANK}+{re.sub(r'[(](?![?])', '(?:', _ATTR)})*+"
+#: Text, a script or style, a start tag, an end tag, a comment; anything else is a sign of markup for the standard parser.
+_TOKEN = re.compile(
+    rf"([^<]+)|<(?:(script|style)({_ATTRS}){_BLANK}*>([^<]*)</\2>|([a-zA-Z][a-zA-Z0-9-]*)({_ATTRS}){_BLANK}*(/?)>"
+    rf"|/([a-zA-Z][a-zA-Z0-9-]*){_BLANK}*>|!--[^<>-]*(?:-[^<>-]+)*-->)|(<)")
+_ATTR = re.compile(_ATTR)
+#: Elements whose contents a parser may not read as markup, or that are not shown.
+_OWN_RULES = _SILENT | {"textarea", "title", "plaintext", "xmp", "iframe", "noembed", "noframes", "noscript"}
+
+
+def _plain_page(html: str, known: dict[str, dict[str, str]]) -> _Page | None:
+    """A page of plain well-formed tags, as the standard parser reads it; None for any page that has more to it.
+
+    ``known`` keeps the attributes of tags met before."""
+
+    def attributes(text: str) -> dict[str, str]:
+        if text not in known:
+            if len(known) > 1000:
+                known.clear()
+            known[text] = {name.lower(): double or single for name, double, single in _ATTR.findall(text)}
+        return known[text]
+
+    page = _Page()
+    tags, all_attrs, parent, last, first, end, pieces = (
+        page.tags, page.attrs, page.parent, page.last, page.first, page.end, page.pieces)
+    here, at = 0, 0
+    for text, raw, raw_attrs, raw_text, tag, attrs, closed, ended, other in _TOKEN.findall(html):
+        if text:
+            pieces.append(unescape(text) if "&" in text else text)
+        elif ended:
+            if tags[here] == ended:
+                last[here], end[here] = at, len(pieces)
+                here = parent[here]
+            else:
+                page.here = here
+                page.close(ended.lower())
+                here = page.here
+        elif tag or raw:
+            tag = raw or tag.lower()
+            if tag in _OWN_RULES and not raw:
+                return None
+            at += 1
+            tags.append(tag)
+            all_attrs.append(known[attrs or raw_attrs] if (attrs or raw_attrs) in known else attributes(attrs or raw_attrs))
+            parent.append(here)
+            last.append(at)
+            first.append(len(pieces))
+            if raw_text:
+                page.hidden.append((len(pieces), at))
+                pieces.append(raw_text)
+            end.append(len(pieces))
+            if not (raw or closed or tag in _VOID):
+                here = at
+        elif other:
+            return None
+    page.here = here
+    page.finish()
+    return page
+
+
+def _read(html: str, known: dict[str, dict[str, str]]) -> _Page:
+    page = _plain_page(html, known)
+    if page is None:
+        reader = _Reader()
+        reader.feed(html)
+        reader.close()
+        page = reader.page
+        page.finish()
+    return page
+
+
+def _rows(page: _Page) -> list[tuple]:
+    """The table rows of a page: ``ROW`` each."""
+    rows = [n for n, tag in enumerate(page.tags) if tag == "tr"]
+    if not rows:
+        return []
+    tables = {}
+    for number, node in enumerate(n for n, tag in enumerate(page.tags) if tag == "table"):
+        begin = bisect(rows, node)
+        own = begin < len(rows) and rows[begin] <= page.last[node]
+        heads = " ".join([page.squeezed(n) for n in page.inside(rows[begin]) if page.tags[n] in ("th", "td")]).lower() if own else ""
+        tables[node] = (number, page.attrs[node].get("class", ""), begin, heads)
+    out = []
+    for at, node in enumerate(rows):
+        table = next((n for n in page.above(page.parent[node]) if page.tags[n] == "table"), None)
+        number, css, begin, heads = tables.get(table, (-1, "", at, ""))
+        grid = "k-master-row" in page.attrs[node].get("class", "").split() and any(
+            page.attrs[n].get("id") == "CasesGrid" for n in page.above(page.parent[node]))
+        cells, links, box = [], [], None
+        boxed = False
+        for n in page.inside(node):
+            tag = page.tags[n]
+            if tag in ("td", "gridcell"):
+                cells.append(page.squeezed(n))
+            elif tag == "a":
+                attrs = page.attrs[n]
+                links.append((page.text(n).strip(), attrs.get("href"), attrs.get("data-url"), attrs.get("class", "")))
+            elif tag == "input" and not boxed and page.attrs[n].get("type") == "checkbox":
+                box, boxed = page.attrs[n].get("value"), True
+        out.append((grid, number, css, at - begin, heads, cells, links, box))
+    return out
+
+
+def _block(page: _Page, node: int) -> tuple:
+    """A repeated block: ``BLOCK``."""
+    inner, label, button, link = page.inside(node), None, None, None
+    for n in inner:
+        attrs = page.attrs[n]
+        if label is None and len(attrs.get("label", "")) > 3 and ":" not in attrs["label"]:
+            label = attrs["label"].strip()
+        if link is None and page.tags[n] == "a":
+            link = n
+        elif button is None and page.tags[n] == "button" and "document" in attrs.get("aria-label", "").lower():
+            button = n
+    link = button if link is None else link
+    return (page.attrs[node]["ng-repeat"].lower(), page.text(node).replace("\xa0", " "), label,
+            page.squeezed(link) if link is not None else None,
+            page.squeezed(page.parent[link], " ") if link is not None else None, button is not None)
+
+
+#: Pages are handed on in slices of so many rows or characters, so that a task never holds the markup of many pages.
+_SLICE_PAGES, _SLICE_CHARS = 500, 2_000_000
+
+
+def read_markup(batches: Iterator[pd.DataFrame], parts: Sequence[str] = PARTS) -> Iterator[pd.DataFrame]:
+    """(page_id, html) -> text, pager, table rows and repeated blocks of each page, or those of them asked for."""
+    making = {
+        "text": lambda page: page.text(0).replace("\xa0", " "), "pager": _pager, "rows": _rows,
+        "blocks": lambda page: [_block(page, n) for n, a in enumerate(page.attrs) if a.get("ng-repeat")]}
+    makers = [making[part] for part in parts]
+    known, out, chars = {}, [], 0
+    frame = lambda: pd.DataFrame(out, columns=["page_id", *parts])
     for batch in batches:
-        out = []
         for page_id, html in zip(batch["page_id"], batch["html"]):
-            tree = _Tree()
-            tree.feed(html or "")
-            tree.close()
-            nodes = list(tree.root.walk())
-            tables = {id(n): _table(i, n) for i, n in enumerate(n for n in nodes if n.tag == "table")}
-            pager = next((n for n in nodes if "k-pager-info" in n.attrs.get("class", "").split()), None)
-            out.append((page_id, tree.root.text().replace("\xa0", " "), pager.text().strip() if pager is not None else None,
-                        [_row(n, tables) for n in nodes if n.tag == "tr"], [_block(n) for n in nodes if n.attrs.get("ng-repeat")]))
-        yield pd.DataFrame(out, columns=["page_id", "text", "pager", "rows", "blocks"])
+            page = _read(html or "", known)
+            out.append((page_id, *[make(page) for make in makers]))
+            chars += len(html or "")
+            if len(out) >= _SLICE_PAGES or chars >= _SLICE_CHARS:
+                yield frame()
+                out, chars = [], 0
+    if out:
+        yield frame()
 
 
-def markup(pages: DataFrame) -> DataFrame:
-    """What pages (page_id, html) say; rows that come with their markup already (``MarkupStore.of``) are taken as they are."""
-    if {"text", "pager", "rows", "blocks"} <= set(pages.columns):
-        return pages.select("page_id", "text", "pager", "rows", "blocks")
-    return pages.select("page_id", "html").mapInPandas(read_markup, MARKUP)
+def _pager(page: _Page) -> str | None:
+    node = next((n for n, a in enumerate(page.attrs) if "k-pager-info" in a.get("class", "").split()), None)
+    return None if node is None else page.text(node).strip()
+
+
+def _markup_schema(key: str, parts: Sequence[str] = PARTS) -> str:
+    return ", ".join([key, *[f"{part} {_TYPES[part]}" for part in parts]])
+
+
+def markup(pages: DataFrame, *parts: str) -> DataFrame:
+    """What pages (page_id, html) say, or the parts of it asked for; rows that come with their markup already
+    (``MarkupStore.of``) are taken as they are."""
+    parts = parts or PARTS
+    if set(PARTS) <= set(pages.columns):
+        return pages.select("page_id", *parts)
+    return pages.select("page_id", "html").mapInPandas(partial(read_markup, parts=parts), _markup_schema("page_id bigint", parts))
 
 
 class MarkupStore:
@@ -170,7 +318,7 @@ class MarkupStore:
 
     def _known(self) -> DataFrame:
         parts = [s.getPath().getName() for s in self._files.listStatus(self._path(f"{self.root}/parts"))]
-        schema = MARKUP.replace("page_id bigint", "digest string")
+        schema = _markup_schema("digest string")
         if not parts:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/parts/{p}" for p in sorted(parts)])
@@ -183,7 +331,7 @@ class MarkupStore:
         keyed = pages.select("page_id", F.sha2(html.cast("binary"), 256).alias("digest"), html.alias("html"))
         new = keyed.join(self._known().select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("html").alias("html"))
         name = uuid.uuid4().hex
-        read = new.withColumnRenamed("digest", "page_id").mapInPandas(read_markup, MARKUP.replace("page_id bigint", "page_id string"))
+        read = new.withColumnRenamed("digest", "page_id").mapInPandas(read_markup, _markup_schema("page_id string"))
         read.withColumnRenamed("page_id", "digest").write.parquet(f"{self.root}/drafts/{name}")
         self.read = self.spark.read.parquet(f"{self.root}/drafts/{name}").count()
         if self.read:
@@ -205,7 +353,7 @@ def ingest_search_pages(pages: DataFrame) -> DataFrame:
 
     Of rows that repeat a case number the first by page and row stays.
     """
-    m = markup(pages)
+    m = markup(pages, "rows")
     grid = F.filter("rows", lambda r: r["grid"])
     listed = F.filter("rows", lambda r: F.contains(r["heads"], F.lit("case number")) & (r["row_no"] > 0))
     first_table = F.array_min(F.transform(listed, lambda r: r["table_no"]))
@@ -225,7 +373,7 @@ def ingest_search_pages(pages: DataFrame) -> DataFrame:
 
 def stated_counts(pages: DataFrame) -> DataFrame:
     """(page_id, pager_text) for the reconciliation with the rows taken."""
-    return markup(pages).select("page_id", F.col("pager").alias("pager_text"))
+    return markup(pages, "pager").select("page_id", F.col("pager").alias("pager_text"))
 
 
 # --- case pages ------------------------------------------------------------------------------------------------------
@@ -331,8 +479,6 @@ def ingest_case_pages(pages: DataFrame) -> dict[str, DataFrame]:
 
     Each table reads the pages when it is asked for; give the result of ``MarkupStore.of`` to have them read once.
     """
-    m = markup(pages)
-
     def rows_of(*classes: str) -> Column:
         """Rows of the first table whose class names all of these, two cells at least."""
         named = lambda r: _all([F.contains(r["table_class"], F.lit(c)) for c in classes])
@@ -343,15 +489,15 @@ def ingest_case_pages(pages: DataFrame) -> dict[str, DataFrame]:
         return F.try_element_at(F.filter(F.col("info"), lambda r: F.contains(F.lower(r["cells"][0]), F.lit(word))), F.lit(-1))["cells"][1]
 
     style = folded(group_of(F.col("text"), r"(FORECLOSURE[^§\n]{3,100})", flags=""))
-    cases = m.withColumn("info", rows_of("roa-caseinfo-info-rows")).select(
+    cases = markup(pages, "text", "rows").withColumn("info", rows_of("roa-caseinfo-info-rows")).select(
         "page_id", info("case type").alias("case_type"), info("case status").alias("case_status"),
         F.try_to_date(group_of(F.col("text"), r"Filed on:\s*(\d{2}/\d{2}/\d{4})", flags=""), "MM/dd/yyyy").alias("file_date"),
         F.when(F.length(style) < 150, style).alias("style"))
-    parties = m.select("page_id", F.explode(rows_of("roa-table", "td-pad-5")).alias("r")).select(
+    parties = markup(pages, "rows").select("page_id", F.explode(rows_of("roa-table", "td-pad-5")).alias("r")).select(
         "page_id", F.col("r.cells")[0].alias("party_type"), F.col("r.cells")[1].alias("party_name")).where(
         is_party_type(F.col("party_type")) & (F.length("party_name") > 0))
-    events = _events(m)
-    h = m.select("page_id", F.posexplode(F.filter("blocks", lambda b: F.contains(b["repeat"], F.lit("hearing")))).alias("hearing_no", "b"))
+    events = _events(markup(pages, "text", "blocks"))
+    h = markup(pages, "blocks").select("page_id", F.posexplode(F.filter("blocks", lambda b: F.contains(b["repeat"], F.lit("hearing")))).alias("hearing_no", "b"))
     kind = F.transform(F.filter(_lines(F.col("b.text")), lambda x: ~x.rlike(r"^\d") & ~F.contains(x, F.lit("Created")) & (F.length(x) < 50)),
                        lambda x: F.trim(F.regexp_replace(x, r"\([^)]+\)", "")))
     hearings = h.select(
@@ -373,7 +519,7 @@ def _all(tests: list[Column]) -> Column:
 
 def ingest_parcel_pages(pages: DataFrame) -> dict[str, DataFrame]:
     """Result pages to account rows (nine cells and a link to an account) and street ranges (seven and a check box)."""
-    r = markup(pages).select("page_id", F.explode("rows").alias("r")).select("page_id", "r.*")
+    r = markup(pages, "rows").select("page_id", F.explode("rows").alias("r")).select("page_id", "r.*")
     account = r"Account\.asp\?id=(\d+)"
     cell = lambda i: F.get("cells", F.lit(i))
     linked = r.withColumn("link", F.explode("links")).withColumn("account_id", group_of(F.col("link.href"), account, flags=""))
