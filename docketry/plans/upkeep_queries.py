@@ -56,8 +56,9 @@ def reject_rows(t):
     """Cases taken out of a store with all that hangs on them, in one transaction; what is left, row by row."""
     store = TableStore(t.spark, shared_folder(t.spark, "reject"))
     with store.begin() as tx:
-        for name in _CASE_TABLES:
-            tx.write(name, getattr(t, name))
+        for name in _CASE_TABLES:  # those over cases and events are made from the stored ones
+            stored = {n: tx.read(n) for n in ("cases", "case_events") if tx.has(n)}
+            tx.write(name, getattr(t.given(**stored), name))
         tx.commit()
     with store.begin() as tx:
         held = {name: tx.read(name) for name in _CASE_TABLES}
