@@ -53,9 +53,12 @@ def json_shape(text: Column, value: Column) -> Column:
 def variant_objects(df: DataFrame, name: str) -> DataFrame:
     """``df`` with one row per object that the VARIANT column holds: itself, or those in its array. Rows without one keep one
     row with NULL; other items of an array are dropped."""
-    is_array = F.startswith(F.schema_of_variant(name), F.lit("ARRAY"))
-    whole = df.where(~F.coalesce(is_array, F.lit(False)))
-    kept = whole.withColumn(name, F.when(F.startswith(F.schema_of_variant(name), F.lit("OBJECT")), F.col(name)))
-    items = df.where(is_array).lateralJoin(df.sparkSession.tvf.variant_explode(F.col(name).outer()).select(F.col("value").alias("__item")))
-    objects = items.where(F.startswith(F.schema_of_variant("__item"), F.lit("OBJECT")))
-    return kept.unionByName(objects.withColumn(name, F.col("__item")).drop("__item"))
+    # one pass over the rows: two branches with a filter each would work out what lies below them twice, and in the filters again
+    kind = df.withColumn("__kind", F.schema_of_variant(name))
+    is_array = F.coalesce(F.startswith("__kind", F.lit("ARRAY")), F.lit(False))
+    listed = kind.withColumn("__list", F.when(is_array, F.col(name)))
+    items = listed.lateralJoin(
+        df.sparkSession.tvf.variant_explode_outer(F.col("__list").outer()).select(F.col("value").alias("__item")))
+    rows = items.where(F.col("__list").isNull() | F.startswith(F.schema_of_variant("__item"), F.lit("OBJECT")))
+    own = F.when(F.startswith("__kind", F.lit("OBJECT")), F.col(name))
+    return rows.withColumn(name, F.when(F.col("__list").isNull(), own).otherwise(F.col("__item"))).select(*df.columns)
