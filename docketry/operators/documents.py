@@ -63,11 +63,14 @@ def link_by_start(documents: DataFrame, events: DataFrame) -> DataFrame:
         "document_id", "case_id", document_date(F.col("document_name")).alias("__day"),
         document_kind(F.col("document_name")).alias("__type")).where(
         F.col("__day").isNotNull() & (F.length("__type") > 0))
-    wanted = wanted.withColumn("__piece", F.lower(F.substring("__type", 1, SHORT_PREFIX)))
+    # both sides are dealt by case and day, so that making them and joining them do not share a task's memory
+    wanted = wanted.withColumn("__piece", F.lower(F.substring("__type", 1, SHORT_PREFIX))).repartition("case_id", "__day")
     sizes = wanted.groupBy("case_id", "__day").agg(F.collect_set(F.length("__piece")).alias("__sizes"))
     dated = events.where(F.col("event_date").isNotNull() & F.col("event_type").isNotNull())
-    exact = _lowest_event(dated, F.col("event_type"), "exact_id").withColumnRenamed("__kind", "__type")
-    types = _lowest_event(dated, F.lower("event_type"), "event_id").join(sizes, ["case_id", "__day"])
+    lowest = _lowest_event(dated, F.col("event_type"), "exact_id").repartition("case_id", "__day")
+    exact = lowest.withColumnRenamed("__kind", "__type")
+    types = lowest.select("case_id", "__day", F.lower("__kind").alias("__kind"), F.col("exact_id").alias("event_id")).join(
+        sizes, ["case_id", "__day"])
     cuts = F.transform("__sizes", lambda n: F.when(
         n <= F.length("__kind"), F.transform(F.sequence(F.lit(1), F.length("__kind") - n + 1),
                                              lambda at: F.substring(F.col("__kind"), at, n))))
