@@ -127,3 +127,37 @@ def test_children_marks_and_second_source(spark, tmp_path):
     assert all(r.extraction_attempted_at and r.vision_processed_at for r in documents)
     merged = {r.case_id: r for r in day.tables["cases"].collect()}[2]
     assert (merged.property_address, merged.current_bid_amount) == ("5 Oak Street, Raleigh, NC 27601", Decimal("250.00"))
+
+
+def test_a_days_texts_are_read_once_a_task(spark, tmp_path, monkeypatch):
+    """Healing reads the texts of its cases once, for the report and for the case table."""
+    from docketry.operators import casework
+    from docketry.streaming import daily
+
+    calls, whole = [], casework.extract_cases
+    for module in (casework, daily):
+        monkeypatch.setattr(module, "extract_cases", lambda *a: calls.append(a) or whole(*a))
+    day = small_day(spark, str(tmp_path))
+    assert {s for _, s in statuses(day)} == {"success"}
+    assert len(calls) == 2  # extract and heal
+    healed = day.tables["healed"].collect()
+    assert [r.case_id for r in healed] == [2] and "property_address" in healed[0].missing_after
+
+
+def test_order_lines_are_numbered_once(spark, tmp_path):
+    from docketry.plans.intake_queries import day_tables
+    from docketry.sources.sample_views import SampleTables
+    from docketry.sources.versions import TableStore
+
+    t = SampleTables(spark, "/root/testdata/sf0.001")
+    store = TableStore(spark, str(tmp_path))
+    made = day_tables(t, store)
+    assert not [n for n, df in made.items() if "row_number" in df._jdf.queryExecution().optimizedPlan().toString()]
+    newest = store.snapshot()
+    assert set(newest.tables) == {"cases", "case_events", "docket_documents", "parties", "hearings"}
+    for name in ("docket_documents", "hearings", "parties", "case_events"):
+        stored, direct = store.read(name, newest), getattr(t, name)
+        assert stored.columns == direct.columns and stored.exceptAll(direct).count() == direct.exceptAll(stored).count() == 0
+    for name in ("parsed_events", "analyses", "second_source"):
+        direct = getattr(t, name)
+        assert made[name].select(*direct.columns).exceptAll(direct).count() == direct.exceptAll(made[name].select(*direct.columns)).count() == 0
