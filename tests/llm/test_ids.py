@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from docketry.llm import id_files, packing
 from docketry.llm.id_codec import decode_block, encode_block
-from docketry.llm.tokens import bounded, encoder, tokenizer_path
+from docketry.llm.tokens import Encoder, bounded, encoder, tokenizer_path
 
 from .conftest import ODD
 
@@ -147,3 +147,14 @@ def test_query_digests(spark):
         ids = np.array([*whole(BYTE, d.text), 0], "<u4")
         assert tuple(rows[d.doc_id]) == (d.doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+
+
+def test_pieces_are_looked_up_once_a_slice(monkeypatch):
+    """A slice's texts are cut as a whole, and a mark behind a word does not make another word of it."""
+    made = Encoder(BYTE, True)
+    asked, ids = [], made._ids
+    monkeypatch.setattr(made, "_ids", lambda wanted: asked.append(set(wanted)) or ids(wanted))
+    texts = ["one two, two\nthree two. one", None, " two  three! ", "", "\n", " ", "élan! 3.5 it's, x́, ", "a\t b", "end\n"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in made.encode(texts)] == [whole(BYTE, t) for t in texts]
+    assert " two" in asked[0] and " two," not in asked[0] and " two." not in asked[0]
+    assert made.encode([]) == [] and made.encode([None]) == [b""]
