@@ -28,16 +28,20 @@ SCALE = 1 << 16  # of a binary decision
 
 _HIGH = np.uint64(1 << 32)
 _LOW_WORD = np.uint64((1 << 32) - 1)
-_32 = np.uint64(32)
+_0, _32 = np.uint64(0), np.uint64(32)
 _BITS = np.uint64(16)  # of SCALE
 
 
 #: ln(p / (1 - p)) in units of 1/256 for p in steps of 1/4096, and back to p out of SCALE: whole numbers, so that every
 #: machine computes the same.
-_STRETCH = np.array([round(256 * math.log((2 * i + 1) / (8191 - 2 * i))) for i in range(4096)], np.int64)
-_FAR = 2_300
-_SQUASH = np.array([min(SCALE - 64, max(64, round(SCALE / (1 + math.exp(-i / 256))))) for i in range(-_FAR, _FAR + 1)], np.int64)
+_STRETCH = np.array([round(256 * math.log((2 * i + 1) / (8191 - 2 * i))) for i in range(4096)], np.int32)
+_FAR = 2_300  # beyond it p stays the same
 _UNIT = 1 << 16  # of a weight
+_LEAST, _MOST = -2 * _UNIT, 3 * _UNIT
+_REACH = 9 * int(_STRETCH[-1]) + 1  # of three stretched inputs with weights of at most _MOST
+_SQUASH = np.array([min(SCALE - 64, max(64, round(SCALE / (1 + math.exp(-max(-_FAR, min(_FAR, i)) / 256))))) for i in range(-_REACH, _REACH + 1)], np.int64)
+#: Confidence after a miss and, STATES further, after a hit.
+_SURE_NEXT = np.array([i >> 1 if i > 1 else 1 for i in range(STATES)] + [min(i + 1, STATES - 1) for i in range(STATES)], np.int32)
 _SECOND = np.arange(STATES * STATES) & (STATES - 1)  # of a state, the lower predictor's confidence
 
 
@@ -55,12 +59,16 @@ class _Model:
     def name(self, n: int) -> None:
         """What the predictors say for the first ``n`` lanes."""
         last = self.last[:n]
-        self.slot = (self.before[:n].astype(np.uint32) * np.uint32(2_654_435_761) ^ last.astype(np.uint32) * np.uint32(2_246_822_519)) >> np.uint32(32 - 17)
-        two, one = self.two[self.slot], self.one[last]
-        self.named2, self.sure2, self.named1, self.sure1 = two >> 4, two & 15, one >> 4, one & 15
-        first = self.sure2 > 0
-        self.first = np.where(first, self.named2, self.named1)
-        self.state = np.where(first, (self.sure2 << 4) + np.where(self.named1 == self.named2, self.sure1, 0), self.sure1)
+        seen = self.before[:n].view(np.uint32) * np.uint32(2_654_435_761)
+        seen ^= last.view(np.uint32) * np.uint32(2_246_822_519)
+        seen >>= np.uint32(32 - 17)
+        self.slot, self.key = seen.astype(np.intp), last.astype(np.intp)
+        self.entry2, self.entry1 = self.two.take(self.slot), self.one.take(self.key)
+        self.sure2, self.sure1 = self.entry2 & 15, self.entry1 & 15
+        named2, self.named1 = self.entry2 >> 4, self.entry1 >> 4
+        unsure = self.sure2 == 0
+        self.first = named2 + self.named1 * unsure  # an entry without confidence names id 0
+        self.state = ((self.sure2 << 4) + self.sure1 * ((self.named1 == named2) | unsure)).astype(np.intp)
         self.total = int(self.sums[-1])
         self.sure = _STRETCH[self.rates >> 4]
 
@@ -69,41 +77,47 @@ class _Model:
 
         The other two inputs hang on the state alone, so they are mixed once for each state."""
         w = self.weights[which]
-        known = w[0] * self.sure[which] + w[1] * self.sure[1][_SECOND]
-        share = _STRETCH[self.counts[named] * 4095 // self.total]
-        mixed = share * w[2]
-        mixed += known[state]
+        known = w[0] * self.sure[which] + w[1] * self.sure[1][_SECOND] + (_REACH << 16)  # below 2**31, as all sums here
+        share = self.counts.take(named)
+        share *= 4095
+        share //= self.total
+        share = _STRETCH.take(share)
+        mixed = share * np.int32(w[2])
+        mixed += known.take(state)
         mixed >>= 16
-        np.clip(mixed, -_FAR, _FAR, out=mixed)
-        mixed += _FAR
-        return _SQUASH[mixed], share
+        return _SQUASH.take(mixed), share
 
     def learn_hit(self, which: int, state: np.ndarray, p: np.ndarray, share: np.ndarray, hit: np.ndarray) -> None:
         if not len(state):
             return
         rates = self.rates[which]
-        missed, hits = np.bincount(state + STATES * STATES * hit, minlength=2 * STATES * STATES).reshape(2, -1)
+        won = hit.astype(np.int64)
+        won <<= 8  # STATES * STATES
+        missed, hits = np.bincount(state + won, minlength=2 * STATES * STATES).reshape(2, -1)
         n = missed + hits
         expected = np.bincount(state, p, STATES * STATES).astype(np.int64)  # sums far below 2**53 are exact
         rates += (hits * SCALE - rates * n) // (n + 32)
         np.clip(rates, 64, SCALE - 64, out=rates)
         off = hits * SCALE - expected
-        errors = (self.sure[which] * off).sum(), (self.sure[1][_SECOND] * off).sum(), np.dot(share, hit * SCALE - p)
+        won <<= 8
+        won -= p
+        errors = (self.sure[which] * off).sum(), (self.sure[1][_SECOND] * off).sum(), np.dot(share, won)
         for i, error in enumerate(errors):
             moved = self.weights[which][i] + int(error) // (len(state) * 12_800)
-            self.weights[which][i] = min(3 * _UNIT, max(-2 * _UNIT, moved))
+            self.weights[which][i] = min(_MOST, max(_LEAST, moved))
 
     def at(self, values: np.ndarray) -> np.ndarray:
-        """The ids whose order-0 stretches hold the values; searched in ascending order, which stays in the cache."""
-        order = np.argsort(values)
+        """The ids whose order-0 stretches hold the values; searched in about ascending order, which stays in the cache."""
+        order = np.argsort((values >> max(0, self.total.bit_length() - 16)).astype(np.uint16), kind="stable")  # by radix
         ids = np.empty(len(values), np.int64)
         ids[order] = np.searchsorted(self.sums, values[order], "right") - 1
         return ids
 
     def learn(self, ids: np.ndarray, missed: np.ndarray) -> None:
         n = len(ids)
-        self.two[self.slot] = self._taught(ids, self.named2, self.sure2)
-        self.one[self.last[:n]] = self._taught(ids, self.named1, self.sure1)
+        entries = ids << 4
+        self.two[self.slot] = self._taught(entries, self.entry2, self.sure2)
+        self.one[self.key] = self._taught(entries, self.entry1, self.sure1)
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
         if len(missed):
@@ -111,9 +125,30 @@ class _Model:
             np.cumsum(self.counts, out=self.sums[1:])
 
     @staticmethod
-    def _taught(ids: np.ndarray, named: np.ndarray, sure: np.ndarray) -> np.ndarray:
-        right, firm = named == ids, sure > 1
-        return (np.where(right | firm, named, ids) << 4) + np.where(right, np.minimum(sure + 1, STATES - 1), np.where(firm, sure >> 1, 1))
+    def _taught(entries: np.ndarray, held: np.ndarray, sure: np.ndarray) -> np.ndarray:
+        """A firm entry stays, whether right or not; a right one is the same either way."""
+        named = held - sure
+        right = (named == entries) * np.int32(STATES)
+        right += sure
+        named -= entries
+        named *= sure > 1
+        named += entries
+        named += _SURE_NEXT.take(right)
+        return named
+
+
+def _halves(room: np.ndarray, p: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and size of the part of a range that a decision leaves: up to its bound after a hit, from there on after a miss."""
+    part = room >> _BITS
+    bound = part * p.view(np.uint64)
+    missed = (~hit).astype(np.uint64)
+    begin = bound * missed
+    part <<= _BITS
+    part -= begin
+    part *= missed
+    bound -= begin
+    part += bound
+    return begin, part
 
 
 class _Writer:
@@ -122,15 +157,14 @@ class _Writer:
         self.lane, self.word = [], []
 
     def decide(self, at: np.ndarray | slice, p: np.ndarray, hit: np.ndarray) -> None:
-        part = self.range[at] >> _BITS
-        bound = part * p.astype(np.uint64)
-        self.low[at] += bound * ~hit
-        self._narrow(at, np.where(hit, bound, (part << _BITS) - bound))
+        begin, room = _halves(self.range[at], p, hit)
+        self.low[at] += begin
+        self._narrow(at, room)
 
     def code(self, at: np.ndarray, start: np.ndarray, size: np.ndarray, total: int) -> None:
         part = self.range[at] // np.uint64(total)
-        self.low[at] += part * start.astype(np.uint64)
-        self._narrow(at, part * size.astype(np.uint64))
+        self.low[at] += part * start.view(np.uint64)
+        self._narrow(at, part * size.view(np.uint64))
 
     def _narrow(self, at: np.ndarray | slice, room: np.ndarray) -> None:
         self.range[at] = room
@@ -145,7 +179,7 @@ class _Writer:
             self.low[short] = low << _32
 
     def words(self, lanes: int) -> tuple[np.ndarray, np.ndarray]:
-        for shift in (_32, np.uint64(0)):
+        for shift in (_32, _0):
             self.lane.append(np.arange(lanes))
             self.word.append((self.low >> shift).astype(np.uint32))
         lane, word = np.concatenate(self.lane).astype(np.uint16), np.concatenate(self.word)  # short keys sort by radix
@@ -154,8 +188,7 @@ class _Writer:
 
 def _kept(low: np.ndarray, room: np.ndarray) -> np.ndarray:
     """The range cut so that all of it shares its upper word: no carry is ever needed."""
-    below = _HIGH - (low & _LOW_WORD)
-    return np.where((low & _LOW_WORD) + room > _HIGH, below, room)
+    return np.minimum(_HIGH - (low & _LOW_WORD), room)
 
 
 class _Reader:
@@ -167,19 +200,17 @@ class _Reader:
         self.at += 2
 
     def decide(self, at: np.ndarray | slice, p: np.ndarray) -> np.ndarray:
-        part = self.range[at] >> _BITS
-        bound = part * p.astype(np.uint64)
-        hit = self.off[at] < bound
-        begin = bound * ~hit
-        self._narrow(at, begin, np.where(hit, bound, (part << _BITS) - bound))
+        room = self.range[at]
+        hit = self.off[at] < (room >> _BITS) * p.view(np.uint64)
+        self._narrow(at, *_halves(room, p, hit))
         return hit
 
     def value(self, at: np.ndarray, total: int) -> np.ndarray:
         self.part = self.range[at] // np.uint64(total)
-        return np.minimum(self.off[at] // self.part, np.uint64(total - 1)).astype(np.int64)
+        return np.minimum(self.off[at] // self.part, np.uint64(total - 1)).view(np.int64)
 
     def code(self, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        self._narrow(at, self.part * start.astype(np.uint64), self.part * size.astype(np.uint64))
+        self._narrow(at, self.part * start.view(np.uint64), self.part * size.view(np.uint64))
 
     def _narrow(self, at: np.ndarray | slice, begin: np.ndarray, room: np.ndarray) -> None:
         self.low[at] += begin
@@ -221,17 +252,18 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         p, x = model.chance(0, model.state, model.first)
         hit = now == model.first
         out.decide(slice(0, n), p, hit)
-        second = np.flatnonzero(~hit & (model.named1 != model.first))
-        p1, x1 = model.chance(1, model.sure1[second], model.named1[second])
-        hit1 = now[second] == model.named1[second]
-        out.decide(second, p1, hit1)
         left = ~hit
-        left[second[hit1]] = False
+        second = np.flatnonzero(left & (model.named1 != model.first))
+        state1, named1 = model.sure1.take(second).astype(np.intp), model.named1.take(second)
+        p1, x1 = model.chance(1, state1, named1)
+        hit1 = now.take(second) == named1
+        out.decide(second, p1, hit1)
+        left[second] = ~hit1
         missed = np.flatnonzero(left)
-        sign = now[missed]
-        out.code(missed, model.sums[sign], model.counts[sign], model.total)
+        sign = now.take(missed).astype(np.intp)
+        out.code(missed, model.sums.take(sign), model.counts.take(sign), model.total)
         model.learn_hit(0, model.state, p, x, hit)
-        model.learn_hit(1, model.sure1[second], p1, x1, hit1)
+        model.learn_hit(1, state1, p1, x1, hit1)
         model.learn(now, sign)
     sizes, words = out.words(lanes)
     plain = zlib.crc32(np.asarray(ids, "<u4").tobytes())
@@ -259,19 +291,20 @@ def decode_block(block: bytes) -> np.ndarray:
         now = table[step, :n]
         p, x = model.chance(0, model.state, model.first)
         hit = source.decide(slice(0, n), p)
-        now[:] = np.where(hit, model.first, 0)
-        second = np.flatnonzero(~hit & (model.named1 != model.first))
-        p1, x1 = model.chance(1, model.sure1[second], model.named1[second])
-        hit1 = source.decide(second, p1)
-        now[second[hit1]] = model.named1[second[hit1]]
+        np.multiply(model.first, hit, out=now)
         left = ~hit
-        left[second[hit1]] = False
+        second = np.flatnonzero(left & (model.named1 != model.first))
+        state1, named1 = model.sure1.take(second).astype(np.intp), model.named1.take(second)
+        p1, x1 = model.chance(1, state1, named1)
+        hit1 = source.decide(second, p1)
+        now[second] = named1 * hit1
+        left[second] = ~hit1
         missed = np.flatnonzero(left)
         sign = model.at(source.value(missed, model.total))
-        source.code(missed, model.sums[sign], model.counts[sign])
+        source.code(missed, model.sums.take(sign), model.counts.take(sign))
         now[missed] = sign
         model.learn_hit(0, model.state, p, x, hit)
-        model.learn_hit(1, model.sure1[second], p1, x1, hit1)
+        model.learn_hit(1, state1, p1, x1, hit1)
         model.learn(now, sign)
     ids = table.T.reshape(-1)[:number]
     if zlib.crc32(ids.astype("<u4").tobytes()) != plain:

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.errors import PythonException
 from tokenizers import Tokenizer
 
-from docketry.llm import id_files, packing
+from docketry.llm import id_files, packing, tokens
 from docketry.llm.id_codec import decode_block, encode_block
 from docketry.llm.tokens import Encoder, bounded, encoder, tokenizer_path
 
@@ -158,3 +158,27 @@ def test_pieces_are_looked_up_once_a_slice(monkeypatch):
     assert [np.frombuffer(b, "<u4").tolist() for b in made.encode(texts)] == [whole(BYTE, t) for t in texts]
     assert " two" in asked[0] and " two," not in asked[0] and " two." not in asked[0]
     assert made.encode([]) == [] and made.encode([None]) == [b""]
+
+
+@pytest.mark.parametrize("path, keep", [(BYTE, True), (WORD, False)])
+def test_signs_behind_a_word_and_kept_pieces(monkeypatch, path, keep):
+    """Signs do not make another word of the one before them, runs of white space need no other path, and what a slice held is
+    not asked for in the next one, however few pieces may be kept."""
+    made = Encoder(path, keep)
+    asked, ids = [], made._ids
+    monkeypatch.setattr(made, "_ids", lambda wanted: asked.append(set(wanted)) or ids(wanted))
+    texts = ["one two,&&& two... a\n\ntwo  it's\n two", "two\u3000two\u00a0 élan\u2003\n two×two 3.5 a\tb", None, " ", "\ntwo\ntwo!\n", "x" * 60, " ́e e ́", ".\t", "\nfoo"]
+    for most in (tokens.CACHED_PIECES, 5, 0):
+        monkeypatch.setattr(tokens, "CACHED_PIECES", most)
+        for part in (texts, texts[:1], texts[::-1]):
+            assert [np.frombuffer(b, "<u4").tolist() for b in made.encode(part)] == [whole(path, t) for t in part]
+        assert most != 5 or 0 < len(made._places) <= 5
+    assert {" two", ",&&&", "..."} <= asked[0] and not {" two,&&&", " two..."} & asked[0]
+    assert asked[1] == set() and asked[2] == {"x" * 60} and len(made._places) == len(made._kept) == 0
+
+
+def test_blocks_keep_their_bytes():
+    """Blocks written before stay readable, and the same ids give the same block."""
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([rng.zipf(1.2, 100_000) % 50_257, np.tile(rng.integers(0, 50_257, 300), 100)])
+    assert zlib.crc32(encode_block(ids, 50_257)) == 558_161_692
