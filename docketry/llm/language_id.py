@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -271,16 +272,16 @@ def assembled(sizes: dict[int, tuple[np.ndarray, np.ndarray]]) -> Model:
 
 
 def models_of(counts: DataFrame) -> tuple[list[str], list[Model]]:
-    """Languages by name and their models."""
-    kept = cut_to_size(probabilities(counts), MOST_GRAMS, LEAST_GRAMS).select("lang", "size", "gram", "p").toPandas()
-    names, models = sorted(set(kept["lang"])), []
+    """Languages by name and their models. The n-grams come as Arrow columns, about 26 bytes each on the driver, and not as rows."""
+    kept = cut_to_size(probabilities(counts), MOST_GRAMS, LEAST_GRAMS).select("lang", "size", "gram", "p").toArrow()
+    names, models = sorted(pc.unique(kept["lang"]).to_pylist()), []
     for name in names:
-        own, sizes = kept[kept["lang"] == name], {}
+        own, sizes = kept.filter(pc.equal(kept["lang"], name)), {}
         for k in range(1, ORDER + 1):
-            part = own[own["size"] == k]
-            keys = part["gram"].to_numpy(np.int64).view(np.uint64)
+            part = own.filter(pc.equal(own["size"], k))
+            keys = part["gram"].to_numpy().view(np.uint64)
             by = np.argsort(keys)
-            sizes[k] = keys[by], part["p"].to_numpy(np.float64)[by]
+            sizes[k] = keys[by], part["p"].to_numpy()[by]
         models.append(assembled(sizes))
     return names, models
 
@@ -340,6 +341,7 @@ def rejection_limits(training: DataFrame, names: list[str], shown: tuple[list[st
     """Nats a sign by language and band, from the pieces of the texts that ``shown`` models were not shown. A band with few
     pieces has the limit of the next shorter one, a language without pieces that of all together."""
     sent = training.sparkSession.sparkContext.broadcast(dict(zip(*shown, strict=True)))
+    del shown  # the workers' copies are enough
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("language")
@@ -357,7 +359,8 @@ def rejection_limits(training: DataFrame, names: list[str], shown: tuple[list[st
 
     held = training.where(F.col("lang").isNotNull() & F.col("held")).select("text", "lang")
     sums = held.mapInArrow(read, "lang string, band int, at long, n long").groupBy("lang", "band", "at").agg(F.sum("n").alias("n"))
-    rows = sums.toPandas()  # a row a bin, a few thousand a language
+    rows = sums.toArrow().to_pandas()  # a row a bin, a few thousand a language
+    sent.destroy()
 
     def limits(own) -> np.ndarray:
         out, last = np.full(len(BANDS), np.inf), np.inf
@@ -382,8 +385,7 @@ def learn(training: DataFrame) -> Identifier:
     names, models = models_of(counts.select("lang", "gram", "n"))
     found = Identifier(names, models, np.full((len(names), len(BANDS)), np.inf))
     if names:
-        shown = models_of(counts.where("n_shown > 0").select("lang", "gram", F.col("n_shown").alias("n")))
-        found.limits = rejection_limits(marked, names, shown)
+        found.limits = rejection_limits(marked, names, models_of(counts.where("n_shown > 0").select("lang", "gram", F.col("n_shown").alias("n"))))
     return found
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -59,6 +60,24 @@ def test_no_language_is_cut_away(spark, monkeypatch):
     assert found.decide(["der hund und", "the cat sat", "zorp"])[0] == ["de", "en", "xx"]
 
 
+def test_models_reach_the_driver_as_columns(spark):
+    """In a session without Spark's Arrow setting too, no row object is made for each n-gram."""
+    counts = spark.range(40_000).select(F.lit("en").alias("lang"), F.xxhash64("id").alias("gram"), (F.col("id") % 5 + 1).alias("n"))
+    name = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    tracemalloc.start()
+    try:
+        names, models = language_id.models_of(counts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        spark.conf.set(name, before)
+    held = sum(len(level.grams) for level in models[0].levels)
+    assert names == ["en"] and held > 100_000
+    assert most < 150 * held
+
+
 def test_cuts_in_long_texts_do_not_show(spark, monkeypatch):
     found = language_id.learn(training(spark, TEXTS.items()))
     text = "the cat, 'sat' on a mat... é 12 the dog  sat" * 7
