@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,10 @@ _CACHES: dict[str, dict] = {}
 
 def worker_cache(owner: str) -> dict:
     """What ``owner`` keeps in this Python worker from task to task. Workers are used again by the next stage, so what other
-    owners kept goes: a worker never holds more than one operator's cache."""
-    for other in [o for o in _CACHES if o != owner]:
+    owners kept goes, and Arrow gives its free memory back: a worker never holds more than one operator's cache."""
+    others = [o for o in _CACHES if o != owner]
+    for other in others:
         del _CACHES[other]
+    if others:
+        pa.default_memory_pool().release_unused()
     return _CACHES.setdefault(owner, {})

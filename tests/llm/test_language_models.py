@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.llm import language_id
+from docketry.llm import common, language_id
 from docketry.llm.common import fold
 
 from .test_models import slow_kneser_ney
@@ -78,6 +78,16 @@ def test_models_reach_the_driver_as_columns(spark):
     assert most < 150 * held
 
 
+def test_a_worker_gives_arrow_memory_back(monkeypatch):
+    """When another operator's cache goes, and only then, so does what Arrow holds unused."""
+    given = []
+    monkeypatch.setattr(common, "_CACHES", {})
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: given.append(1)})())
+    common.worker_cache("tokens")["kept"] = 1
+    assert common.worker_cache("tokens") == {"kept": 1} and not given
+    assert common.worker_cache("language") == {} and given == [1]
+
+
 def test_cuts_in_long_texts_do_not_show(spark, monkeypatch):
     found = language_id.learn(training(spark, TEXTS.items()))
     text = "the cat, 'sat' on a mat... é 12 the dog  sat" * 7
