@@ -1,10 +1,11 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Every language has a model of order ``ORDER`` over letters and single spaces, learned from all its training texts: tasks
-count their n-grams; counts, continuation counts, discounts and probabilities are made in Spark over all of them. Only then is
-a model cut to size, each language for itself: the n-grams that change its probabilities least go, the back-off weights are
-taken anew, and single signs always stay. What is sent to the tasks are sorted arrays of packed n-grams, at most ``MOST_GRAMS``
-over all languages (``LEAST_GRAMS`` a language at least).
+count their n-grams; counts, continuation counts, discounts, probabilities and back-off weights are made in Spark over all of
+them, and all of them decide. What is sent to the tasks are sorted arrays of packed n-grams, at most ``MOST_GRAMS`` over all
+languages (``LEAST_GRAMS`` a language at least). Where a language has more, those that change its probabilities most are sent
+with all its single signs, and the whole model lies in sorted files of the shared folder, which tasks map into memory and look
+up what was not sent. So the two numbers bound what is held, not what is known: results are the same whatever they are.
 
 A text goes to the language of lowest cross-entropy per sign. It is rejected when that exceeds what texts of the language and
 of its length have: models that were not shown a tenth of the training texts score the pieces of that tenth, and the limit of
@@ -13,16 +14,21 @@ a language and length is ``MARGIN`` times the ``QUANTILE`` of its pieces.
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import cut, worker_cache
+from docketry.llm.common import cut, shared_folder, worker_cache
 from docketry.llm.ranks import ranked
 
 ORDER = 4
@@ -35,6 +41,7 @@ MARGIN = 1.15
 PIECES = 200  # a band with fewer takes the limit of the next shorter one
 BIN = 0.01  # nats
 SHARPNESS = 40.0  # characters that a text counts for in the score at most
+FILE_GRAMS = 2_000_000  # n-grams of one file of a model: some 60 MB in the task that writes it
 CHARS = 250_000  # read at once: their n-grams take some 150 bytes a character for a moment
 SPACE = 32
 _BITS = 16
@@ -157,26 +164,100 @@ class Level:
     back_off: np.ndarray
 
 
+@dataclass
+class ModelFile:
+    """Where a stretch of the sorted n-grams of one order lies, with log probabilities, their contexts and log back-off weights.
+
+    Four arrays of 8-byte numbers follow each other. ``path`` is in the shared folder; where that is no folder of the machine,
+    its tasks share one copy."""
+
+    path: str
+    grams: int
+    contexts: int
+    first_gram: int
+    first_context: int
+    _arrays: tuple | None = field(default=None, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_arrays": None}
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        if self._arrays is None:
+            words = np.memmap(_local(self.path), np.uint64, "r")
+            keys, p, contexts, back = np.split(words, np.cumsum([self.grams, self.grams, self.contexts]))
+            self._arrays = keys, p.view(np.float64), contexts, back.view(np.float64)
+        return self._arrays
+
+
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if "://" in path else os.path.abspath(path.removeprefix("file:")))
+
+
+def _local(path: str) -> str:
+    files, at = _place(path)
+    if isinstance(files, fs.LocalFileSystem):
+        return at
+    copy = os.path.join(tempfile.gettempdir(), os.path.basename(at))  # named by a uuid
+    if not os.path.exists(copy):
+        draft = f"{copy}.{uuid.uuid4().hex}"
+        with files.open_input_stream(at) as source, open(draft, "wb") as target:
+            shutil.copyfileobj(source, target)
+        os.replace(draft, copy)
+    return copy
+
+
+def _filed(files: list[ModelFile], wanted: np.ndarray, contexts: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(number, whether met) of n-grams or contexts, from the files of one order, which follow each other."""
+    values, met = np.zeros(len(wanted)), np.zeros(len(wanted), bool)
+    firsts = np.array([f.first_context if contexts else f.first_gram for f in files], np.uint64)
+    which = np.searchsorted(firsts, wanted, side="right") - 1
+    for k in np.unique(which[which >= 0]):
+        rows = np.flatnonzero(which == k)
+        keys, numbers = files[k].arrays()[2:] if contexts else files[k].arrays()[:2]
+        at, hit = _find(keys, wanted[rows])
+        values[rows[hit]], met[rows[hit]] = numbers[at[hit]], True
+    return values, met
+
+
 @dataclass
 class Model:
     levels: list[Level]  # from order 1
     unseen: float  # log probability of a sign never met
+    files: list[list[ModelFile]] | None = None  # by order, of the whole model where ``levels`` have a part of it
 
     def log_p(self, wanted: np.ndarray) -> np.ndarray:
         """Log probability of the last sign of each packed n-gram, from the longest level that has it."""
+        out = np.zeros(len(wanted))
+        if self.files:  # the n-grams met most are in memory
+            longest = self.levels[-1]
+            at, met = _find(longest.grams, wanted)
+            out[met] = longest.log_p[at[met]]
+            out[~met] = self._log_p(wanted[~met], self._from_files)
+            return out
+        return self._log_p(wanted, self._from_levels)
+
+    def _from_levels(self, order: int, wanted: np.ndarray, contexts: bool) -> tuple[np.ndarray, np.ndarray]:
+        level = self.levels[order - 1]
+        keys, numbers = (level.contexts, level.back_off) if contexts else (level.grams, level.log_p)
+        at, met = _find(keys, wanted)
+        return (numbers[at] if len(keys) else np.zeros(len(wanted))), met
+
+    def _from_files(self, order: int, wanted: np.ndarray, contexts: bool) -> tuple[np.ndarray, np.ndarray]:
+        return _filed(self.files[order - 1], wanted, contexts)
+
+    def _log_p(self, wanted: np.ndarray, look_up) -> np.ndarray:
         out = np.zeros(len(wanted))
         open_ = np.ones(len(wanted), bool)
         for order in range(len(self.levels), 0, -1):
-            level = self.levels[order - 1]
             keep = (np.uint64(1) << np.uint64(_BITS * order)) - np.uint64(1) if _BITS * order < 64 else np.uint64(2**64 - 1)
             part = wanted & keep
-            at, met = _find(level.grams, part)
+            number, met = look_up(order, part, False)
             hit = open_ & met
-            out[hit] += level.log_p[at[hit]]
+            out[hit] += number[hit]
             open_ &= ~met
-            at, met = _find(level.contexts, part >> np.uint64(_BITS))
+            number, met = look_up(order, part >> np.uint64(_BITS), True)
             off = open_ & met
-            out[off] += level.back_off[at[off]]
+            out[off] += number[off]
         out[open_] += self.unseen
         return out
 
@@ -219,9 +300,10 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, size, gram, p, gain) of the n-grams of all orders, interpolated Kneser-Ney over (lang, gram, n) of the highest.
+    """(lang, size, gram, p, gain, weight) of the n-grams of all orders, interpolated Kneser-Ney over (lang, gram, n) of the highest.
 
-    ``gain``: by how much the n-gram raises the log probability of what it was counted in, over backing off.
+    ``gain``: by how much the n-gram raises the log probability of what it was counted in, over backing off. ``weight``: the
+    back-off weight of its context.
     """
     levels = {order: cut(counts)}
     for k in range(order - 1, 0, -1):  # lower orders count the different signs before an n-gram
@@ -237,23 +319,78 @@ def probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
         t = levels[k].select("lang", "gram", "n", context).join(contexts, ["lang", "context"]).join(discounts, "lang")
         t = t.join(signs, "lang") if k == 1 else t.withColumn("shorter", _suffix(F.col("gram"), k - 1)).join(
             below.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("lower")), ["lang", "shorter"])
-        back = F.col("d") * F.col("kinds") / F.col("total") * F.col("lower")
+        weight = F.col("d") * F.col("kinds") / F.col("total")
+        back = weight * F.col("lower")
         p = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + back
-        below = cut(t.select("lang", F.lit(k).alias("size"), "gram", p.alias("p"), (F.col("n") * (F.log(p) - F.log(back))).alias("gain")))
+        below = cut(t.select("lang", F.lit(k).alias("size"), "gram", p.alias("p"), (F.col("n") * (F.log(p) - F.log(back))).alias("gain"),
+                             weight.alias("weight")))
         out = below if out is None else out.unionByName(below)
     return out
 
 
-def cut_to_size(grams_: DataFrame, most: int, least: int) -> DataFrame:
-    """The single signs of every language and its most telling longer n-grams: ``most`` split evenly, ``least`` at the least."""
+def split_by_size(grams_: DataFrame, most: int, least: int) -> tuple[DataFrame, DataFrame | None]:
+    """What is held in memory: the single signs of every language and its most telling longer n-grams, ``most`` split evenly,
+    ``least`` at the least; and all n-grams of the languages that have more, which must go into files (None if no language has)."""
     sizes = grams_.where("size > 1").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     langs, largest = grams_.select("lang").distinct().count(), sizes.agg(F.max("n")).first()[0] or 0
     each = max(least, most // max(1, langs))
     if largest <= each:
-        return grams_
+        return grams_, None
     longer = cut(grams_.where("size > 1").withColumn("loss", -F.col("gain")))
     kept = ranked(longer, ["lang"], ["loss", "size", "gram"], size="among").where(F.col("rank") < each)
-    return grams_.where("size = 1").unionByName(kept.select(*grams_.columns))
+    return (grams_.where("size = 1").unionByName(kept.select(*grams_.columns)),
+            grams_.join(_few(sizes.where(F.col("n") > each).select("lang")), "lang"))
+
+
+def filed(grams_: DataFrame) -> dict[str, list[list[ModelFile]]]:
+    """Files of the whole models, by language and order. Tasks sort stretches and write them; the driver gets a row a file."""
+    folder = shared_folder(grams_.sparkSession, "language-models")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("language")
+        held, of, rows = [], None, 0
+
+        def close() -> pa.RecordBatch:
+            keys = np.concatenate([k for k, _, _ in held])
+            contexts, at = np.unique(keys >> np.uint64(_BITS), return_index=True)
+            back = np.log(np.concatenate([w for _, _, w in held])[at])
+            files, path = _place(f"{folder}/{uuid.uuid4().hex}")  # of a task that runs twice, only the files it names are read
+            files.create_dir(os.path.dirname(path), recursive=True)
+            with files.open_output_stream(path) as out:
+                for part in (keys, np.log(np.concatenate([p for _, p, _ in held])), contexts, back):
+                    out.write(part.tobytes())
+            row = [*of, f"{folder}/{os.path.basename(path)}", len(keys), len(contexts), int(keys[:1].view(np.int64)[0]), int(contexts[0])]
+            return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], ["lang", "size", "path", "grams", "contexts", "first_gram", "first_context"])
+
+        for batch in batches:
+            langs, size = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+            keys, p, weight = batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            codes = langs.indices.to_numpy()
+            starts = [0, *(np.flatnonzero((np.diff(codes) != 0) | (np.diff(size) != 0)) + 1).tolist(), len(keys)]
+            for first, end in zip(starts, starts[1:], strict=False):
+                for a in range(first, end, FILE_GRAMS):
+                    b = min(a + FILE_GRAMS, end)
+                    own = langs.dictionary[codes[a]].as_py(), int(size[a])
+                    if held and (own != of or rows + b - a > FILE_GRAMS):
+                        yield close()
+                        held, rows = [], 0
+                    held.append((keys[a:b].copy(), p[a:b].copy(), weight[a:b].copy()))
+                    of, rows = own, rows + b - a
+        if held:
+            yield close()
+
+    unsigned = F.col("gram").bitwiseXOR(F.lit(-(2**63)).cast("bigint"))  # the arrays are of unsigned numbers
+    by = ["lang", "size", unsigned]
+    dealt = grams_.select("lang", "size", "gram", "p", "weight").repartitionByRange(*by).sortWithinPartitions(*by)
+    schema = "lang string, size long, path string, grams long, contexts long, first_gram long, first_context long"
+    found: dict[str, list[list[ModelFile]]] = {}
+    for r in dealt.mapInArrow(write, schema).collect():  # a row a file
+        orders = found.setdefault(r["lang"], [[] for _ in range(ORDER)])
+        orders[r["size"] - 1].append(ModelFile(r["path"], r["grams"], r["contexts"], r["first_gram"] % 2**64, r["first_context"]))
+    for orders in found.values():
+        for files in orders:
+            files.sort(key=lambda f: f.first_gram)
+    return found
 
 
 def assembled(sizes: dict[int, tuple[np.ndarray, np.ndarray]]) -> Model:
@@ -272,8 +409,11 @@ def assembled(sizes: dict[int, tuple[np.ndarray, np.ndarray]]) -> Model:
 
 
 def models_of(counts: DataFrame) -> tuple[list[str], list[Model]]:
-    """Languages by name and their models. The n-grams come as Arrow columns, about 26 bytes each on the driver, and not as rows."""
-    kept = cut_to_size(probabilities(counts), MOST_GRAMS, LEAST_GRAMS).select("lang", "size", "gram", "p").toArrow()
+    """Languages by name and their models. The n-grams that are held in memory come as Arrow columns, about 26 bytes each on the
+    driver, and not as rows; those of languages that have more stay in files."""
+    held, more = split_by_size(probabilities(counts), MOST_GRAMS, LEAST_GRAMS)
+    files = {} if more is None else filed(more)
+    kept = held.select("lang", "size", "gram", "p").toArrow()
     names, models = sorted(pc.unique(kept["lang"]).to_pylist()), []
     for name in names:
         own, sizes = kept.filter(pc.equal(kept["lang"], name)), {}
@@ -283,6 +423,7 @@ def models_of(counts: DataFrame) -> tuple[list[str], list[Model]]:
             by = np.argsort(keys)
             sizes[k] = keys[by], part["p"].to_numpy()[by]
         models.append(assembled(sizes))
+        models[-1].files = files.get(name)
     return names, models
 
 
